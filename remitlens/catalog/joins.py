@@ -44,7 +44,7 @@ def join_left_natural(t):
     people = t.phys.withColumnRenamed("id", ID).select(ID, "split_set", "State")
     companies = named_companies(t.comp).drop("Company_Country")
     joined = join_natural(t.pay.select(RECORD, ID, COMPANY), people, RECORD)
-    return join_natural(joined, companies, RECORD)
+    return join_natural(joined, companies, RECORD, keys_from=t.pay)
 
 
 @query(
@@ -59,7 +59,7 @@ def join_left_renamed_key(t):
     people = t.phys.select("id", "split_set", "Primary_Specialty")
     companies = named_companies(t.comp).select(COMPANY, "Company_Country")
     joined = join_skewed(facts, people, "id", RECORD)
-    return join_skewed(joined, companies, COMPANY, RECORD).drop(COMPANY)
+    return join_skewed(joined, companies, COMPANY, RECORD, keys_from=t.pay).drop(COMPANY)
 
 
 @query(
@@ -86,7 +86,7 @@ def join_inner_merge(t):
         COMPANY, F.col("State").alias("State_y"), F.col("Country").alias("Country_y")
     )
     joined = join_skewed(facts, people, "id", RECORD, "inner")
-    return join_skewed(joined, companies, COMPANY, RECORD, "inner")
+    return join_skewed(joined, companies, COMPANY, RECORD, "inner", keys_from=t.pay)
 
 
 @query(

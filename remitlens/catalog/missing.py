@@ -53,7 +53,8 @@ def fill_null_per_column(t):
     facts = t.pay.select(
         RECORD, ID, "Company_ID", "Third_Party_Covered", "Related_Product_Indicator", "Product_Type_1"
     )
-    joined = join_skewed(join_skewed(facts, people, ID, RECORD), companies, "Company_ID", RECORD)
+    joined = join_skewed(facts, people, ID, RECORD)
+    joined = join_skewed(joined, companies, "Company_ID", RECORD, keys_from=t.pay)
     return joined.drop(ID, "Company_ID").na.fill(
         {
             "Third_Party_Covered": "Dummy Specialty",

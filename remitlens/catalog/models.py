@@ -122,10 +122,12 @@ def nb_fit(t):
     PARAMS,
 )
 def nb_priors(t):
-    _, plain = fitted(t, 0.0)
-    _, smoothed = fitted(t, 1.0)
-    return plain.priors.join(
-        smoothed.priors.select("class", F.round("prior", 9).alias("prior_smoothed")), "class"
+    rows = bayes_rows(t.phys, t.pay, t.comp).filter(F.col("split_set") == "train")
+    complete = rows.dropna("any", subset=["label", *BAYES_FEATURES])
+    plain = bayes.fit(complete, "label", ["form"]).priors
+    smoothed = bayes.fit(complete, "label", ["form"], prior_smooth=1.0).priors
+    return plain.join(
+        smoothed.select("class", F.round("prior", 9).alias("prior_smoothed")), "class"
     ).select("class", "n", F.round("prior", 9).alias("prior"), "prior_smoothed")
 
 

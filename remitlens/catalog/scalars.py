@@ -207,7 +207,7 @@ def flag_same_country(t):
     people = t.phys.select(F.col("id").alias(ID), "Country")
     companies = named_companies(t.comp).select(COMPANY, "Company_Country")
     joined = join_skewed(t.pay.select(RECORD, ID, COMPANY), people, ID, RECORD)
-    joined = join_skewed(joined, companies, COMPANY, RECORD)
+    joined = join_skewed(joined, companies, COMPANY, RECORD, keys_from=t.pay)
     same = F.lower("Company_Country") == F.lower("Country")
     return joined.select(RECORD, F.when(same, 1).otherwise(0).alias("same_country"))
 

@@ -8,7 +8,7 @@ from pyspark.ml.stat import ChiSquareTest
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from remitlens.models.bayes import CLASSES, count_levels
+from remitlens.models.bayes import ALL, CLASSES, count_levels
 
 
 def chi_square(rows: DataFrame, label: str, features: Sequence[str]) -> DataFrame:
@@ -18,6 +18,7 @@ def chi_square(rows: DataFrame, label: str, features: Sequence[str]) -> DataFram
     """
     per_level = (
         count_levels(rows, label, features)
+        .filter(F.col("feature") != ALL)
         .groupBy("feature", "value")
         .pivot("class", list(CLASSES))
         .agg(F.sum("n"))

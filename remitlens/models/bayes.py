@@ -9,39 +9,50 @@ from __future__ import annotations
 
 from collections.abc import Sequence
 from dataclasses import dataclass
+from functools import reduce
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from remitlens.operators.joins import join_skewed
-from remitlens.session import materialize
+from remitlens.session import fits_broadcast, materialize
 
 CLASSES = (0, 1)
 
 
+ALL = ""  # pseudo feature whose single level counts the rows of a class
+
+
 @dataclass(frozen=True)
 class NaiveBayes:
+    """``logs`` is the fitted model: log probabilities of both classes per level.
+
+    Its rows of the pseudo feature hold the priors. ``conditionals`` and ``priors``
+    show the ratios and the counts behind them.
+    """
+
     features: tuple[str, ...]
+    logs: DataFrame  # [by...], feature, value, log_0, log_1
     conditionals: DataFrame  # [by...], feature, value, class, n, n_class, n_levels, p
     priors: DataFrame  # [by...], class, n, prior
     by: tuple[str, ...] = ()
 
 
-def feature_values(features: Sequence[str]) -> Column:
+def feature_values(features: Sequence[str], *extra: Column) -> Column:
     """Array of (feature, value) structs of a row."""
-    return F.array(
-        *[
-            F.struct(F.lit(f).alias("feature"), F.col(f).cast("string").alias("value"))
-            for f in features
-        ]
-    )
+    return F.array(*[_pair(F.lit(f), F.col(f).cast("string")) for f in features], *extra)
+
+
+def _pair(feature: Column, value: Column) -> Column:
+    return F.struct(feature.alias("feature"), value.alias("value"))
 
 
 def count_levels(rows: DataFrame, label: str, features: Sequence[str], *by: str) -> DataFrame:
-    """Rows per class, feature and level."""
+    """Rows per class, feature and level, and per class under the pseudo feature."""
+    everything = _pair(F.lit(ALL), F.lit(ALL))
     return (
         rows.filter(F.col(label).isNotNull())
-        .select(*by, F.col(label).alias("class"), F.inline(feature_values(features)))
+        .select(*by, F.col(label).alias("class"), F.inline(feature_values(features, everything)))
         .filter(F.col("value").isNotNull())
         .groupBy(*by, "class", "feature", "value")
         .agg(F.count("*").alias("n"))
@@ -72,11 +83,50 @@ def _ratios(counts: DataFrame, levels: DataFrame, by: Sequence[str], smooth: flo
     )
 
 
-def _priors(classes: DataFrame, by: Sequence[str], smooth: float) -> DataFrame:
-    whole = classes.groupBy(*by).agg(F.sum("n").alias("_all"))
-    joined = classes.join(whole, list(by)) if by else classes.withColumn("_all", whole.scalar())
+def _priors(sizes: DataFrame, by: Sequence[str], smooth: float) -> DataFrame:
+    whole = sizes.groupBy(*by).agg(F.sum("n").alias("_all"))
+    joined = sizes.join(whole, list(by)) if by else sizes.withColumn("_all", whole.scalar())
     prior = (F.col("n") + smooth) / (F.col("_all") + smooth * len(CLASSES))
-    return joined.withColumn("prior", prior).drop("_all")
+    return joined.select(*by, "class", "n", prior.alias("prior"))
+
+
+def _model(
+    features: Sequence[str],
+    counts: DataFrame,
+    levels: DataFrame,
+    by: Sequence[str],
+    smooth: float,
+    prior_smooth: float,
+) -> NaiveBayes:
+    """Model from small count tables that hold every class, feature and level."""
+    conditionals = _ratios(counts.filter(F.col("feature") != ALL), levels, by, smooth)
+    sizes = counts.filter((F.col("feature") == ALL) & (F.col("n") > 0))
+    priors = _priors(sizes, by, prior_smooth)
+    keys = [*by, "feature", "value", "class", "p"]
+    prior_rows = priors.select(
+        *by, F.lit(ALL).alias("feature"), F.lit(ALL).alias("value"), "class", F.col("prior").alias("p")
+    )
+    logs = [F.max(F.when(F.col("class") == c, F.ln("p"))).alias(f"log_{c}") for c in CLASSES]
+    table = (
+        conditionals.select(*keys)
+        .unionByName(prior_rows)
+        .groupBy(*by, "feature", "value")
+        .agg(*logs)
+    )
+    return NaiveBayes(
+        tuple(features), materialize(table, "model"), conditionals, priors, tuple(by)
+    )
+
+
+def _with_all(levels: DataFrame) -> DataFrame:
+    spark = levels.sparkSession
+    everything = spark.range(1).select(F.lit(ALL).alias("feature"), F.lit(ALL).alias("value"))
+    return levels.select("feature", "value").unionByName(everything)
+
+
+def _levels_or_seen(levels: DataFrame | None, counts: DataFrame) -> DataFrame:
+    seen = counts.filter(F.col("feature") != ALL).select("feature", "value").distinct()
+    return seen if levels is None else levels
 
 
 def fit(
@@ -87,22 +137,15 @@ def fit(
     smooth: float = 1.0,
     prior_smooth: float = 0.0,
 ) -> NaiveBayes:
-    """Fit on labelled rows; ``levels`` lists (feature, value) pairs beyond those seen."""
-    labelled = rows.filter(F.col(label).isNotNull())
-    counts = materialize(count_levels(labelled, label, features), "level_counts")
-    if levels is None:
-        levels = counts.select("feature", "value").distinct()
+    """Fit on labelled rows; ``levels`` lists the (feature, value) pairs when not as seen."""
+    counts = materialize(count_levels(rows, label, features), "level_counts")
+    levels = _levels_or_seen(levels, counts)
     full = (
-        _every_class(levels)
+        _every_class(_with_all(levels))
         .join(counts, ["class", "feature", "value"], "left")
         .na.fill({"n": 0})
     )
-    classes = labelled.groupBy(F.col(label).alias("class")).agg(F.count("*").alias("n"))
-    return NaiveBayes(
-        tuple(features),
-        materialize(_ratios(full, levels, [], smooth), "conditionals"),
-        materialize(_priors(classes, [], prior_smooth), "priors"),
-    )
+    return _model(features, full, levels, [], smooth, prior_smooth)
 
 
 def fit_folds(
@@ -116,73 +159,65 @@ def fit_folds(
     prior_smooth: float = 0.0,
 ) -> NaiveBayes:
     """One model per left-out fold from a single count: all rows minus those of the fold."""
-    labelled = rows.filter(F.col(label).isNotNull())
-    counts = materialize(count_levels(labelled, label, features, fold), "fold_counts")
-    if levels is None:
-        levels = counts.select("feature", "value").distinct()
-    folds = F.explode(F.sequence(F.lit(1), F.lit(k))).alias(fold)
-
-    def left_out(parts: DataFrame, keys: list[str], grid: DataFrame) -> DataFrame:
-        whole = parts.groupBy(*keys).agg(F.sum("n").alias("_all"))
-        inside = parts.withColumnRenamed("n", "_in")
-        return (
-            grid.join(whole, keys, "left")
-            .select("*", folds)
-            .join(inside, [fold, *keys], "left")
-            .withColumn("n", F.coalesce("_all", F.lit(0)) - F.coalesce("_in", F.lit(0)))
-            .drop("_all", "_in")
-        )
-
-    full = left_out(counts, ["class", "feature", "value"], _every_class(levels))
-    sizes = labelled.groupBy(fold, F.col(label).alias("class")).agg(F.count("*").alias("n"))
-    sizes = materialize(sizes, "fold_sizes")
-    classes = left_out(sizes, ["class"], sizes.select("class").distinct())
-    return NaiveBayes(
-        tuple(features),
-        materialize(_ratios(full, levels, [fold], smooth), "conditionals"),
-        materialize(_priors(classes, [fold], prior_smooth), "priors"),
-        (fold,),
+    counts = materialize(count_levels(rows, label, features, fold), "fold_counts")
+    levels = _levels_or_seen(levels, counts)
+    keys = ["class", "feature", "value"]
+    whole = counts.groupBy(*keys).agg(F.sum("n").alias("_all"))
+    left_out = (
+        _every_class(_with_all(levels))
+        .join(whole, keys, "left")
+        .select("*", F.explode(F.sequence(F.lit(1), F.lit(k))).alias(fold))
+        .join(counts.withColumnRenamed("n", "_in"), [fold, *keys], "left")
     )
+    n = F.coalesce("_all", F.lit(0)) - F.coalesce("_in", F.lit(0))
+    full = left_out.select(fold, *keys, n.alias("n"))
+    return _model(features, full, levels, [fold], smooth, prior_smooth)
 
 
-def _by_class(table: DataFrame, keys: Sequence[str], p: str, name: str) -> DataFrame:
-    """Log probabilities of both classes side by side."""
-    picked = [
-        F.max(F.when(F.col("class") == c, F.ln(p))).alias(f"{name}_{c}") for c in CLASSES
-    ]
-    return table.groupBy(*keys).agg(*picked)
+def predict(rows: DataFrame, model: NaiveBayes, row_key: str) -> DataFrame:
+    """Adds ``log_0``, ``log_1`` and ``prediction``; missing or unknown values are skipped.
 
+    ``row_key`` identifies rows. A model within the broadcast limit is joined feature by
+    feature without moving the rows; a larger one meets the rows in long form.
+    """
+    scored = _add_logs(rows, model, row_key)
+    # a class absent from training has no prior and is never chosen
+    wins = F.coalesce(F.col("log_1") > F.col("log_0"), F.col("log_1").isNotNull())
+    return scored.withColumn("prediction", wins.cast("int"))
 
-def predict(rows: DataFrame, model: NaiveBayes, spread_by: str) -> DataFrame:
-    """Adds ``log_0``, ``log_1`` and ``prediction``; missing or unknown values are skipped."""
+
+def _add_logs(rows: DataFrame, model: NaiveBayes, row_key: str) -> DataFrame:
     by = list(model.by)
-    logs = {c: [] for c in CLASSES}
-    scored = rows
-    for i, feature in enumerate(model.features):
-        table = _by_class(
-            model.conditionals.filter(F.col("feature") == feature), [*by, "value"], "p", f"_f{i}"
-        ).withColumnRenamed("value", f"_v{i}")
-        keyed = scored.withColumn(f"_v{i}", F.col(feature).cast("string"))
-        scored = join_skewed(keyed, table, [*by, f"_v{i}"], spread_by).drop(f"_v{i}")
-        for c in CLASSES:
-            logs[c].append(F.coalesce(f"_f{i}_{c}", F.lit(0.0)))
-    prior = _by_class(model.priors, by, "prior", "_prior")
+    names = [f"log_{c}" for c in CLASSES]
+    if not fits_broadcast(model.logs):
+        long = rows.select(row_key, *by, F.inline(feature_values(model.features)))
+        known = model.logs.filter(F.col("feature") != ALL)
+        met = join_skewed(long, known, [*by, "feature", "value"], row_key, "inner")
+        sums = met.groupBy(row_key).agg(*[F.sum(n).alias(f"_sum_{n}") for n in names])
+        scored = rows.join(sums, row_key, "left")
+        parts = {n: [F.coalesce(f"_sum_{n}", F.lit(0.0))] for n in names}
+    else:
+        scored, parts = rows, {n: [] for n in names}
+        for i, feature in enumerate(model.features):
+            table = model.logs.filter(F.col("feature") == feature).select(
+                *by, F.col("value").alias("_v"), *[F.col(n).alias(f"_{i}_{n}") for n in names]
+            )
+            keyed = scored.withColumn("_v", F.col(feature).cast("string"))
+            scored = keyed.join(table, [*by, "_v"], "left").drop("_v")
+            for n in names:
+                parts[n].append(F.coalesce(f"_{i}_{n}", F.lit(0.0)))
+    prior = model.logs.filter(F.col("feature") == ALL).select(
+        *by, *[F.col(n).alias(f"_prior_{n}") for n in names]
+    )
     if by:
-        scored = join_skewed(scored, prior, by, spread_by)
+        # one row per fold
+        scored = scored.join(F.broadcast(prior), by, "left")
     else:
         scored = scored.withColumns(
-            {f"_prior_{c}": prior.select(f"_prior_{c}").scalar() for c in CLASSES}
+            {f"_prior_{n}": prior.select(f"_prior_{n}").scalar() for n in names}
         )
-    for c in CLASSES:
-        total = F.col(f"_prior_{c}")
-        for part in logs[c]:
-            total = total + part
-        scored = scored.withColumn(f"log_{c}", total)
-    # a class absent from training has no prior and is never chosen
-    wins = F.coalesce(F.col("log_1") > F.col("log_0"), F.col("log_1").isNotNull())
-    return scored.withColumn("prediction", wins.cast("int")).select(
-        *rows.columns, "log_0", "log_1", "prediction"
-    )
+    totals = {n: reduce(lambda a, b: a + b, parts[n], F.col(f"_prior_{n}")) for n in names}
+    return scored.withColumns(totals).select(*rows.columns, *names)
 
 
 def gaussian(rows: DataFrame, label: str, columns: Sequence[str]) -> DataFrame:

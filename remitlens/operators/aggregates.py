@@ -9,7 +9,9 @@ from pyspark.sql import functions as F
 
 from remitlens.functions.values import any_known, percent
 from remitlens.operators.joins import join_skewed
+from remitlens.session import materialize
 
+MEDIAN_GROUP_ROWS = 200_000  # rows of one key the built-in median may gather
 CENT_BITS = 11  # leading bits kept per bucket: at most 64 * 2**CENT_BITS buckets per sign
 
 
@@ -54,36 +56,57 @@ def _value_bucket(v: Column) -> Column:
     return F.when(v < 0, -bucket).otherwise(bucket).cast("int")
 
 
-def exact_median(df: DataFrame, key: str, amount: str, name: str = "median_amount") -> DataFrame:
+def exact_median(
+    df: DataFrame,
+    key: str,
+    amount: str,
+    name: str = "median_amount",
+    group_rows: int = MEDIAN_GROUP_ROWS,
+) -> DataFrame:
     """Exact median of a two-decimal amount per key.
 
+    Keys of at most ``group_rows`` rows use the built-in aggregate. Larger ones never
+    come together in one task, see :func:`_spread_median`.
+    """
+    rows = df.filter(F.col(amount).isNotNull()).select(key, amount)
+    large = rows.groupBy(key).agg(F.count("*").alias("_n")).filter(F.col("_n") > group_rows)
+    large = materialize(large.select(key), "large_keys")
+    small = (
+        join_skewed(rows, large, key, amount, "left_anti")
+        .groupBy(key)
+        .agg(F.median(F.col(amount).cast("double")).alias(name))
+    )
+    spread = _spread_median(join_skewed(rows, large, key, amount, "left_semi"), key, amount, name)
+    return small.unionByName(spread)
+
+
+def _spread_median(rows: DataFrame, key: str, amount: str, name: str) -> DataFrame:
+    """Median of keys of any size.
+
     Equal amounts are counted before the shuffle and spread over (key, amount); the
     middle position is found among value buckets, whose number per key is fixed, and
     then inside the one or two buckets that hold it.
     """
     counted = (
-        df.filter(F.col(amount).isNotNull())
-        .groupBy(key, (F.col(amount) * 100).cast("bigint").alias("_v"))
+        rows.groupBy(key, (F.col(amount) * 100).cast("bigint").alias("_v"))
         .agg(F.count("*").alias("_n"))
         .withColumn("_b", _value_bucket(F.col("_v")))
     )
     by_key = Window.partitionBy(key)
     up_to = by_key.orderBy("_b").rowsBetween(Window.unboundedPreceding, Window.currentRow)
+    whole, until = F.sum("_nb").over(by_key), F.sum("_nb").over(up_to)
     buckets = (
         counted.groupBy(key, "_b")
         .agg(F.sum("_n").alias("_nb"))
         .select(
             key,
             "_b",
-            (F.sum("_nb").over(up_to) - F.col("_nb")).alias("_before"),
-            F.sum("_nb").over(up_to).alias("_until"),
-            F.expr(f"(sum(_nb) over (partition by {key}) + 1) div 2").alias("_lo"),
-            F.expr(f"sum(_nb) over (partition by {key}) div 2 + 1").alias("_hi"),
-        )
-        .filter(
-            ((F.col("_before") < F.col("_lo")) & (F.col("_lo") <= F.col("_until")))
-            | ((F.col("_before") < F.col("_hi")) & (F.col("_hi") <= F.col("_until")))
+            (until - F.col("_nb")).alias("_before"),
+            until.alias("_until"),
+            F.call_function("div", whole + 1, F.lit(2)).alias("_lo"),
+            (F.call_function("div", whole, F.lit(2)) + 1).alias("_hi"),
         )
+        .filter((F.col("_before") < F.col("_hi")) & (F.col("_lo") <= F.col("_until")))
     )
     inside = (
         Window.partitionBy(key, "_b")

@@ -1,29 +1,38 @@
 """Joins between the payment fact and one-row-per-key tables, safe under skew.
 
 A key may hold a third of the fact. Small right sides are broadcast by Spark itself,
-which checks their size. Otherwise the rows of hot keys are spread over salts and
-the matching right rows are repeated once per salt.
+which checks their size. Otherwise the rows of hot keys are spread over as many salts
+as their share of the data asks for, and the matching right rows are repeated once
+per salt.
 """
 
 from __future__ import annotations
 
 from collections.abc import Sequence
+from functools import reduce
 
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from remitlens.session import fits_broadcast
+from remitlens.session import fits_broadcast, materialize
 
-# A hot key holds more than 1/HOT_SHARE of all rows, so there are fewer than HOT_SHARE of them.
-HOT_SHARE = 2000
-SALTS = 256
+
+def shuffle_partitions(df: DataFrame) -> int:
+    return int(df.sparkSession.conf.get("spark.sql.shuffle.partitions"))
 
 
 def hot_keys(df: DataFrame, on: Sequence[str]) -> DataFrame:
-    """Keys holding more than ``1/HOT_SHARE`` of the rows: fewer than HOT_SHARE rows."""
-    counts = df.groupBy(*on).agg(F.count("*").alias("_n"))
+    """Keys too large for one shuffle partition, with the number of salts each needs.
+
+    A hot key holds more rows than an average partition, so there are fewer hot keys
+    than shuffle partitions, and their salts add up to less than three times as many.
+    """
+    parts = shuffle_partitions(df)
     total = df.agg(F.count("*")).scalar()
-    return counts.filter(F.col("_n") * HOT_SHARE > total).select(*on, F.lit(True).alias("_hot"))
+    sized = df.groupBy(*on).agg(F.count("*").alias("_n")).withColumn("_total", total)
+    salts = F.ceil(F.col("_n") * parts / F.col("_total")) + 1
+    hot = sized.filter(F.col("_n") * parts > F.col("_total"))
+    return hot.select(*on, salts.cast("int").alias("_salts"))
 
 
 def join_skewed(
@@ -33,11 +42,13 @@ def join_skewed(
     spread_by: Sequence[str] | str,
     how: str = "left",
     salted: bool | None = None,
+    keys_from: DataFrame | None = None,
 ) -> DataFrame:
     """Join many rows per key (``left``) to one row per key (``right``).
 
     ``how`` is left, inner, left_semi or left_anti. ``spread_by`` names left columns
-    that differ between rows of one key.
+    that differ between rows of one key. ``keys_from`` is a cheaper table with the same
+    key frequencies as ``left``, such as the fact before other joins.
     """
     on = [on] if isinstance(on, str) else list(on)
     spread_by = [spread_by] if isinstance(spread_by, str) else list(spread_by)
@@ -45,22 +56,33 @@ def join_skewed(
         salted = not fits_broadcast(right)
     if not salted:
         return left.join(right, on, how)
-    hot = F.broadcast(hot_keys(left, on))  # fewer than HOT_SHARE rows by construction
-    salt = F.pmod(F.xxhash64(*spread_by), F.lit(SALTS)).cast("int")
-    left_salted = left.join(hot, on, "left").withColumn("_salt", F.when(F.col("_hot"), salt).otherwise(0))
-    copies = F.when(F.col("_hot"), F.sequence(F.lit(0), F.lit(SALTS - 1))).otherwise(F.array(F.lit(0)))
-    right_salted = (
-        right.join(hot, on, "left").withColumn("_salt", F.explode(copies)).drop("_hot")
+    # pinned once, so both sides use the same salts; fewer rows than shuffle partitions
+    hot = materialize(hot_keys(left if keys_from is None else keys_from, on), "hot_keys")
+    hot = F.broadcast(hot)
+    spread = F.xxhash64(*spread_by)
+    unmatched = reduce(lambda a, b: a | b, [F.col(c).isNull() for c in on])
+    salt = (
+        F.when(F.col("_salts").isNotNull(), F.pmod(spread, F.col("_salts")))
+        .when(unmatched, F.pmod(spread, F.lit(shuffle_partitions(left))))  # null keys spread too
+        .otherwise(0)
+        .cast("int")
     )
-    return left_salted.drop("_hot").join(right_salted, [*on, "_salt"], how).drop("_salt")
+    many = left.join(hot, on, "left").withColumn("_salt", salt).drop("_salts")
+    copies = F.explode(F.sequence(F.lit(0), F.coalesce("_salts", F.lit(1)) - 1))
+    one = right.join(hot, on, "left").withColumn("_salt", copies).drop("_salts")
+    return many.join(one, [*on, "_salt"], how).drop("_salt")
 
 
 def join_natural(
-    left: DataFrame, right: DataFrame, spread_by: Sequence[str] | str, how: str = "left"
+    left: DataFrame,
+    right: DataFrame,
+    spread_by: Sequence[str] | str,
+    how: str = "left",
+    keys_from: DataFrame | None = None,
 ) -> DataFrame:
     """Join on all columns both sides share."""
     on = [c for c in left.columns if c in set(right.columns)]
-    return join_skewed(left, right, on, spread_by, how)
+    return join_skewed(left, right, on, spread_by, how, keys_from=keys_from)
 
 
 def join_keeping_dimension(
