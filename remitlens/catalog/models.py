@@ -13,6 +13,7 @@ from remitlens.operators.splits import hash_fold, role
 from remitlens.plans import jobs
 from remitlens.plans.clean import BAYES_FEATURES, bayes_rows
 from remitlens.plans.rules import row_predictions, stock_scores
+from remitlens.session import materialize
 from remitlens.schemas import AMOUNT, FORM, ID, LABEL, LICENSES, NATURE, PRODUCT_TYPES, RECORD
 
 # Rounds and depth kept small so that every registered model fits in seconds here;
@@ -87,21 +88,8 @@ POSTERIOR = """, post AS (SELECT l.Record_ID, l.Physician_ID, p.class,
     max(CASE WHEN class = 1 THEN lp END) AS log_1 FROM post GROUP BY 1, 2)"""
 
 
-def complete_rows(t):
-    rows = bayes_rows(t.phys, t.pay, t.comp)
-    return rows, rows.dropna("any", subset=["label", *BAYES_FEATURES])
-
-
-def fitted(t, prior_smooth: float):
-    rows, complete = complete_rows(t)
-    model = bayes.fit(
-        complete.filter(F.col("split_set") == "train"),
-        "label",
-        BAYES_FEATURES,
-        levels=jobs.bayes_levels(rows),
-        prior_smooth=prior_smooth,
-    )
-    return complete, model
+def rows_of(t):
+    return bayes_rows(t.phys, t.pay, t.comp)
 
 
 @query(
@@ -110,9 +98,9 @@ def fitted(t, prior_smooth: float):
     PARAMS,
 )
 def nb_fit(t):
-    _, model = fitted(t, 0.0)
+    model = jobs.fit_bayes(rows_of(t), prior_smooth=0.0)
     p = F.round("p", 9).alias("p")
-    return model.conditionals.select("feature", "value", "class", "n", "n_class", "n_levels", p)
+    return model.conditionals().select("feature", "value", "class", "n", "n_class", "n_levels", p)
 
 
 @query(
@@ -122,10 +110,11 @@ def nb_fit(t):
     PARAMS,
 )
 def nb_priors(t):
-    rows = bayes_rows(t.phys, t.pay, t.comp).filter(F.col("split_set") == "train")
-    complete = rows.dropna("any", subset=["label", *BAYES_FEATURES])
-    plain = bayes.fit(complete, "label", ["form"]).priors
-    smoothed = bayes.fit(complete, "label", ["form"], prior_smooth=1.0).priors
+    """Class priors without and with smoothing."""
+    train = rows_of(t).filter(F.col("complete") & (F.col("split_set") == "train"))
+    counts = materialize(bayes.count_levels(train, "label", ["form"]), "counts")
+    plain = bayes.fit_counts(counts, ["form"]).priors()
+    smoothed = bayes.fit_counts(counts, ["form"], prior_smooth=1.0).priors()
     return plain.join(
         smoothed.select("class", F.round("prior", 9).alias("prior_smoothed")), "class"
     ).select("class", "n", F.round("prior", 9).alias("prior"), "prior_smoothed")
@@ -157,8 +146,8 @@ def nb_gaussian_params(t):
     PARAMS + POSTERIOR.format(s="0.0"),
 )
 def nb_predict(t):
-    complete, model = fitted(t, 0.0)
-    scored = bayes.predict(complete.filter(F.col("split_set") == "test"), model, RECORD)
+    rows = rows_of(t)
+    scored = jobs.score_bayes(rows, jobs.fit_bayes(rows, prior_smooth=0.0))
     return scored.select(
         RECORD, F.round("log_0", 6).alias("log_0"), F.round("log_1", 6).alias("log_1"), "prediction"
     )
@@ -274,7 +263,7 @@ def tree_fit(t):
     BASE + ", " + LONG,
 )
 def association_chi2(t):
-    _, complete = complete_rows(t)
+    complete = rows_of(t).filter("complete")
     return chi_square(complete, "label", BAYES_FEATURES).withColumn("chi2", F.round("chi2", 6))
 
 

@@ -18,7 +18,7 @@ def chi_square(rows: DataFrame, label: str, features: Sequence[str]) -> DataFram
     """
     per_level = (
         count_levels(rows, label, features)
-        .filter(F.col("feature") != ALL)
+        .filter((F.col("feature") != ALL) & F.col("class").isNotNull())
         .groupBy("feature", "value")
         .pivot("class", list(CLASSES))
         .agg(F.sum("n"))

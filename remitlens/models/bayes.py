@@ -11,7 +11,7 @@ from collections.abc import Sequence
 from dataclasses import dataclass
 from functools import reduce
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from remitlens.operators.joins import join_skewed
@@ -27,16 +27,34 @@ ALL = ""  # pseudo feature whose single level counts the rows of a class
 class NaiveBayes:
     """``logs`` is the fitted model: log probabilities of both classes per level.
 
-    Its rows of the pseudo feature hold the priors. ``conditionals`` and ``priors``
-    show the ratios and the counts behind them.
+    Its rows of the pseudo feature hold the priors. ``ratios`` shows the counts and
+    probabilities behind them, one column per class.
     """
 
     features: tuple[str, ...]
     logs: DataFrame  # [by...], feature, value, log_0, log_1
-    conditionals: DataFrame  # [by...], feature, value, class, n, n_class, n_levels, p
-    priors: DataFrame  # [by...], class, n, prior
+    ratios: DataFrame  # [by...], feature, value, n_levels, n_c, n_class_c, p_c
     by: tuple[str, ...] = ()
 
+    def conditionals(self) -> DataFrame:
+        """One row per class and level."""
+        rows = self.ratios.filter(F.col("feature") != ALL)
+        return self._per_class(rows, "n", "n_class", "p").drop("n_all")
+
+    def priors(self) -> DataFrame:
+        """One row per class found in training."""
+        rows = self.ratios.filter(F.col("feature") == ALL).drop("feature", "value")
+        found = self._per_class(rows, "n", "p").filter(F.col("n") > 0)
+        return found.select(*self.by, "class", "n", F.col("p").alias("prior"))
+
+    def _per_class(self, rows: DataFrame, *names: str) -> DataFrame:
+        kept = [c for c in rows.columns if not c.endswith(tuple(f"_{k}" for k in CLASSES))]
+        entries = [
+            F.struct(F.lit(c).alias("class"), *[F.col(f"{n}_{c}").alias(n) for n in names])
+            for c in CLASSES
+        ]
+        return rows.select(*kept, F.inline(F.array(*entries)))
+
 
 def feature_values(features: Sequence[str], *extra: Column) -> Column:
     """Array of (feature, value) structs of a row."""
@@ -48,130 +66,105 @@ def _pair(feature: Column, value: Column) -> Column:
 
 
 def count_levels(rows: DataFrame, label: str, features: Sequence[str], *by: str) -> DataFrame:
-    """Rows per class, feature and level, and per class under the pseudo feature."""
+    """Rows per class, feature and level, and per class under the pseudo feature.
+
+    Unlabelled rows count under a null class, so their levels are known too.
+    """
     everything = _pair(F.lit(ALL), F.lit(ALL))
     return (
-        rows.filter(F.col(label).isNotNull())
-        .select(*by, F.col(label).alias("class"), F.inline(feature_values(features, everything)))
+        rows.select(
+            *by, F.col(label).alias("class"), F.inline(feature_values(features, everything))
+        )
         .filter(F.col("value").isNotNull())
         .groupBy(*by, "class", "feature", "value")
         .agg(F.count("*").alias("n"))
     )
 
 
-def observed_levels(rows: DataFrame, features: Sequence[str]) -> DataFrame:
-    return (
-        rows.select(F.inline(feature_values(features)))
-        .filter(F.col("value").isNotNull())
-        .distinct()
-    )
-
-
-def _every_class(levels: DataFrame) -> DataFrame:
-    return levels.withColumn("class", F.explode(F.array(*map(F.lit, CLASSES))))
-
-
-def _ratios(counts: DataFrame, levels: DataFrame, by: Sequence[str], smooth: float) -> DataFrame:
-    """Smoothed P(value | class) from counts that hold every level of every class."""
-    per_class = counts.groupBy(*by, "class", "feature").agg(F.sum("n").alias("n_class"))
-    n_levels = levels.groupBy("feature").agg(F.count("*").alias("n_levels"))
-    p = (F.col("n") + smooth) / (F.col("n_class") + smooth * F.col("n_levels"))
-    return (
-        counts.join(per_class, [*by, "class", "feature"])
-        .join(n_levels, "feature")
-        .withColumn("p", p)
-    )
-
-
-def _priors(sizes: DataFrame, by: Sequence[str], smooth: float) -> DataFrame:
-    whole = sizes.groupBy(*by).agg(F.sum("n").alias("_all"))
-    joined = sizes.join(whole, list(by)) if by else sizes.withColumn("_all", whole.scalar())
-    prior = (F.col("n") + smooth) / (F.col("_all") + smooth * len(CLASSES))
-    return joined.select(*by, "class", "n", prior.alias("prior"))
-
-
 def _model(
     features: Sequence[str],
     counts: DataFrame,
-    levels: DataFrame,
+    used: Column,
     by: Sequence[str],
     smooth: float,
     prior_smooth: float,
 ) -> NaiveBayes:
-    """Model from small count tables that hold every class, feature and level."""
-    conditionals = _ratios(counts.filter(F.col("feature") != ALL), levels, by, smooth)
-    sizes = counts.filter((F.col("feature") == ALL) & (F.col("n") > 0))
-    priors = _priors(sizes, by, prior_smooth)
-    keys = [*by, "feature", "value", "class", "p"]
-    prior_rows = priors.select(
-        *by, F.lit(ALL).alias("feature"), F.lit(ALL).alias("value"), "class", F.col("prior").alias("p")
-    )
-    logs = [F.max(F.when(F.col("class") == c, F.ln("p"))).alias(f"log_{c}") for c in CLASSES]
-    table = (
-        conditionals.select(*keys)
-        .unionByName(prior_rows)
-        .groupBy(*by, "feature", "value")
-        .agg(*logs)
+    """Model from level counts; counts outside ``used`` only contribute their levels."""
+    n = {
+        c: F.sum(F.when(used & (F.col("class") == c), F.col("n")).otherwise(0)) for c in CLASSES
+    }
+    wide = counts.groupBy(*by, "feature", "value").agg(
+        *[n[c].cast("bigint").alias(f"n_{c}") for c in CLASSES]
     )
-    return NaiveBayes(
-        tuple(features), materialize(table, "model"), conditionals, priors, tuple(by)
+    whole = Window.partitionBy(*by, "feature")
+    sized = wide.select(
+        "*",
+        F.count("*").over(whole).alias("n_levels"),
+        *[F.sum(f"n_{c}").over(whole).alias(f"n_class_{c}") for c in CLASSES],
+        reduce(lambda a, b: a + b, [F.col(f"n_{c}") for c in CLASSES]).alias("n_all"),
     )
 
-
-def _with_all(levels: DataFrame) -> DataFrame:
-    spark = levels.sparkSession
-    everything = spark.range(1).select(F.lit(ALL).alias("feature"), F.lit(ALL).alias("value"))
-    return levels.select("feature", "value").unionByName(everything)
+    def p(c: int) -> Column:
+        level = (F.col(f"n_{c}") + smooth) / (F.col(f"n_class_{c}") + smooth * F.col("n_levels"))
+        prior = F.try_divide(
+            F.col(f"n_{c}") + prior_smooth, F.col("n_all") + prior_smooth * len(CLASSES)
+        )
+        # a class absent from training gets no prior
+        seen_prior = F.when(F.col(f"n_{c}") > 0, prior)
+        return F.when(F.col("feature") == ALL, seen_prior).otherwise(level)
+
+    ratios = sized.withColumns({f"p_{c}": p(c) for c in CLASSES})
+    ratios = materialize(ratios, "model")
+    logs = ratios.select(
+        *by, "feature", "value", *[F.ln(f"p_{c}").alias(f"log_{c}") for c in CLASSES]
+    )
+    return NaiveBayes(tuple(features), logs, ratios, tuple(by))
 
 
-def _levels_or_seen(levels: DataFrame | None, counts: DataFrame) -> DataFrame:
-    seen = counts.filter(F.col("feature") != ALL).select("feature", "value").distinct()
-    return seen if levels is None else levels
+def fit_counts(
+    counts: DataFrame,
+    features: Sequence[str],
+    used: Column | None = None,
+    smooth: float = 1.0,
+    prior_smooth: float = 0.0,
+) -> NaiveBayes:
+    """Fit from a table of :func:`count_levels`."""
+    used = F.lit(True) if used is None else used
+    return _model(features, counts, used, [], smooth, prior_smooth)
 
 
 def fit(
     rows: DataFrame,
     label: str,
     features: Sequence[str],
-    levels: DataFrame | None = None,
     smooth: float = 1.0,
     prior_smooth: float = 0.0,
 ) -> NaiveBayes:
-    """Fit on labelled rows; ``levels`` lists the (feature, value) pairs when not as seen."""
-    counts = materialize(count_levels(rows, label, features), "level_counts")
-    levels = _levels_or_seen(levels, counts)
-    full = (
-        _every_class(_with_all(levels))
-        .join(counts, ["class", "feature", "value"], "left")
-        .na.fill({"n": 0})
-    )
-    return _model(features, full, levels, [], smooth, prior_smooth)
+    """Fit on the labelled rows; unlabelled ones contribute their levels."""
+    counts = count_levels(rows, label, features)
+    return fit_counts(counts, features, None, smooth, prior_smooth)
 
 
 def fit_folds(
-    rows: DataFrame,
-    label: str,
+    counts: DataFrame,
     features: Sequence[str],
     fold: str,
     k: int,
-    levels: DataFrame | None = None,
+    used: Column | None = None,
     smooth: float = 1.0,
     prior_smooth: float = 0.0,
 ) -> NaiveBayes:
-    """One model per left-out fold from a single count: all rows minus those of the fold."""
-    counts = materialize(count_levels(rows, label, features, fold), "fold_counts")
-    levels = _levels_or_seen(levels, counts)
-    keys = ["class", "feature", "value"]
-    whole = counts.groupBy(*keys).agg(F.sum("n").alias("_all"))
-    left_out = (
-        _every_class(_with_all(levels))
-        .join(whole, keys, "left")
-        .select("*", F.explode(F.sequence(F.lit(1), F.lit(k))).alias(fold))
-        .join(counts.withColumnRenamed("n", "_in"), [fold, *keys], "left")
+    """One model per left-out fold from one table of counts by fold.
+
+    Each count takes part in all folds but its own. Rows without a fold only
+    contribute their levels.
+    """
+    used = F.lit(True) if used is None else used
+    spread = counts.withColumnRenamed(fold, "_in").select(
+        "*", F.explode(F.sequence(F.lit(1), F.lit(k))).alias(fold)
     )
-    n = F.coalesce("_all", F.lit(0)) - F.coalesce("_in", F.lit(0))
-    full = left_out.select(fold, *keys, n.alias("n"))
-    return _model(features, full, levels, [fold], smooth, prior_smooth)
+    outside = used & (F.col("_in") != F.col(fold))
+    return _model(features, spread, outside, [fold], smooth, prior_smooth)
 
 
 def predict(rows: DataFrame, model: NaiveBayes, row_key: str) -> DataFrame:
@@ -210,11 +203,11 @@ def _add_logs(rows: DataFrame, model: NaiveBayes, row_key: str) -> DataFrame:
         *by, *[F.col(n).alias(f"_prior_{n}") for n in names]
     )
     if by:
-        # one row per fold
-        scored = scored.join(F.broadcast(prior), by, "left")
+        scored = scored.join(F.broadcast(prior), by, "left")  # one row per fold
     else:
+        known = prior.first()  # one row
         scored = scored.withColumns(
-            {f"_prior_{n}": prior.select(f"_prior_{n}").scalar() for n in names}
+            {f"_prior_{n}": F.lit(known[f"_prior_{n}"]).cast("double") for n in names}
         )
     totals = {n: reduce(lambda a, b: a + b, parts[n], F.col(f"_prior_{n}")) for n in names}
     return scored.withColumns(totals).select(*rows.columns, *names)

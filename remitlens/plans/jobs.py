@@ -6,7 +6,7 @@ from collections.abc import Sequence
 from dataclasses import asdict, dataclass, replace
 
 from pyspark.ml.feature import CountVectorizerModel, VectorAssembler
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from remitlens.functions.bins import AMOUNT_BREAKS
@@ -220,45 +220,56 @@ def transaction_job(
 # --- Naive Bayes -----------------------------------------------------------------------
 
 
-def bayes_levels(rows: DataFrame) -> DataFrame:
-    """Levels of all rows, labelled or not, plus every amount bin."""
-    seen = bayes.observed_levels(rows, BAYES_FEATURES)
-    fixed = rows.sparkSession.range(1, len(AMOUNT_BREAKS)).select(
-        F.lit("amount_bin").alias("feature"), F.col("id").cast("string").alias("value")
+def bayes_counts(rows: DataFrame, *by: str) -> DataFrame:
+    """Level counts of all rows by completeness and side, in one pass over the payments.
+
+    Every amount bin counts as a level, found in the data or not.
+    """
+    counts = bayes.count_levels(rows, "label", BAYES_FEATURES, "complete", "split_set", *by)
+    bins = rows.sparkSession.range(1, len(AMOUNT_BREAKS)).select(
+        F.lit("amount_bin").alias("feature"),
+        F.col("id").cast("string").alias("value"),
+        F.lit(0).cast("bigint").alias("n"),
     )
-    return materialize(seen.unionByName(fixed).distinct(), "levels")
+    return materialize(counts.unionByName(bins, allowMissingColumns=True), "level_counts")
+
+
+def _usable(side: str):
+    return F.coalesce(F.col("complete") & (F.col("split_set") == side), F.lit(False))
+
+
+def fit_bayes(rows: DataFrame, prior_smooth: float = 1.0) -> bayes.NaiveBayes:
+    """Model of the complete training payments; levels come from all payments."""
+    counts = bayes_counts(rows)
+    return bayes.fit_counts(
+        counts, BAYES_FEATURES, _usable("train"), prior_smooth=prior_smooth
+    )
+
+
+def score_bayes(rows: DataFrame, model: bayes.NaiveBayes) -> DataFrame:
+    """Complete test payments with their log posteriors and predictions."""
+    return bayes.predict(rows.filter(_usable("test")), model, RECORD)
 
 
 def bayes_job(phys: DataFrame, pay: DataFrame, comp: DataFrame) -> DataFrame:
     """Fit on complete training payments, predict test payments, any per recipient."""
     rows = bayes_rows(phys, pay, comp)
-    complete = rows.dropna("any", subset=["label", *BAYES_FEATURES])
-    model = bayes.fit(
-        complete.filter(F.col("split_set") == "train"),
-        "label",
-        BAYES_FEATURES,
-        levels=bayes_levels(rows),
-        prior_smooth=1.0,
-    )
-    scored = bayes.predict(complete.filter(F.col("split_set") == "test"), model, RECORD)
+    scored = score_bayes(rows, fit_bayes(rows))
     return scored.groupBy(F.col(ID).alias("id")).agg(F.max("prediction").alias("prediction"))
 
 
 def bayes_cv_accuracy(
-    phys: DataFrame, pay: DataFrame, comp: DataFrame, fold, k: int
+    phys: DataFrame, pay: DataFrame, comp: DataFrame, fold: Column, k: int
 ) -> DataFrame:
     """Accuracy per fold; ``fold`` is the fold expression over payment rows."""
     rows = bayes_rows(phys, pay, comp)
-    train = rows.dropna("any", subset=["label", *BAYES_FEATURES]).filter(
-        F.col("split_set") == "train"
-    )
-    folded = train.withColumn("fold", fold)
+    folded = rows.withColumn("fold", F.when(_usable("train"), fold))
     model = bayes.fit_folds(
-        folded, "label", BAYES_FEATURES, "fold", k, bayes_levels(rows), prior_smooth=1.0
+        bayes_counts(folded, "fold"), BAYES_FEATURES, "fold", k, _usable("train"), prior_smooth=1.0
     )
     hit = (F.col("prediction") == F.col("label")).cast("double")
     return (
-        bayes.predict(folded, model, RECORD)
+        bayes.predict(folded.filter(F.col("fold").isNotNull()), model, RECORD)
         .groupBy("fold")
         .agg(F.avg(hit).alias("accuracy"), F.count("*").alias("n"))
     )
