@@ -297,7 +297,8 @@ def win_nested_partitions(t):
         F.round(percent(F.col("by_form"), total), 6).alias("pct_form"),
         F.round(percent(F.col("by_company"), total), 6).alias("pct_company"),
     )
-    return join_skewed(t.pay.select(RECORD, *grain), values, grain, RECORD).drop(*grain)
+    facts = t.pay.select(RECORD, *grain)
+    return join_skewed(facts, values, grain, RECORD, null_safe=True).drop(*grain)
 
 
 @query(

@@ -6,10 +6,10 @@ from remitlens.catalog.registry import query
 from remitlens.functions.values import prefixed
 from remitlens.models.evaluate import best_run, roll_up, sweep
 from remitlens.operators.joins import join_keeping_dimension, join_natural, join_skewed
-from remitlens.operators.reshape import levels
+from remitlens.operators.reshape import levels, pivot_values
 from remitlens.operators.splits import role
 from remitlens.plans.clean import named_companies, split_specialties
-from remitlens.plans.features import payment_blocks
+from remitlens.plans.features import align, one_sided, payment_blocks
 from remitlens.plans.rules import row_predictions, stock_scores
 from remitlens.schemas import (
     AMOUNT,
@@ -157,21 +157,14 @@ def attach_scores_to_keys(t):
     + """ AS INTEGER) AS n FROM phys) l ON i.id = l.id"""
 )
 def join_feature_blocks(t):
-    shares = payment_blocks(t.pay)
-
-    def block(feature: str, name: str):
-        value = F.round("value", 6).alias(name)
-        return shares.filter(F.col("feature") == feature).select("id", value)
-
+    names = {"NATURE_ Food and Beverage": "food_pct", "FORM_ Cash or cash equivalent": "cash_pct"}
+    shares = payment_blocks(t.pay).filter(F.col("feature").isin(list(names)))
+    shares = shares.withColumn("value", F.round("value", 6))
+    wide = pivot_values(shares, "id", "feature", "value", list(names)).withColumnsRenamed(names)
     filled = F.filter(F.array(*LICENSES), lambda s: s.isNotNull())
     licenses = t.phys.select("id", F.size(filled).alias("n_licenses"))
     spine = t.pay.select(F.col(ID).alias("id")).distinct()
-    return (
-        spine.join(block("NATURE_ Food and Beverage", "food_pct"), "id", "left")
-        .join(block("FORM_ Cash or cash equivalent", "cash_pct"), "id", "left")
-        .join(licenses, "id", "left")
-        .na.fill(0)
-    )
+    return spine.join(wide, "id", "left").join(licenses, "id", "left").na.fill(0)
 
 
 # --- sorts and top-1 -------------------------------------------------------------------
@@ -245,16 +238,6 @@ def levels_union(t):
     )
 
 
-def side_features(t, side: str):
-    """City and company features of one side of the predefined split."""
-    people = t.phys.filter(F.col("split_set") == side)
-    ids = people.select(F.col("id").alias(ID))
-    rows = join_skewed(t.pay.select(RECORD, ID, COMPANY), ids, ID, RECORD, "left_semi")
-    companies = rows.select(prefixed("COMP_", F.col(COMPANY)).alias("feature"))
-    cities = people.select(prefixed("CITY_", F.col("City")).alias("feature"))
-    return companies.unionByName(cities).distinct()
-
-
 SIDES = """feats AS (SELECT split_set, concat('COMP_ ', CAST(Company_ID AS VARCHAR)) AS feature
     FROM pay JOIN phys ON pay.Physician_ID = phys.id
     UNION SELECT split_set, concat('CITY_ ', City) FROM phys)"""
@@ -268,14 +251,14 @@ SIDES = """feats AS (SELECT split_set, concat('COMP_ ', CAST(Company_ID AS VARCH
     SIDES,
 )
 def levels_difference(t):
-    train, test = side_features(t, "train"), side_features(t, "test")
-
-    def only(side, mine, other):
-        return mine.join(other, "feature", "left_anti").select(
-            F.lit(side).alias("only_in"), "feature"
-        )
-
-    return only("train", train, test).unionByName(only("test", test, train))
+    """City and company features that only one side of the predefined split has."""
+    people = t.phys.select(F.col("id").alias(ID), "split_set", prefixed("CITY_", F.col("City")))
+    people = people.toDF(ID, "split_set", "feature")
+    pairs = t.pay.select(ID, COMPANY).distinct()
+    companies = join_skewed(pairs, people.select(ID, "split_set"), ID, COMPANY, "inner")
+    companies = companies.select("split_set", prefixed("COMP_", F.col(COMPANY)).alias("feature"))
+    both = companies.unionByName(people.select("split_set", "feature"))
+    return one_sided(align(both, F.col("split_set") == "test"))
 
 
 @query(

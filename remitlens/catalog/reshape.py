@@ -246,8 +246,7 @@ def align_feature_space(t):
     """Features of both sides with one shared index; counts show where each occurs."""
     sides = t.phys.select("id", "split_set")
     long = long_features(t.phys, t.pay).join(sides, "id")
-    train = long.filter(F.col("split_set") == "train")
-    both = align(train, long.filter(F.col("split_set") == "test"))
+    both = align(long, F.col("split_set") == "test")
     indexed = with_row_index(both, "feature", name="idx")
     return indexed.withColumn("idx", F.col("idx") - 1)
 

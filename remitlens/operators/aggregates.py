@@ -42,9 +42,12 @@ def share_of_total(
 def attach_totals(
     df: DataFrame, key: Sequence[str], spread_by: str, **totals: Column
 ) -> DataFrame:
-    """Every row with aggregates of its group, without gathering a group in one task."""
+    """Every row with aggregates of its group, without gathering a group in one task.
+
+    Rows with a null key form a group of their own.
+    """
     grouped = df.groupBy(*key).agg(*[c.alias(n) for n, c in totals.items()])
-    return join_skewed(df, grouped, key, spread_by)
+    return join_skewed(df, grouped, key, spread_by, null_safe=True)
 
 
 def _value_bucket(v: Column) -> Column:
@@ -69,13 +72,12 @@ def exact_median(
     come together in one task, see :func:`_spread_median`.
     """
     rows = df.filter(F.col(amount).isNotNull()).select(key, amount)
+    middle = F.median(F.col(amount).cast("double")).alias(name)
     large = rows.groupBy(key).agg(F.count("*").alias("_n")).filter(F.col("_n") > group_rows)
     large = materialize(large.select(key), "large_keys")
-    small = (
-        join_skewed(rows, large, key, amount, "left_anti")
-        .groupBy(key)
-        .agg(F.median(F.col(amount).cast("double")).alias(name))
-    )
+    if large.isEmpty():
+        return rows.groupBy(key).agg(middle)
+    small = join_skewed(rows, large, key, amount, "left_anti").groupBy(key).agg(middle)
     spread = _spread_median(join_skewed(rows, large, key, amount, "left_semi"), key, amount, name)
     return small.unionByName(spread)
 

@@ -35,6 +35,19 @@ def hot_keys(df: DataFrame, on: Sequence[str]) -> DataFrame:
     return hot.select(*on, salts.cast("int").alias("_salts"))
 
 
+def _join(
+    left: DataFrame, right: DataFrame, on: Sequence[str], how: str, null_safe: bool
+) -> DataFrame:
+    """Equi-join keeping one copy of the keys; ``null_safe`` lets null keys match."""
+    if not null_safe:
+        return left.join(right, list(on), how)
+    other = {c: f"_right_{c}" for c in on}
+    same = reduce(
+        lambda a, b: a & b, [F.col(c).eqNullSafe(F.col(renamed)) for c, renamed in other.items()]
+    )
+    return left.join(right.withColumnsRenamed(other), same, how).drop(*other.values())
+
+
 def join_skewed(
     left: DataFrame,
     right: DataFrame,
@@ -43,34 +56,35 @@ def join_skewed(
     how: str = "left",
     salted: bool | None = None,
     keys_from: DataFrame | None = None,
+    null_safe: bool = False,
 ) -> DataFrame:
     """Join many rows per key (``left``) to one row per key (``right``).
 
     ``how`` is left, inner, left_semi or left_anti. ``spread_by`` names left columns
     that differ between rows of one key. ``keys_from`` is a cheaper table with the same
-    key frequencies as ``left``, such as the fact before other joins.
+    key frequencies as ``left``, such as the fact before other joins. Null keys match
+    nothing unless ``null_safe`` is set.
     """
     on = [on] if isinstance(on, str) else list(on)
     spread_by = [spread_by] if isinstance(spread_by, str) else list(spread_by)
     if salted is None:
         salted = not fits_broadcast(right)
     if not salted:
-        return left.join(right, on, how)
+        return _join(left, right, on, how, null_safe)
     # pinned once, so both sides use the same salts; fewer rows than shuffle partitions
     hot = materialize(hot_keys(left if keys_from is None else keys_from, on), "hot_keys")
     hot = F.broadcast(hot)
     spread = F.xxhash64(*spread_by)
-    unmatched = reduce(lambda a, b: a | b, [F.col(c).isNull() for c in on])
-    salt = (
-        F.when(F.col("_salts").isNotNull(), F.pmod(spread, F.col("_salts")))
-        .when(unmatched, F.pmod(spread, F.lit(shuffle_partitions(left))))  # null keys spread too
-        .otherwise(0)
-        .cast("int")
-    )
-    many = left.join(hot, on, "left").withColumn("_salt", salt).drop("_salts")
+    salt = F.when(F.col("_salts").isNotNull(), F.pmod(spread, F.col("_salts")))
+    if not null_safe:
+        # rows with a null key find no partner wherever they are, so they spread too
+        null_key = reduce(lambda a, b: a | b, [F.col(c).isNull() for c in on])
+        salt = salt.when(null_key, F.pmod(spread, F.lit(shuffle_partitions(left))))
+    many = _join(left, hot, on, "left", null_safe)
+    many = many.withColumn("_salt", salt.otherwise(0).cast("int")).drop("_salts")
     copies = F.explode(F.sequence(F.lit(0), F.coalesce("_salts", F.lit(1)) - 1))
-    one = right.join(hot, on, "left").withColumn("_salt", copies).drop("_salts")
-    return many.join(one, [*on, "_salt"], how).drop("_salt")
+    one = _join(right, hot, on, "left", null_safe).withColumn("_salt", copies).drop("_salts")
+    return _join(many, one, [*on, "_salt"], how, null_safe).drop("_salt")
 
 
 def join_natural(

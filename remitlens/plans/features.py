@@ -94,16 +94,19 @@ def long_features(phys: DataFrame, pay: DataFrame, summary: bool = False) -> Dat
     return long.unionByName(summary_block(pay)) if summary else long
 
 
-def align(train: DataFrame, test: DataFrame) -> DataFrame:
-    """Features of both sides with the number of recipients carrying each."""
-    sides = train.select("feature", F.lit(1).alias("tr"), F.lit(0).alias("te")).unionByName(
-        test.select("feature", F.lit(0).alias("tr"), F.lit(1).alias("te"))
-    )
-    return sides.groupBy("feature").agg(
-        F.sum("tr").alias("n_train"), F.sum("te").alias("n_test")
+def align(long: DataFrame, in_test: Column) -> DataFrame:
+    """Features with the number of training and of test rows carrying each."""
+    return long.groupBy("feature").agg(
+        F.count(F.when(~in_test, 1)).alias("n_train"), F.count(F.when(in_test, 1)).alias("n_test")
     )
 
 
+def one_sided(aligned: DataFrame) -> DataFrame:
+    """Features found on one side only."""
+    only = F.when(F.col("n_test") == 0, "train").when(F.col("n_train") == 0, "test")
+    return aligned.select(only.alias("only_in"), "feature").filter(F.col("only_in").isNotNull())
+
+
 def vectors(long: DataFrame, spine: DataFrame, dictionary: DataFrame, size: int) -> DataFrame:
     """``spine`` columns beside one sparse vector per id."""
     return assemble(spine, index_features(long, dictionary), size)

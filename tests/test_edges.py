@@ -18,7 +18,7 @@ from remitlens.operators.columns import ending_with, relocate, starting_with
 from remitlens.operators.missing import completeness, fill_sentinel
 from remitlens.operators.ordering import hash_folds, with_fold, with_row_index
 from remitlens.operators.reshape import one_hot, slot_counts, unpivot_groups, unpivot_slots
-from remitlens.plans.features import align
+from remitlens.plans.features import align, one_sided
 from tests.conftest import rows
 
 
@@ -149,12 +149,12 @@ def test_one_hot_of_null_is_zero(spark):
 
 
 def test_alignment_covers_both_sides(spark):
-    def side(*names):
-        return spark.createDataFrame([(1, n, 1.0) for n in names], "id int, feature string, value double")
-
-    assert rows(align(side("A", "B"), side("B", "C")), "feature") == [
-        ("A", 1, 0), ("B", 1, 1), ("C", 0, 1)
-    ]
+    long = spark.createDataFrame(
+        [("A", "train"), ("B", "train"), ("B", "test"), ("C", "test")], "feature string, side string"
+    )
+    both = align(long, F.col("side") == "test")
+    assert rows(both, "feature") == [("A", 1, 0), ("B", 1, 1), ("C", 0, 1)]
+    assert rows(one_sided(both), "feature") == [("train", "A"), ("test", "C")]
 
 
 def test_sentinel_fills_text_only(spark):
