@@ -417,11 +417,11 @@ def param_search_per_fold(t):
 
 @query()
 def param_grid_search(t):
-    """Every setting on every fold, mean BAC per setting and cut-off."""
+    """Every setting on every fold with several cut-offs; mean BAC per combination."""
     table = jobs.recipient_table(t.phys, t.pay)
     grid = [replace(QUICK, depth=d, rounds=3) for d in (3, 5)]
-    found = jobs.cross_validate(table.train, grid, 2)
-    return found.groupBy("rounds", "eta", "depth").agg(
+    found = jobs.cross_validate(table.train, grid, 2, thresholds=[0.1, 0.3, 0.5])
+    return found.groupBy("rounds", "eta", "depth", "threshold").agg(
         F.avg("bac").alias("mean_bac"), F.count("*").alias("folds")
     )
 

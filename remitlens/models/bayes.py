@@ -192,11 +192,15 @@ def _add_logs(rows: DataFrame, model: NaiveBayes, row_key: str) -> DataFrame:
     else:
         scored, parts = rows, {n: [] for n in names}
         for i, feature in enumerate(model.features):
+            keys = {"value": f"_{i}_value", **{c: f"_{i}_{c}" for c in by}}
             table = model.logs.filter(F.col("feature") == feature).select(
-                *by, F.col("value").alias("_v"), *[F.col(n).alias(f"_{i}_{n}") for n in names]
+                *[F.col(c).alias(renamed) for c, renamed in keys.items()],
+                *[F.col(n).alias(f"_{i}_{n}") for n in names],
             )
-            keyed = scored.withColumn("_v", F.col(feature).cast("string"))
-            scored = keyed.join(table, [*by, "_v"], "left").drop("_v")
+            same = F.col(feature).cast("string") == F.col(keys["value"])
+            for c in by:
+                same = same & (F.col(c) == F.col(keys[c]))
+            scored = scored.join(table, same, "left")
             for n in names:
                 parts[n].append(F.coalesce(f"_{i}_{n}", F.lit(0.0)))
     prior = model.logs.filter(F.col("feature") == ALL).select(

@@ -50,11 +50,13 @@ def bootstrap(df: DataFrame, key: str, seed: int, draw_share: int) -> DataFrame:
 
 
 def guard_leak(pay: DataFrame, test_ids: DataFrame) -> DataFrame:
-    """Payments without the labelled ones of test recipients."""
-    flagged = test_ids.select(ID, F.lit(True).alias("_test"))
-    joined = join_skewed(pay, flagged, ID, RECORD)
-    leaking = F.col("_test") & (F.col(LABEL) == "Yes")
-    return joined.filter(~F.coalesce(leaking, F.lit(False))).drop("_test")
+    """Payments without the labelled ones of test recipients.
+
+    Only the few labelled payments look up their recipient; the others pass untouched.
+    """
+    labelled = F.coalesce(F.col(LABEL) == "Yes", F.lit(False))
+    kept = join_skewed(pay.filter(labelled), test_ids.select(ID), ID, RECORD, "left_anti")
+    return pay.filter(~labelled).unionByName(kept)
 
 
 def lump_companies(pay: DataFrame, train: DataFrame, other: str = "Dummy") -> DataFrame:

@@ -10,10 +10,10 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from remitlens.functions.bins import AMOUNT_BREAKS
-from remitlens.functions.values import prefixed
+from remitlens.functions.values import any_known, prefixed
 from remitlens.models import bayes, trees
 from remitlens.models.association import chi_square_p_values
-from remitlens.models.evaluate import best_run, evaluate, roll_up
+from remitlens.models.evaluate import best_run, roll_up, sweep
 from remitlens.models.trees import BoostSettings
 from remitlens.operators.joins import join_skewed
 from remitlens.operators.missing import SENTINEL
@@ -144,35 +144,41 @@ def cross_validate(
     k: int,
     seed: int = 2021,
     paired: bool = False,
+    thresholds: Sequence[float] | None = None,
 ) -> DataFrame:
-    """Metrics per fold and setting.
+    """Metrics per fold, setting and cut-off, numbered in the order tried.
 
     ``paired`` tries setting i on fold i only; otherwise every setting meets every fold.
+    ``thresholds`` replaces the cut-off of the settings; trying more costs no refit.
+    A recipient is predicted 1 when any of its rows is, so its highest score decides.
     """
     folds = materialize(hash_folds(train, "id", seed, k).select("id", "fold"), "folds")
-    keyed = materialize(
-        join_skewed(train, folds, "id", RECORD if RECORD in train.columns else "id", "inner"),
-        "folded",
-    )
-    results = None
-    run = 0
+    spread = RECORD if RECORD in train.columns else "id"
+    keyed = materialize(join_skewed(train, folds, "id", spread, "inner"), "folded")
+    results, run = None, 0
     for fold in range(1, k + 1):
         chosen = [settings[(fold - 1) % len(settings)]] if paired else settings
         for setting in chosen:
-            run += 1
             model = trees.fit_boosted(keyed.filter(F.col("fold") != fold), setting)
-            held = trees.score(model, keyed.filter(F.col("fold") == fold), setting.threshold)
-            held = held.withColumn("truth", F.col("label"))
-            row = evaluate(roll_up(held, "id")).select(
-                F.lit(run).alias("run"),
+            held = trees.score(model, keyed.filter(F.col("fold") == fold))
+            rolled = held.groupBy("id").agg(
+                F.max("score").alias("score"), any_known(F.col("label")).alias("truth")
+            )
+            cuts = [float(c) for c in (thresholds or [setting.threshold])]
+            place = F.array_position(F.array(*map(F.lit, cuts)), F.col("threshold"))
+            tried = {n: v for n, v in asdict(setting).items() if n != "threshold"}
+            row = sweep(rolled, cuts).select(
+                (place + run).cast("int").alias("run"),
                 F.lit(fold).alias("fold"),
-                *[F.lit(v).alias(n) for n, v in asdict(setting).items()],
+                *[F.lit(v).alias(n) for n, v in tried.items()],
+                "threshold",
                 "tp",
                 "fp",
                 "fn",
                 "tn",
                 "bac",
             )
+            run += len(cuts)
             results = row if results is None else results.unionByName(row)
     return materialize(results, "metrics")
 

@@ -12,6 +12,8 @@ DEFAULT_CONF = {
     "spark.sql.adaptive.coalescePartitions.enabled": "true",
     "spark.sql.adaptive.skewJoin.enabled": "true",
     "spark.sql.session.timeZone": "UTC",
+    # no Python stack capture for every column expression
+    "spark.python.sql.dataFrameDebugging.enabled": "false",
 }
 
 
