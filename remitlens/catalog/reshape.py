@@ -4,6 +4,7 @@ from pyspark.sql import functions as F
 
 from remitlens.catalog.registry import query
 from remitlens.functions.values import percent, prefixed, split_parts
+from remitlens.operators.aggregates import share_of_total
 from remitlens.operators.ordering import with_row_index
 from remitlens.operators.reshape import (
     compact_array,
@@ -14,7 +15,7 @@ from remitlens.operators.reshape import (
     unpivot_slots,
 )
 from remitlens.plans.clean import split_specialties
-from remitlens.plans.features import align, long_features, payment_blocks
+from remitlens.plans.features import align, long_features
 from remitlens.schemas import (
     AMOUNT,
     FORM,
@@ -114,10 +115,13 @@ NATURES = ["Consulting Fee", "Education", "Food and Beverage", "Travel and Lodgi
     + "FROM pay GROUP BY 1"
 )
 def pivot_share_wide(t):
-    long = payment_blocks(t.pay).withColumn("value", F.round("value", 6))
     names = [f"NATURE_ {n}" for n in NATURES]
-    natures = long.filter(F.col("feature").isin(names))
-    return pivot_values(natures, "id", "feature", "value", names)
+    shares = share_of_total(t.pay, ID, [NATURE], AMOUNT).select(
+        F.col(ID).alias("id"),
+        prefixed("NATURE_", F.col(NATURE)).alias("feature"),
+        F.round("pct", 6).alias("value"),
+    )
+    return pivot_values(shares, "id", "feature", "value", names)
 
 
 STATES = [f"S{i}" for i in range(25)]  # fixed values: the license states pivoted to columns

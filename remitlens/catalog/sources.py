@@ -32,7 +32,8 @@ def _blank_even(df, key: str, columns: list[str]):
 
 @query(
     f"""SELECT Record_ID, Physician_ID, Company_ID, CAST({AMOUNT} AS DOUBLE) AS amount,
-    CAST(Number_of_Payments AS INTEGER) AS Number_of_Payments, "Date" AS payment_date, Charity, Product_Type_2 FROM pay"""
+    CAST(Number_of_Payments AS INTEGER) AS Number_of_Payments, "Date" AS payment_date,
+    Charity, Product_Type_2 FROM pay"""
 )
 def scan_csv_typed(t):
     path = scratch_path(t.spark, "payments.csv")
@@ -45,13 +46,11 @@ def scan_csv_typed(t):
     )
 
 
-@query(
-    """SELECT id, """
-    + ", ".join(
-        f"coalesce({c}, CASE WHEN id % 2 = 0 THEN '' END) AS {c}" for c in BLANKS[1:]
-    )
-    + " FROM phys"
-)
+def _blank_sql(c: str) -> str:
+    return f"coalesce({c}, CASE WHEN id % 2 = 0 THEN '' END) AS {c}"
+
+
+@query(f"SELECT id, {', '.join(map(_blank_sql, BLANKS[1:]))} FROM phys")
 def scan_csv_blank_kept(t):
     path = scratch_path(t.spark, "physicians.csv")
     write_csv(_blank_even(t.phys, "id", BLANKS[1:]).select(*BLANKS), path)

@@ -16,14 +16,9 @@ def chi_square(rows: DataFrame, label: str, features: Sequence[str]) -> DataFram
 
     The rows are reduced to level counts first; windows then run over level tables.
     """
-    per_level = (
-        count_levels(rows, label, features)
-        .filter((F.col("feature") != ALL) & F.col("class").isNotNull())
-        .groupBy("feature", "value")
-        .pivot("class", list(CLASSES))
-        .agg(F.sum("n"))
-        .na.fill(0)
-        .select("feature", "value", F.col("0").alias("n0"), F.col("1").alias("n1"))
+    counts = count_levels(rows, label, features).filter(F.col("feature") != ALL)
+    per_level = counts.groupBy("feature", "value").agg(
+        *[F.sum(F.when(F.col("class") == c, F.col("n")).otherwise(0)).alias(f"n{c}") for c in CLASSES]
     )
     whole = Window.partitionBy("feature")
     margins = per_level.select(
