@@ -99,5 +99,9 @@ def test_missing_and_unknown_values_are_skipped(spark):
     assert got[2][3] == 1
 
 
-def test_features_cover_all(spark):
-    assert len(set(BAYES_FEATURES)) == 11
+def test_complete_marks_rows_without_gaps(tables):
+    got = bayes_rows(tables.phys, tables.pay, tables.comp)
+    kept = got.filter("complete").count()
+    assert 0 < kept < got.count()
+    assert got.dropna("any", subset=["label", *BAYES_FEATURES]).count() == kept
+    assert got.filter("complete").dropna("any", subset=["label", *BAYES_FEATURES]).count() == kept
