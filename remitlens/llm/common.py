@@ -13,7 +13,7 @@ from pyspark.sql import functions as F
 from remitlens.session import materialize
 
 __all__ = [
-    "DOCUMENTS", "bounded_batches", "documents", "materialize", "rolling_hash",
+    "DOCUMENTS", "bounded_batches", "documents", "materialize", "rolling_hash", "sampled_labels",
     "slices", "table", "tasks_for", "train_labels", "word_spans",
 ]
 
@@ -125,3 +125,12 @@ def rolling_hash(data: np.ndarray, begin: np.ndarray, end: np.ndarray) -> np.nda
     value *= _MIX
     value ^= value >> np.uint64(29)
     return value
+
+
+def sampled_labels(labels: DataFrame, column: str, bound: int) -> DataFrame:
+    """About ``bound`` training labels at most, chosen by a hash of the id; small enough to send."""
+    known = train_labels(labels, column)
+    n = known.count()
+    if n > bound:
+        known = known.where(F.pmod(F.xxhash64("doc_id"), F.lit(n)) < bound)
+    return F.broadcast(known)

@@ -8,7 +8,14 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from remitlens.llm import decontaminate, packing, quality_rules, token_count
+from remitlens.llm import (
+    decontaminate,
+    packing,
+    quality_classifier,
+    quality_rules,
+    token_count,
+    toxicity,
+)
 from remitlens.llm.common import documents, table
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -19,6 +26,15 @@ def register(run: Callable[[SparkSession, str], DataFrame]):
     return run
 
 
+@register
+def op1_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    scored = toxicity.score_toxicity(documents(spark, sf_dir), table(spark, sf_dir, "labels"))
+    return scored.select(
+        "doc_id", toxicity.held_out().alias("held_out"), "score", "predicted",
+        F.size("segments").alias("n_segments"), "evidence",
+    )
+
+
 @register
 def op2_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     return quality_rules.apply_rules(documents(spark, sf_dir)).select(
@@ -39,6 +55,17 @@ def op7_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
     return token_count.count_tokens(documents(spark, sf_dir), path)
 
 
+@register
+def op8_quality_classifier(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = documents(spark, sf_dir).select(F.col("doc_id").cast("long"), "text")
+    machine = quality_classifier.fit_quality(docs, table(spark, sf_dir, "labels"))
+    score = F.col("quality_score")
+    return quality_classifier.score_quality(docs, machine).select(
+        "doc_id", toxicity.held_out().alias("held_out"), score.alias("score"),
+        (score >= quality_classifier.PASS_AT).cast("int").alias("predicted"),
+    )
+
+
 @register
 def op9_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
     found = decontaminate.find_contamination(
