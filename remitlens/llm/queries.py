@@ -11,9 +11,12 @@ from pyspark.sql import functions as F
 from remitlens.llm import (
     decontaminate,
     packing,
+    pii,
     quality_classifier,
     quality_rules,
+    simhash,
     token_count,
+    token_output,
     toxicity,
 )
 from remitlens.llm.common import documents, table
@@ -43,12 +46,23 @@ def op2_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+@register
+def op3_token_output(spark: SparkSession, sf_dir: str) -> DataFrame:
+    path = public_tokenizers.path("word_bpe_49k.json")
+    return token_output.packed_matrices(documents(spark, sf_dir), path)
+
+
 @register
 def op4_best_fit_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     path = public_tokenizers.path("word_bpe_49k.json")
     return packing.best_fit_pack(documents(spark, sf_dir), path)
 
 
+@register
+def op6_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return simhash.near_duplicates(documents(spark, sf_dir))
+
+
 @register
 def op7_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
     path = public_tokenizers.path("byte_bpe_50k.json")
@@ -72,3 +86,9 @@ def op9_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
         documents(spark, sf_dir).select("doc_id", "text"), table(spark, sf_dir, "benchmark")
     )
     return decontaminate.digest(found)
+
+
+@register
+def op10_pii_surrogates(spark: SparkSession, sf_dir: str) -> DataFrame:
+    replaced = pii.replace_personal_data(documents(spark, sf_dir).select("doc_id", "text"))
+    return replaced.select(F.col("doc_id").cast("long").alias("doc_id"), "text", "n_replaced")
