@@ -225,19 +225,15 @@ def with_components(printed: DataFrame) -> DataFrame:
         "distinct",
     )
     roots = components(links(firsts.select("fp")))
-    least = (
-        firsts.join(roots, firsts["fp"] == roots["node"])
-        .groupBy("root")
-        .agg(F.min("first").alias("component_id"))
+    linked = materialize(
+        roots.join(firsts, roots["node"] == firsts["fp"]).select("fp", "root", "first"), "linked"
     )
+    least = linked.groupBy("root").agg(F.min("first").alias("component_id"))
+    inside = linked.join(least, "root").select("fp", "component_id", F.lit(True).alias("found"))
     named = materialize(
-        firsts.join(roots, firsts["fp"] == roots["node"], "left")
-        .join(least, "root", "left")
-        .select(
+        firsts.join(inside, "fp", "left").select(
             F.col("fp").alias("fingerprint"),
-            F.when(F.col("root").isNull(), F.col("first"))
-            .otherwise(F.col("component_id"))
-            .alias("component_id"),
+            F.when(F.col("found"), F.col("component_id")).otherwise(F.col("first")).alias("component_id"),
         ),
         "components",
     )

@@ -23,12 +23,10 @@ from remitlens.llm.features import STEM_BYTES, Words, buckets, hashed_words, per
 
 #: Labelled rows that the fit reads at most (about; chosen by hash).
 MAX_LABELLED = 50_000
-#: Hashed tables: 2^19 words and 2^18 families of each size, 15 MB whatever the corpus.
-WORD_BITS, STEM_BITS = 19, 18
 #: Texts of the Dirichlet prior.
 PRIOR_TEXTS = 10.0
 #: Log-odds nearer to zero than this do not count.
-MIN_ODDS = 1.5
+MIN_ODDS = 3.5
 TOLL = 0.2
 MAX_SCORE = 8.0
 #: Evidence beyond this adds nothing; keeps the logistic map finite.
@@ -37,8 +35,15 @@ MAX_EVIDENCE = 60.0
 SEGMENTS = "array<struct<first:int,last:int,start:int,stop:int,score:double>>"
 
 
+#: Bits of the table that sorts out, before the exact look-up, hashes that carry no score.
+SIEVE_BITS = 20
+
+
 @dataclass(frozen=True)
 class Lexicon:
+    """Scores of the 64-bit hashes that tell the classes apart, sorted by hash."""
+
+    key: np.ndarray
     score: np.ndarray
     z: np.ndarray
     rate: float  # lambda of the background
@@ -46,56 +51,67 @@ class Lexicon:
     def values(self, words: Words) -> np.ndarray:
         """Score of each word: that of its surest slot, less the toll."""
         best, sure = np.zeros(len(words.row)), np.zeros(len(words.row))
-        for slot in slots(words):
-            z = self.z[slot]
-            better = np.abs(z) > sure
-            best = np.where(better, self.score[slot], best)
-            sure = np.where(better, np.abs(z), sure)
+        if len(self.key):
+            sieve = np.zeros(1 << SIEVE_BITS, bool)
+            sieve[buckets(self.key, SIEVE_BITS)] = True
+            for slot in slots(words):
+                maybe = np.flatnonzero(sieve[buckets(slot, SIEVE_BITS)])
+                at = np.minimum(np.searchsorted(self.key, slot[maybe]), len(self.key) - 1)
+                found = self.key[at] == slot[maybe]
+                maybe, at = maybe[found], at[found]
+                better = np.abs(self.z[at]) > sure[maybe]
+                maybe, at = maybe[better], at[better]
+                best[maybe], sure[maybe] = self.score[at], np.abs(self.z[at])
         return best - TOLL
 
 
 def slots(words: Words) -> list[np.ndarray]:
-    """The word's slot, then that of each of its families; every kind has its own range."""
-    out = [buckets(words.word, WORD_BITS)]
-    for k, stem in enumerate(words.stems):
-        out.append(buckets(stem, STEM_BITS) + (1 << WORD_BITS) + k * (1 << STEM_BITS))
-    return out
-
-
-SLOTS = (1 << WORD_BITS) + len(STEM_BYTES) * (1 << STEM_BITS)
+    """The word's hash, then that of each of its families, told apart by kind."""
+    kinds = [words.word, *words.stems]
+    return [h * np.uint64(2 * k + 1) for k, h in enumerate(kinds)]
 
 
 def count_slots(docs: DataFrame) -> DataFrame:
-    """slot, toxic, clean: texts of each label that hold the slot; slot -1 counts texts."""
+    """slot, whole, toxic, clean: texts of each label that hold the word (whole) or family.
+
+    The row of slot null counts all texts.
+    """
 
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        total = np.zeros((2, SLOTS), np.int64)
-        texts = np.zeros(2, np.int64)
         for batch in batches:
             labels = batch.column("label").to_numpy(zero_copy_only=False)
             for lo, hi, data, offsets in slices(batch):
-                side = (labels[lo:hi] != 1).astype(np.int64)
-                texts += np.bincount(side, minlength=2)
+                toxic = labels[lo:hi] == 1
                 words = hashed_words(data, offsets, stems=True)
-                for slot in slots(words):
-                    once = np.unique(words.row * SLOTS + slot)
-                    toxic = side[once // SLOTS] == 0
-                    once %= SLOTS
-                    np.add.at(total[0], once[toxic], 1)
-                    np.add.at(total[1], once[~toxic], 1)
-        seen = np.flatnonzero(total.any(axis=0))
-        yield _counts(np.array([-1]), texts[:1], texts[1:])
-        for at in range(0, len(seen), 50_000):
-            part = seen[at : at + 50_000]
-            yield _counts(part, total[0][part], total[1][part])
-
-    counted = docs.select("text", "label").mapInArrow(count, "slot long, toxic long, clean long")
-    return counted.groupBy("slot").agg(F.sum("toxic").alias("toxic"), F.sum("clean").alias("clean"))
-
-
-def _counts(slot: np.ndarray, toxic: np.ndarray, clean: np.ndarray) -> pa.RecordBatch:
+                n = np.array([toxic.sum(), len(toxic) - toxic.sum()])
+                yield _counts(pa.nulls(1, pa.int64()), True, n[:1], n[1:])
+                for kind, slot in enumerate(slots(words)):
+                    # one entry per text and slot, then counts per slot of this slice
+                    order = np.lexsort((words.row, slot))
+                    h, row = slot[order], words.row[order]
+                    if not len(h):
+                        continue
+                    fresh = np.ones(len(h), bool)
+                    fresh[1:] = (h[1:] != h[:-1]) | (row[1:] != row[:-1])
+                    h, bad = h[fresh], toxic[row[fresh]]
+                    first = np.flatnonzero(np.append(True, h[1:] != h[:-1]))
+                    of_all = np.diff(np.append(first, len(h)))
+                    of_bad = np.add.reduceat(bad.astype(np.int64), first)
+                    keys = pa.array(h[first].view(np.int64))
+                    yield _counts(keys, kind == 0, of_bad, of_all - of_bad)
+
+    counted = docs.select("text", "label").mapInArrow(
+        count, "slot long, whole boolean, toxic long, clean long"
+    )
+    return counted.groupBy("slot", "whole").agg(
+        F.sum("toxic").alias("toxic"), F.sum("clean").alias("clean")
+    )
+
+
+def _counts(slot: pa.Array, whole: bool, toxic: np.ndarray, clean: np.ndarray) -> pa.RecordBatch:
     return pa.RecordBatch.from_arrays(
-        [pa.array(slot), pa.array(toxic), pa.array(clean)], ["slot", "toxic", "clean"]
+        [slot, pa.array(np.full(len(slot), whole)), pa.array(toxic), pa.array(clean)],
+        ["slot", "whole", "toxic", "clean"],
     )
 
 
@@ -114,34 +130,43 @@ def background_rate(scores: np.ndarray, weights: np.ndarray) -> float:
     return (low + high) / 2
 
 
-def fit_lexicon(counts) -> Lexicon:
-    """Scores and their sureness from the slot counts (a frame of bounded size)."""
-    toxic, clean = np.zeros(SLOTS), np.zeros(SLOTS)
-    slot = counts["slot"].to_numpy(np.int64)
-    real = slot >= 0
-    toxic[slot[real]] = counts["toxic"].to_numpy(float)[real]
-    clean[slot[real]] = counts["clean"].to_numpy(float)[real]
-    n_toxic = float(counts["toxic"].to_numpy(float)[~real].sum())
-    n_clean = float(counts["clean"].to_numpy(float)[~real].sum())
-    if not n_toxic or not n_clean:
-        nothing = np.zeros(SLOTS, np.float32)
-        return Lexicon(nothing, nothing, 1.0)
-    both = toxic + clean
-    share = both / (n_toxic + n_clean)
-    prior = PRIOR_TEXTS * share + 1e-9
-    odds = np.log((toxic + prior) / (n_toxic + PRIOR_TEXTS)) - np.log(
-        (clean + prior) / (n_clean + PRIOR_TEXTS)
+def fit_lexicon(counts: DataFrame) -> Lexicon:
+    """Scores from the slot counts. Only slots that tell the classes apart come to the driver:
+    each takes several toxic texts of the bounded sample, so they are bounded with it.
+    """
+    nothing = np.zeros(0)
+    totals = counts.agg(
+        F.sum(F.when(F.col("slot").isNull(), F.col("toxic"))).alias("toxic"),
+        F.sum(F.when(F.col("slot").isNull(), F.col("clean"))).alias("clean"),
+        F.count("slot").alias("slots"),
+        F.sum(F.when(F.col("slot").isNotNull() & F.col("whole"), F.col("clean"))).alias("words"),
+    ).first()
+    if not totals["toxic"] or not totals["clean"]:
+        return Lexicon(nothing.astype(np.uint64), nothing, nothing, 1.0)
+    toxic, clean = F.col("toxic"), F.col("clean")
+    share = (toxic + clean) / float(totals["toxic"] + totals["clean"])
+    prior = share * PRIOR_TEXTS
+    odds = F.log((toxic + prior) / (totals["toxic"] + PRIOR_TEXTS)) - F.log(
+        (clean + prior) / (totals["clean"] + PRIOR_TEXTS)
     )
-    part = lambda n, total: n * np.log(np.maximum(n, 1e-9) / np.maximum(total * share, 1e-9))
-    ratio = 2 * (part(toxic, n_toxic) + part(clean, n_clean))
-    z = np.sign(odds) * np.sqrt(np.maximum(ratio, 0))
+    part = lambda n, total: F.when(n > 0, n * F.log(n / (share * float(total)))).otherwise(0.0)
+    ratio = 2 * (part(toxic, totals["toxic"]) + part(clean, totals["clean"]))
     # chance alone would bring the surest of so many slots about this far
-    chance = np.sqrt(2 * np.log(max(np.count_nonzero(both), 2)))
-    sure = (np.abs(z) >= chance) & (np.abs(odds) >= MIN_ODDS)
-    score = np.where(sure, np.clip(odds, -MAX_SCORE, MAX_SCORE), 0.0)
-    words = np.s_[: 1 << WORD_BITS]
-    rate = background_rate(score[words] - TOLL, clean[words])
-    return Lexicon(score.astype(np.float32), np.where(sure, z, 0).astype(np.float32), rate)
+    chance = float(np.sqrt(2 * np.log(max(totals["slots"], 2))))
+    found = (
+        counts.where(F.col("slot").isNotNull())
+        .select("slot", "whole", "clean", odds.alias("odds"), F.sqrt(F.greatest(ratio, F.lit(0.0))).alias("z"))
+        .where((F.col("z") >= chance) & (F.abs("odds") >= MIN_ODDS))
+        .toPandas()
+    )
+    key = found["slot"].to_numpy(np.int64).view(np.uint64)
+    score = np.clip(found["odds"].to_numpy(float), -MAX_SCORE, MAX_SCORE)
+    order = np.argsort(key)
+    whole = found["whole"].to_numpy(bool)
+    weight = found["clean"].to_numpy(float)[whole]
+    rest = max(float(totals["words"]) - weight.sum(), 0.0)
+    rate = background_rate(np.append(score[whole], 0.0) - TOLL, np.append(weight, rest))
+    return Lexicon(key[order], score[order], found["z"].to_numpy(float)[order], rate)
 
 
 def maximal_segments(scores: list[float]) -> list[tuple[int, int, float]]:
@@ -281,7 +306,8 @@ def score_toxicity(docs: DataFrame, labels: DataFrame, max_labelled: int = MAX_L
     bounded_batches(docs.sparkSession)
     known = sampled_labels(labels, "toxic", max_labelled)
     rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text")
-    lexicon = fit_lexicon(count_slots(rows.join(known, "doc_id")).toPandas())
+    counts = materialize(count_slots(rows.join(known, "doc_id")), "slot_counts")
+    lexicon = fit_lexicon(counts)
     scored = materialize(score_segments(rows, lexicon), "segments")
     trained = scored.join(known, "doc_id")
     top = F.coalesce(F.array_max(F.transform("segments", lambda s: s["score"])), F.lit(0.0))
