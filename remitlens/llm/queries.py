@@ -14,6 +14,7 @@ from remitlens.llm import (
     pii,
     quality_classifier,
     quality_rules,
+    repeats,
     simhash,
     token_count,
     token_output,
@@ -58,6 +59,11 @@ def op4_best_fit_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return packing.best_fit_pack(documents(spark, sf_dir), path)
 
 
+@register
+def op5_repeated_passages(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return repeats.remove_repeats(documents(spark, sf_dir)).drop("spans")
+
+
 @register
 def op6_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
     return simhash.near_duplicates(documents(spark, sf_dir))
