@@ -99,19 +99,30 @@ def _occurrences(docs: DataFrame, length: int, around: bool) -> DataFrame:
     return docs.select("_d", "text").mapInArrow(find, schema)
 
 
+def stable_order(values: np.ndarray) -> np.ndarray:
+    """Stable ascending order of whole numbers from -1 below 2^32 - 1, by two counting passes."""
+    shifted = (values + 1).astype(np.uint32)
+    order = np.argsort((shifted & np.uint32(0xFFFF)).astype(np.uint16), kind="stable")
+    high = (shifted >> np.uint32(16)).astype(np.uint16)
+    if not high.any():
+        return order
+    return order[np.argsort(high[order], kind="stable")]
+
+
 def shard_order(symbols: np.ndarray, following: np.ndarray, rounds: int) -> np.ndarray:
     """Suffix numbers of one shard sorted by their first ``rounds`` symbols.
 
     ``symbols`` holds each suffix's first symbol, -1 at an end; ``following`` the suffix behind
     that symbol (an end follows itself).
     """
-    order = np.arange(len(symbols))
-    keys = []
-    at = order
+    at, keys = np.arange(len(symbols)), []
     for _ in range(rounds):
         keys.append(symbols[at])
         at = following[at]
-    return np.lexsort(keys[::-1])
+    order = np.arange(len(symbols))
+    for key in reversed(keys):
+        order = order[stable_order(key[order])]
+    return order
 
 
 def merge_shards(
@@ -125,11 +136,10 @@ def merge_shards(
     """
     sizes = [len(t) for t in transforms]
     ends = [int((t < 0).sum()) for t in transforms]  # as many strings start as end
-    z = np.repeat(np.arange(len(sizes)), sizes)
+    z = np.repeat(np.arange(len(sizes), dtype=np.uint16), sizes)
     fresh = np.zeros(len(z), bool)
     fresh[:1] = True
-    lead = np.repeat(np.arange(len(ends)), ends)
-    starts = np.concatenate([[0], np.cumsum(sizes)])[:-1]
+    lead = np.repeat(np.arange(len(ends), dtype=np.uint16), ends)
     flat = np.concatenate(transforms) if transforms else np.zeros(0, np.int64)
     for _ in range(rounds):
         place = np.empty(len(z), np.int64)
@@ -138,7 +148,7 @@ def merge_shards(
         merged = flat[place]
         group = np.cumsum(fresh)
         goes = np.flatnonzero(merged >= 0)
-        order = goes[np.argsort(merged[goes], kind="stable")]
+        order = goes[stable_order(merged[goes])]
         z = np.concatenate([lead, z[order]])
         fresh = np.ones(len(z), bool)
         symbol, old = merged[order], group[order]
@@ -153,8 +163,8 @@ def repeated_strings(
     places: np.ndarray,
     length: int = LENGTH,
     shard_windows: int = SHARD_WINDOWS,
-) -> list[np.ndarray]:
-    """For each window the offsets of strings that also start at an earlier place.
+) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Window, start and stop of the ranges covered by strings that also start earlier.
 
     ``places`` are the windows' own first places, in one numbering of all texts of the bucket,
     so that windows which overlap in a text do not count as repeats of each other. Each window is twenty strings of symbols, one per phase; merging orders all their suffixes.
@@ -194,10 +204,13 @@ def repeated_strings(
     earliest = np.full(int(group[-1]) + 1 if len(group) else 0, np.iinfo(np.int64).max)
     np.minimum.at(earliest, group, place)
     late = suffix[place > earliest[group]]
-    found: list[list[int]] = [[] for _ in range(n)]
-    for s in np.sort(late).tolist():
-        found[owner[s]].append(int(offset[s]))
-    return [np.array(f, np.int64) for f in found]
+    late.sort()
+    of, at = owner[late], offset[late]
+    if not len(late):
+        return of, at, at
+    first = np.flatnonzero(np.append(True, (of[1:] != of[:-1]) | (at[1:] > at[:-1] + length)))
+    last = np.append(first[1:] - 1, len(late) - 1)
+    return of[first], at[first], at[last] + length
 
 
 def merged_ranges(starts: np.ndarray, ends: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
@@ -210,27 +223,16 @@ def merged_ranges(starts: np.ndarray, ends: np.ndarray) -> tuple[np.ndarray, np.
     return starts[new], ends[np.append(new[1:] - 1, len(ends) - 1)]
 
 
-def _ranges_of(offsets: np.ndarray, base: int, length: int) -> tuple[np.ndarray, np.ndarray]:
-    return merged_ranges(base + offsets, base + offsets + length)
-
-
 def _settle_buckets(windows: DataFrame, n: int, length: int) -> DataFrame:
     """d, start, stop: repeated ranges of the windows, bucket by bucket."""
 
     def settle(found: pa.Table) -> pa.Table:
-        ids, bases = found.column("d").to_pylist(), found.column("base").to_pylist()
-        out: list[tuple[int, int, int]] = []
-        text = np.unique(found.column("d").to_numpy(), return_inverse=True)[1]
-        places = (text.astype(np.int64) << 32) + found.column("base").to_numpy()
-        hits = repeated_strings(found.column("window").to_pylist(), places, length)
-        for d, base, offsets in zip(ids, bases, hits, strict=True):
-            if len(offsets):
-                out += [(d, int(a), int(b)) for a, b in zip(*_ranges_of(offsets, base, length), strict=True)]
-        columns = list(zip(*out, strict=True)) or [(), (), ()]
-        kinds = (pa.int64(), pa.int32(), pa.int32())
-        return pa.table(
-            [pa.array(c, k) for c, k in zip(columns, kinds, strict=True)], ["d", "start", "stop"]
-        )
+        ids, base = found.column("d").to_numpy(), found.column("base").to_numpy()
+        text = np.unique(ids, return_inverse=True)[1]
+        places = (text.astype(np.int64) << 32) + base
+        of, start, stop = repeated_strings(found.column("window").to_pylist(), places, length)
+        columns = (ids[of], (base[of] + start).astype(np.int32), (base[of] + stop).astype(np.int32))
+        return pa.table([pa.array(c) for c in columns], ["d", "start", "stop"])
 
     buckets = tasks_for(n, BUCKET_WINDOWS)
     return (
