@@ -23,7 +23,7 @@ from remitlens.schemas import (
     SPECIALTIES,
 )
 
-BUCKET = "CAST(('0x' || substr(md5('{seed}:' || CAST({key} AS VARCHAR)), 1, 8)) AS BIGINT)"
+BUCKET = "CAST(('0x' || substr(md5('{seed}:' || CAST({key} AS VARCHAR)), 1, 15)) AS BIGINT)"
 
 
 def sql_bucket(seed, key: str) -> str:
@@ -31,7 +31,7 @@ def sql_bucket(seed, key: str) -> str:
 
 
 def sql_below(seed, key: str, share: float) -> str:
-    return f"{sql_bucket(seed, key)} < {int(share * (1 << 32))}"
+    return f"{sql_bucket(seed, key)} < {int(share * (1 << 60))}"
 
 
 @query(

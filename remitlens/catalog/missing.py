@@ -191,7 +191,7 @@ def kfold_groups_shuffled(t):
     count(CASE WHEN truth = 1 AND score <= 0.05 THEN 1 END) AS fn,
     count(CASE WHEN truth = 0 AND score <= 0.05 THEN 1 END) AS tn
     FROM scores, (VALUES (1), (2), (3), (4), (5)) AS r(run) WHERE """
-    + f"{sql_bucket('X', 'Physician_ID')} < {1 << 30} GROUP BY run)".replace(
+    + f"{sql_bucket('X', 'Physician_ID')} < {1 << 58} GROUP BY run)".replace(
         "'X:'", "CAST(run AS VARCHAR) || ':'"
     ),
     """scores AS (SELECT Physician_ID, CAST(count(CASE WHEN

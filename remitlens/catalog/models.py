@@ -6,9 +6,11 @@ from pyspark.sql import functions as F
 
 from remitlens.catalog.joins import SCORES, sql_bucket
 from remitlens.catalog.registry import query
+from remitlens.functions.values import yes_no
 from remitlens.models import bayes, trees
 from remitlens.models.association import chi_square
 from remitlens.models.evaluate import best_run, evaluate, roll_up, sweep
+from remitlens.operators.joins import join_skewed
 from remitlens.operators.splits import hash_fold, role
 from remitlens.plans import jobs
 from remitlens.plans.clean import BAYES_FEATURES, bayes_rows
@@ -122,19 +124,20 @@ def nb_priors(t):
 
 @query(
     f"""SELECT class, feature, round(avg(x), 6) AS mean, round(stddev_samp(x), 6) AS sd FROM
-    (SELECT CASE Ownership_Indicator WHEN 'Yes' THEN 1 ELSE 0 END AS class, 'amount' AS feature,
-    CAST({AMOUNT} AS DOUBLE) AS x FROM pay UNION ALL SELECT CASE Ownership_Indicator
-    WHEN 'Yes' THEN 1 ELSE 0 END, 'n_payments', CAST(Number_of_Payments AS DOUBLE) FROM pay)
-    GROUP BY 1, 2"""
+    (SELECT class, feature, x FROM (SELECT CASE Ownership_Indicator WHEN 'Yes' THEN 1
+    WHEN 'No' THEN 0 END AS class, CAST({AMOUNT} AS DOUBLE) AS amount,
+    CAST(Number_of_Payments AS DOUBLE) AS n_payments FROM pay
+    JOIN phys ON Physician_ID = phys.id WHERE split_set = 'train')
+    UNPIVOT (x FOR feature IN (amount, n_payments)) WHERE class IS NOT NULL) GROUP BY 1, 2"""
 )
 def nb_gaussian_params(t):
-    label = F.when(F.col(LABEL) == "Yes", 1).otherwise(0).alias("label")
-    rows = t.pay.select(
-        label,
+    train = t.phys.filter(F.col("split_set") == "train").select(F.col("id").alias(ID))
+    rows = join_skewed(t.pay, train, ID, RECORD, "left_semi").select(
+        yes_no(F.col(LABEL)).alias("label"),
         F.col(AMOUNT).alias("amount"),
         F.col("Number_of_Payments").alias("n_payments"),
     )
-    found = bayes.gaussian(rows, "label", ["amount", "n_payments"])
+    found = bayes.gaussian(rows.filter("label IS NOT NULL"), "label", ["amount", "n_payments"])
     return found.select(
         "class", "feature", F.round("mean", 6).alias("mean"), F.round("sd", 6).alias("sd")
     )
@@ -260,10 +263,10 @@ def tree_fit(t):
     JOIN (SELECT class, count(*) AS n FROM complete GROUP BY 1) k ON k.class = g.class
     LEFT JOIN (SELECT feature, value, class, count(*) AS n FROM long GROUP BY 1, 2, 3) c
     ON c.feature = g.feature AND c.value = g.value AND c.class = g.class) GROUP BY 1""",
-    BASE + ", " + LONG,
+    BASE + ", " + LONG.replace("base WHERE class", "base WHERE split_set = 'train' AND class"),
 )
 def association_chi2(t):
-    complete = rows_of(t).filter("complete")
+    complete = rows_of(t).filter("complete AND split_set = 'train'")
     return chi_square(complete, "label", BAYES_FEATURES).withColumn("chi2", F.round("chi2", 6))
 
 

@@ -61,11 +61,11 @@ def hash_key(seed: int | Column, c: Column) -> Column:
 
 
 def hash_bucket(seed: int | Column, c: Column) -> Column:
-    """First 32 bits of the digest as a non-negative bigint."""
-    return F.conv(F.substring(hash_key(seed, c), 1, 8), 16, 10).cast("bigint")
+    """First 60 bits of the digest as a non-negative bigint."""
+    return F.conv(F.substring(hash_key(seed, c), 1, 15), 16, 10).cast("bigint")
 
 
-HASH_RANGE = 1 << 32
+HASH_RANGE = 1 << 60
 
 
 def hash_below(seed: int | Column, c: Column, share: float) -> Column:

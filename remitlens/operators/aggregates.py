@@ -6,12 +6,11 @@ from collections.abc import Sequence
 
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from remitlens.functions.values import any_known, percent
 from remitlens.operators.joins import join_skewed
-from remitlens.session import materialize
 
-MEDIAN_GROUP_ROWS = 200_000  # rows of one key the built-in median may gather
 CENT_BITS = 11  # leading bits kept per bucket: at most 64 * 2**CENT_BITS buckets per sign
 
 
@@ -60,37 +59,22 @@ def _value_bucket(v: Column) -> Column:
 
 
 def exact_median(
-    df: DataFrame,
-    key: str,
-    amount: str,
-    name: str = "median_amount",
-    group_rows: int = MEDIAN_GROUP_ROWS,
+    df: DataFrame, key: str, amount: str, name: str = "median_amount"
 ) -> DataFrame:
-    """Exact median of a two-decimal amount per key.
-
-    Keys of at most ``group_rows`` rows use the built-in aggregate. Larger ones never
-    come together in one task, see :func:`_spread_median`.
-    """
-    rows = df.filter(F.col(amount).isNotNull()).select(key, amount)
-    middle = F.median(F.col(amount).cast("double")).alias(name)
-    large = rows.groupBy(key).agg(F.count("*").alias("_n")).filter(F.col("_n") > group_rows)
-    large = materialize(large.select(key), "large_keys")
-    if large.isEmpty():
-        return rows.groupBy(key).agg(middle)
-    small = join_skewed(rows, large, key, amount, "left_anti").groupBy(key).agg(middle)
-    spread = _spread_median(join_skewed(rows, large, key, amount, "left_semi"), key, amount, name)
-    return small.unionByName(spread)
-
-
-def _spread_median(rows: DataFrame, key: str, amount: str, name: str) -> DataFrame:
-    """Median of keys of any size.
+    """Exact median of a decimal amount per key, for keys of any size, the null key included.
 
     Equal amounts are counted before the shuffle and spread over (key, amount); the
     middle position is found among value buckets, whose number per key is fixed, and
-    then inside the one or two buckets that hold it.
+    then inside the one or two buckets that hold it. Amounts are the whole numbers of
+    the decimal's own scale; other types raise TypeError.
     """
+    kind = df.schema[amount].dataType
+    if not isinstance(kind, T.DecimalType) or kind.precision > 18:
+        raise TypeError(f"{amount} must be a decimal of at most 18 digits, not {kind}")
+    unit = 10**kind.scale
     counted = (
-        rows.groupBy(key, (F.col(amount) * 100).cast("bigint").alias("_v"))
+        df.filter(F.col(amount).isNotNull())
+        .groupBy(key, (F.col(amount) * unit).cast("bigint").alias("_v"))
         .agg(F.count("*").alias("_n"))
         .withColumn("_b", _value_bucket(F.col("_v")))
     )
@@ -101,8 +85,8 @@ def _spread_median(rows: DataFrame, key: str, amount: str, name: str) -> DataFra
         counted.groupBy(key, "_b")
         .agg(F.sum("_n").alias("_nb"))
         .select(
-            key,
-            "_b",
+            F.col(key).alias("_key"),
+            F.col("_b").alias("_bucket"),
             (until - F.col("_nb")).alias("_before"),
             until.alias("_until"),
             F.call_function("div", whole + 1, F.lit(2)).alias("_lo"),
@@ -115,7 +99,8 @@ def _spread_median(rows: DataFrame, key: str, amount: str, name: str) -> DataFra
         .orderBy("_v")
         .rowsBetween(Window.unboundedPreceding, Window.currentRow)
     )
-    ranked = counted.join(buckets, [key, "_b"]).withColumn(
+    same = F.col(key).eqNullSafe(F.col("_key")) & (F.col("_b") == F.col("_bucket"))
+    ranked = counted.join(buckets, same).withColumn(
         "_to", F.col("_before") + F.sum("_n").over(inside)
     )
 
@@ -123,7 +108,7 @@ def _spread_median(rows: DataFrame, key: str, amount: str, name: str) -> DataFra
         return (F.col("_to") - F.col("_n") < F.col(position)) & (F.col(position) <= F.col("_to"))
 
     middle = F.sum(F.when(holds("_lo"), F.col("_v"))) + F.sum(F.when(holds("_hi"), F.col("_v")))
-    return ranked.groupBy(key).agg((middle / 200.0).alias(name))
+    return ranked.groupBy(key).agg((middle / (2.0 * unit)).alias(name))
 
 
 def any_by(df: DataFrame, key: str, **flags: str) -> DataFrame:

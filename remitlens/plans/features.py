@@ -7,7 +7,6 @@ from pyspark.sql import functions as F
 
 from remitlens.functions.values import any_known, percent, prefixed, yes_no
 from remitlens.operators.aggregates import exact_median, totals_by
-from remitlens.operators.missing import SENTINEL
 from remitlens.operators.reshape import assemble, compact_array, index_features
 from remitlens.plans.clean import split_specialties
 from remitlens.schemas import (
@@ -39,8 +38,9 @@ def payment_blocks(pay: DataFrame) -> DataFrame:
     """
 
     def entry(block: str, prefix: str, column: str) -> Column:
-        level = F.coalesce(F.col(column).cast("string"), F.lit(SENTINEL))
-        return F.struct(F.lit(block).alias("block"), prefixed(prefix, level).alias("feature"))
+        level = F.col(column)
+        feature = F.when(level.isNotNull(), prefixed(prefix, level))
+        return F.struct(F.lit(block).alias("block"), feature.alias("feature"))
 
     entries = F.array(
         entry("share", "NATURE_", NATURE),
@@ -58,7 +58,7 @@ def payment_blocks(pay: DataFrame) -> DataFrame:
         F.coalesce(percent(F.col("part"), whole), F.lit(0.0))
     )
     return sums.select("id", "feature", value.alias("value")).filter(
-        ~F.col("feature").endswith(SENTINEL)
+        F.col("feature").isNotNull()
     )
 
 

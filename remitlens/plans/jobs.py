@@ -16,7 +16,6 @@ from remitlens.models.association import chi_square_p_values
 from remitlens.models.evaluate import best_run, roll_up, sweep
 from remitlens.models.trees import BoostSettings
 from remitlens.operators.joins import join_skewed
-from remitlens.operators.missing import SENTINEL
 from remitlens.operators.ordering import hash_folds
 from remitlens.operators.reshape import compact_array, feature_dictionary
 from remitlens.plans.clean import BAYES_FEATURES, bayes_rows, transactions_of_all
@@ -111,7 +110,7 @@ def transaction_tokens(phys: DataFrame, pay: DataFrame, comp: DataFrame) -> Data
         F.coalesce(F.col(AMOUNT).cast("double"), F.lit(0.0)).alias("amount"),
         F.col("Number_of_licenses").cast("double").alias("n_licenses"),
         F.col("Number_of_related_products").cast("double").alias("n_products"),
-        F.filter(tokens, lambda t: ~t.endswith(SENTINEL)).alias("tokens"),
+        tokens.alias("tokens"),
     )
 
 

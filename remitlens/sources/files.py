@@ -7,13 +7,25 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 NULL_TEXT = "NA"
+#: Quotes inside quoted text are doubled; outer spaces belong to the value.
+QUOTING = {
+    "header": "true",
+    "quote": '"',
+    "escape": '"',
+    "ignoreLeadingWhiteSpace": "false",
+    "ignoreTrailingWhiteSpace": "false",
+}
 
 
-def read_csv_typed(spark: SparkSession, path: str, schema: T.StructType) -> DataFrame:
-    """Header CSV where both ``NA`` and blank text are null."""
-    raw = (
-        spark.read.schema(schema).option("header", True).option("nullValue", NULL_TEXT).csv(path)
-    )
+def read_csv_typed(
+    spark: SparkSession, path: str, schema: T.StructType, multi_line: bool = False
+) -> DataFrame:
+    """Header CSV where both ``NA`` and blank text are null.
+
+    ``multi_line`` reads values that hold line breaks; each file is then one task.
+    """
+    reader = spark.read.schema(schema).options(**QUOTING).option("nullValue", NULL_TEXT)
+    raw = reader.option("multiLine", multi_line).csv(path)
     return raw.select(
         *[
             F.nullif(f.name, F.lit("")).alias(f.name)
@@ -24,10 +36,15 @@ def read_csv_typed(spark: SparkSession, path: str, schema: T.StructType) -> Data
     )
 
 
-def read_csv_blank_kept(spark: SparkSession, path: str, schema: T.StructType) -> DataFrame:
-    """Header CSV where only ``NA`` is null and blank text stays blank."""
+def read_csv_blank_kept(
+    spark: SparkSession, path: str, schema: T.StructType, multi_line: bool = False
+) -> DataFrame:
+    """Header CSV where only ``NA`` is null and blank text stays blank.
+
+    ``multi_line`` reads values that hold line breaks; each file is then one task.
+    """
     text = T.StructType([T.StructField(f.name, T.StringType()) for f in schema])
-    raw = spark.read.schema(text).option("header", True).csv(path)
+    raw = spark.read.schema(text).options(**QUOTING).option("multiLine", multi_line).csv(path)
 
     def typed(f: T.StructField):
         value = F.when(F.col(f.name) != NULL_TEXT, F.col(f.name))
@@ -41,8 +58,8 @@ def read_csv_blank_kept(spark: SparkSession, path: str, schema: T.StructType) ->
 
 
 def write_csv(df: DataFrame, path: str, mode: str = "errorifexists") -> None:
-    """Header CSV with nulls written as ``NA``."""
-    df.write.mode(mode).option("header", True).option("nullValue", NULL_TEXT).csv(path)
+    """Header CSV with nulls written as ``NA``, text quoted where it needs to be."""
+    df.write.mode(mode).options(**QUOTING).option("nullValue", NULL_TEXT).csv(path)
 
 
 def append_metrics(metrics: DataFrame, path: str) -> None:

@@ -168,3 +168,24 @@ def test_column_selection(spark):
     assert starting_with(df, "license_") == ["License_1", "LICENSE_2"]
     assert ending_with(df, "travel") == ["b_Travel"]
     assert relocate(df, "b_Travel").columns == ["b_Travel", "License_1", "LICENSE_2"]
+
+
+def test_csv_keeps_quotes_spaces_and_line_breaks(spark, tmp_path):
+    from pyspark.sql import types as T
+
+    from remitlens.sources.files import read_csv_blank_kept, read_csv_typed, write_csv
+
+    texts = [T.StructField(c, T.StringType()) for c in ("a", "b")]
+    schema = T.StructType([T.StructField("id", T.IntegerType()), *texts])
+    data = [(1, 'He said "x", then left', "after"), (2, "  lead ", "two\nlines"), (3, None, "NA,")]
+    write_csv(spark.createDataFrame(data, schema).coalesce(1), str(tmp_path / "f"))
+    for read in (read_csv_typed, read_csv_blank_kept):
+        got = read(spark, str(tmp_path / "f"), schema, multi_line=True)
+        assert sorted(map(tuple, got.collect())) == data
+
+
+def test_depth_beyond_the_limit_is_an_error(spark):
+    from remitlens.models.trees import BoostSettings, fit_boosted
+
+    with pytest.raises(ValueError, match="depth"):
+        fit_boosted(spark.range(1), BoostSettings(rounds=1, eta=0.1, depth=70))

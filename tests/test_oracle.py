@@ -7,8 +7,8 @@ import __spark_entry__ as entry
 
 QUERIES = entry.queries()
 ORACLES = entry.oracle_sql()
-TABLES = ("customer", "orders", "supplier")
-TYPES = {"bigint": "BIGINT", "int": "INTEGER", "double": "DOUBLE", "string": "VARCHAR"}
+TABLES = ("customer", "orders", "supplier", "documents", "benchmark", "labels")
+TYPES = {"bigint": "BIGINT", "int": "INTEGER", "double": "DOUBLE", "string": "VARCHAR", "boolean": "BOOLEAN"}
 
 
 @pytest.fixture(scope="module")
