@@ -132,11 +132,12 @@ def cut_sql(value: str, breaks) -> str:
     return f"CAST(CASE WHEN {' AND '.join(tests)} THEN {index} + {shift} END AS INTEGER)"
 
 
+# Labels of the amount bins, in order.
 @query(
     f"""SELECT Record_ID, bin, CASE bin WHEN 1 THEN '(0,10]' WHEN 2 THEN '(10,15]'
-    WHEN 3 THEN '(15,20]' WHEN 12 THEN '(100,Inf)' WHEN 4 THEN '(20,30]' WHEN 5 THEN '(30,40]'
-    WHEN 6 THEN '(40,50]' WHEN 7 THEN '(50,60]' WHEN 8 THEN '(60,70]' WHEN 9 THEN '(70,80]'
-    WHEN 10 THEN '(80,90]' WHEN 11 THEN '(90,100]' END AS label FROM
+    WHEN 3 THEN '(15,20]' WHEN 4 THEN '(20,30]' WHEN 5 THEN '(30,40]' WHEN 6 THEN '(40,50]'
+    WHEN 7 THEN '(50,60]' WHEN 8 THEN '(60,70]' WHEN 9 THEN '(70,80]' WHEN 10 THEN '(80,90]'
+    WHEN 11 THEN '(90,100]' WHEN 12 THEN '(100,Inf)' END AS label FROM
     (SELECT Record_ID, {cut_sql(AMOUNT, bins.AMOUNT_BREAKS)} AS bin FROM pay)"""
 )
 def bin_cut_amount(t):
