@@ -16,6 +16,7 @@ from remitlens.operators.aggregates import (
 from remitlens.operators.joins import join_skewed
 from remitlens.operators.ordering import with_hash_index
 from remitlens.operators.reshape import unpivot_groups
+from remitlens.plans.clean import split_specialties
 from remitlens.plans.rules import row_predictions
 from remitlens.schemas import (
     AMOUNT,
@@ -109,18 +110,28 @@ ATTRIBUTES = {
     "related_product": "Related_Product_Indicator",
     "product_type": "Product_Type_1",
     "company": COMPANY,
+    "specialty": "Specialty1",
+    "state": "State",
+    "company_state": "Company_State",
 }
 
 
 @query(
     " UNION ALL ".join(
         f"SELECT Physician_ID, '{k}' AS attribute, CAST({c} AS VARCHAR) AS level, count(*) AS n "
-        "FROM pay GROUP BY 1, 3"
+        "FROM j GROUP BY 1, 3"
         for k, c in ATTRIBUTES.items()
-    )
+    ),
+    """j AS (SELECT pay.*, nullif(split_part(Primary_Specialty, '|', 1), '') AS Specialty1,
+    phys.State, comp.State AS Company_State FROM pay LEFT JOIN phys ON pay.Physician_ID = phys.id
+    LEFT JOIN comp ON pay.Company_ID = comp.Company_ID)""",
 )
 def agg_onehot_counts(t):
-    return level_counts(t.pay, ID, ATTRIBUTES)
+    people = split_specialties(t.phys).select(F.col("id").alias(ID), "Specialty1", "State")
+    companies = t.comp.select(COMPANY, F.col("State").alias("Company_State"))
+    joined = join_skewed(t.pay, people, ID, RECORD)
+    joined = join_skewed(joined, companies, COMPANY, RECORD, keys_from=t.pay)
+    return level_counts(joined, ID, ATTRIBUTES)
 
 
 def _share_sql(*by: str) -> str:

@@ -1,9 +1,10 @@
 """Missing data, sampling and splitting."""
 
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from remitlens.catalog.joins import sql_below, sql_bucket
-from remitlens.catalog.registry import query
+from remitlens.catalog.registry import cut_sql, query
 from remitlens.functions import bins
 from remitlens.functions.values import count_present, yes_no
 from remitlens.models.evaluate import evaluate
@@ -11,75 +12,103 @@ from remitlens.operators.joins import join_skewed
 from remitlens.operators.missing import completeness, fill_sentinel
 from remitlens.operators.ordering import hash_folds, with_fold, with_row_index
 from remitlens.operators.splits import bootstrap, guard_leak, repeated_roles, role
-from remitlens.plans.clean import split_specialties
+from remitlens.plans.clean import named_companies, split_specialties
 from remitlens.plans.rules import stock_scores
-from remitlens.schemas import AMOUNT, FORM, ID, LABEL, LICENSES, NATURE, RECORD, SPECIALTIES
+from remitlens.schemas import (
+    AMOUNT,
+    COMPANY,
+    FORM,
+    ID,
+    LABEL,
+    LICENSES,
+    PAYMENTS,
+    PHYSICIANS,
+    PRODUCT_COLUMNS,
+    RECORD,
+    SPECIALTIES,
+)
 
 FOLD = "greatest(1, CAST(ceil((i - 1) * {k} / CAST(n - 1 AS DOUBLE)) AS INTEGER))"
-DROPPED = ["Product_Type_1", "Charity", "Related_Product_Indicator"]
+# Columns that are empty by design on most payments: second and third products, codes, travel, notes.
+SPARSE = {
+    "Charity", "Third_Party_Covered", "Contextual_Information", "City_of_Travel",
+    "State_of_Travel", "Country_of_Travel", "Product_Code_1",
+    *[c for c in PRODUCT_COLUMNS if not c.endswith("_1")],
+}
+DENSE = [c for c in PAYMENTS.names if c not in SPARSE]
 
 
 @query(
-    "SELECT Record_ID, Product_Type_1, Charity FROM pay WHERE "
-    + " AND ".join(f"{c} IS NOT NULL" for c in DROPPED)
+    f"SELECT {', '.join(f'CAST({c} AS DOUBLE) AS amount' if c == AMOUNT else c for c in DENSE)} "
+    f"FROM pay WHERE {' AND '.join(f'{c} IS NOT NULL' for c in DENSE)}"
 )
 def drop_null_rows(t):
-    kept = t.pay.select(RECORD, *DROPPED).dropna("any")
-    return kept.select(RECORD, "Product_Type_1", "Charity")
+    """Payments lacking none of the columns that a model keeps."""
+    kept = t.pay.select(*DENSE).dropna("any")
+    return kept.withColumn("amount", F.col(AMOUNT).cast("double")).drop(AMOUNT)
+
+
+PERSON_TEXT = [f.name for f in PHYSICIANS if isinstance(f.dataType, T.StringType)]
+PAYMENT_TEXT = [f.name for f in PAYMENTS if isinstance(f.dataType, T.StringType)]
 
 
 @query(
-    "SELECT id, "
-    + ", ".join(f"coalesce({c}, 'DUMMY') AS {c}" for c in LICENSES)
-    + ", coalesce(Middle_Name, 'DUMMY') AS Middle_Name FROM phys"
+    "SELECT Record_ID, Physician_ID, pay.Company_ID, "
+    + ", ".join(f"coalesce(pay.\"{c}\", 'DUMMY') AS \"{c}\"" for c in PAYMENT_TEXT)
+    + ", "
+    + ", ".join(f"coalesce(phys.{c}, 'DUMMY') AS {c}" for c in PERSON_TEXT)
+    + """, coalesce(comp.Name, 'DUMMY') AS Company_Name, coalesce(comp.State, 'DUMMY') AS
+    Company_State, coalesce(comp.Country, 'DUMMY') AS Company_Country FROM pay
+    LEFT JOIN phys ON pay.Physician_ID = phys.id
+    LEFT JOIN comp ON pay.Company_ID = comp.Company_ID"""
 )
 def fill_null_sentinel(t):
-    return fill_sentinel(t.phys.select("id", *LICENSES, "Middle_Name"))
+    """Every text column of payments with their recipients and companies."""
+    people = t.phys.withColumnRenamed("id", ID)
+    joined = join_skewed(t.pay.select(RECORD, ID, COMPANY, *PAYMENT_TEXT), people, ID, RECORD)
+    joined = join_skewed(joined, named_companies(t.comp), COMPANY, RECORD, keys_from=t.pay)
+    return fill_sentinel(joined)
+
+
+# The text standing for a missing value of each column.
+FILLS = {
+    "Third_Party_Covered": "Dummy Specialty",
+    "Specialty1": "Dummy Specialty",
+    "Related_Product_Indicator": "Dummy Product Indicator",
+    "Product_Type_1": "Dummy Product",
+    "State": "Dummy State",
+    "Company_State": "Dummy Company_State",
+}
 
 
 @query(
-    """SELECT Record_ID, coalesce(Third_Party_Covered, 'Dummy Specialty') AS
-    Third_Party_Covered, coalesce(nullif(split_part(Primary_Specialty, '|', 1), ''),
-    'Dummy Specialty') AS Specialty1, coalesce(Related_Product_Indicator,
-    'Dummy Product Indicator') AS Related_Product_Indicator, coalesce(Product_Type_1,
-    'Dummy Product') AS Product_Type_1, coalesce(phys.State, 'Dummy State') AS State,
-    coalesce(comp.State, 'Dummy Company_State') AS Company_State FROM pay
-    LEFT JOIN phys ON pay.Physician_ID = phys.id
-    LEFT JOIN comp ON pay.Company_ID = comp.Company_ID"""
+    f"SELECT Record_ID, {', '.join(f"coalesce({c}, '{v}') AS {c}" for c, v in FILLS.items())} FROM j",
+    """j AS (SELECT Record_ID, Third_Party_Covered, Related_Product_Indicator, Product_Type_1,
+    nullif(split_part(Primary_Specialty, '|', 1), '') AS Specialty1, phys.State,
+    comp.State AS Company_State FROM pay LEFT JOIN phys ON pay.Physician_ID = phys.id
+    LEFT JOIN comp ON pay.Company_ID = comp.Company_ID)""",
 )
 def fill_null_per_column(t):
     people = split_specialties(t.phys).select(F.col("id").alias(ID), "Specialty1", "State")
-    companies = t.comp.select("Company_ID", F.col("State").alias("Company_State"))
+    companies = t.comp.select(COMPANY, F.col("State").alias("Company_State"))
     facts = t.pay.select(
-        RECORD, ID, "Company_ID", "Third_Party_Covered", "Related_Product_Indicator", "Product_Type_1"
+        RECORD, ID, COMPANY, "Third_Party_Covered", "Related_Product_Indicator", "Product_Type_1"
     )
     joined = join_skewed(facts, people, ID, RECORD)
-    joined = join_skewed(joined, companies, "Company_ID", RECORD, keys_from=t.pay)
-    return joined.drop(ID, "Company_ID").na.fill(
-        {
-            "Third_Party_Covered": "Dummy Specialty",
-            "Specialty1": "Dummy Specialty",
-            "Related_Product_Indicator": "Dummy Product Indicator",
-            "Product_Type_1": "Dummy Product",
-            "State": "Dummy State",
-            "Company_State": "Dummy Company_State",
-        }
-    )
-
-
-PROFILED = [NATURE, "Product_Type_1", "Product_Type_2", "Charity", "Contextual_Information"]
+    joined = join_skewed(joined, companies, COMPANY, RECORD, keys_from=t.pay)
+    return joined.drop(ID, COMPANY).na.fill(FILLS)
 
 
 @query(
     " UNION ALL ".join(
-        f"""SELECT '{c}' AS column_name, round(CAST(count({c}) AS DOUBLE) / count(*), 6)
+        f"""SELECT '{c}' AS column_name, round(CAST(count("{c}") AS DOUBLE) / count(*), 6)
         AS complete_rate FROM pay"""
-        for c in PROFILED
+        for c in PAYMENTS.names
     )
 )
 def profile_completeness(t):
     rate = F.round("complete_rate", 6).alias("complete_rate")
-    return completeness(t.pay, PROFILED).select("column_name", rate)
+    return completeness(t.pay, PAYMENTS.names).select("column_name", rate)
 
 
 N_LICENSES = " + ".join(f"CASE WHEN {c} IS NOT NULL THEN 1 ELSE 0 END" for c in LICENSES)
@@ -87,12 +116,9 @@ N_PARTS = " + ".join(
     f"CASE WHEN split_part(Primary_Specialty, '|', {i}) <> '' THEN 1 ELSE 0 END"
     for i in (1, 2, 3)
 )
-EDGES = [10, 15, 20, 30, 40, 50, 60, 70, 80, 90, 100]
-AMOUNT_BIN = f"""CASE WHEN {AMOUNT} > 0 THEN 1 + {' + '.join(
-    f'CASE WHEN {AMOUNT} > {e} THEN 1 ELSE 0 END' for e in EDGES)} END"""
 CLASSED = {
     "form": FORM,
-    "amount_bin": f"CAST({AMOUNT_BIN} AS VARCHAR)",
+    "amount_bin": f"CAST({cut_sql(AMOUNT, bins.AMOUNT_BREAKS)} AS VARCHAR)",
     "n_specialties": f"CAST({N_PARTS} AS VARCHAR)",
     "n_licenses": f"CAST({N_LICENSES} AS VARCHAR)",
 }

@@ -5,33 +5,25 @@ from dataclasses import replace
 from pyspark.sql import functions as F
 
 from remitlens.catalog.joins import SCORES, sql_bucket
-from remitlens.catalog.registry import query
+from remitlens.catalog.registry import cut_sql, query
+from remitlens.functions.bins import AMOUNT_BREAKS
 from remitlens.functions.values import yes_no
 from remitlens.models import bayes, trees
 from remitlens.models.association import chi_square
 from remitlens.models.evaluate import best_run, evaluate, roll_up, sweep
 from remitlens.operators.joins import join_skewed
-from remitlens.operators.splits import hash_fold, role
+from remitlens.operators.splits import hash_fold
 from remitlens.plans import jobs
 from remitlens.plans.clean import BAYES_FEATURES, bayes_rows
 from remitlens.plans.rules import row_predictions, stock_scores
 from remitlens.session import materialize
 from remitlens.schemas import AMOUNT, FORM, ID, LABEL, LICENSES, NATURE, PRODUCT_TYPES, RECORD
 
-# Rounds and depth kept small so that every registered model fits in seconds here;
-# the settings of the known runs are in remitlens.models.trees.
-QUICK = trees.BoostSettings(rounds=5, eta=0.45, depth=4, subsample=0.9, weight=20.0)
-QUICK_RUNS = (QUICK, replace(QUICK, subsample=0.8), replace(QUICK, subsample=0.7))
-QUICK_ROWS = tuple(replace(s, weight=60.0, rounds=3) for s in QUICK_RUNS)
-
-
 def _filled(columns) -> str:
     return " + ".join(f"CASE WHEN {c} IS NOT NULL THEN 1 ELSE 0 END" for c in columns)
 
 
-EDGES = [10, 15, 20, 30, 40, 50, 60, 70, 80, 90, 100]
-AMOUNT_BIN = f"""CASE WHEN {AMOUNT} > 0 THEN 1 + {' + '.join(
-    f'CASE WHEN {AMOUNT} > {e} THEN 1 ELSE 0 END' for e in EDGES)} END"""
+AMOUNT_BIN = cut_sql(AMOUNT, AMOUNT_BREAKS)
 BAND = """CASE WHEN Number_of_Payments IN (1, 2, 3, 4) THEN CAST(Number_of_Payments AS VARCHAR)
     WHEN Number_of_Payments BETWEEN 5 AND 6 THEN '5-6'
     WHEN Number_of_Payments BETWEEN 7 AND 11 THEN '7-11'
@@ -207,33 +199,37 @@ def end_to_end_nb(t):
 def gbt_fit(t):
     """Importance of every feature of boosted trees over recipients."""
     table = jobs.recipient_table(t.phys, t.pay)
-    model = trees.fit_boosted(table.train, QUICK)
+    model = jobs.fit_stopped(table.train, trees.RECIPIENT_RUNS[0])
     return trees.importances(model, table.dictionary)
 
 
 @query(
-    """SELECT p.id, coalesce(label, 0) AS label, CASE WHEN label = 1 THEN
+    """SELECT p.id, label, CASE WHEN label = 1 THEN
     round((SELECT count(CASE WHEN label = 0 THEN 1 END) * CAST(1 AS DOUBLE)
     / count(CASE WHEN label = 1 THEN 1 END) FROM lab), 6) ELSE 1.0 END AS weight
     FROM lab p""",
     """lab AS (SELECT Physician_ID AS id, max(CASE WHEN Ownership_Indicator = 'Yes' THEN 1
-    ELSE 0 END) AS label FROM pay GROUP BY 1)""",
+    ELSE 0 END) AS label FROM pay JOIN phys ON Physician_ID = phys.id
+    WHERE split_set = 'train' GROUP BY 1)""",
 )
 def class_weight_column(t):
-    rows = stock_scores(t.pay).select(F.col(ID).alias("id"), F.col("truth").alias("label"))
+    """Weights of training recipients, by the ratio of their classes."""
+    train = t.phys.filter(F.col("split_set") == "train").select("id")
+    scores = stock_scores(t.pay).select(F.col(ID).alias("id"), F.col("truth").alias("label"))
+    rows = scores.join(train, "id", "left_semi")
     return rows.withColumn("weight", F.round(trees.class_weight(rows, None), 6))
 
 
 @query()
 def early_stopping(t):
-    """Number of trees with and without stopping on held-out recipients."""
+    """Rounds allowed and used by a fit that stops on held-out recipients, with its predictions."""
     table = jobs.recipient_table(t.phys, t.pay)
-    longer = replace(QUICK, rounds=12)
-    stopped = trees.fit_boosted(table.train, longer, role(11, "id", 0.25) == "test")
+    setting = trees.RECIPIENT_RUNS[0]
+    stopped = jobs.fit_stopped(table.train, setting)
     scored = trees.score(stopped, table.test)
     return scored.groupBy("prediction").agg(
         F.count("*").alias("n"),
-        F.lit(longer.rounds).alias("rounds_allowed"),
+        F.lit(setting.rounds).alias("rounds_allowed"),
         F.lit(stopped.getNumTrees).alias("rounds_used"),
     )
 
@@ -241,8 +237,9 @@ def early_stopping(t):
 @query()
 def score_probability(t):
     table = jobs.recipient_table(t.phys, t.pay, unseen="drop")
-    model = trees.fit_boosted(table.train, QUICK)
-    return trees.score(model, table.test, QUICK.threshold).select("id", "score", "prediction")
+    setting = trees.RECIPIENT_RUNS[0]
+    model = jobs.fit_stopped(table.train, setting)
+    return trees.score(model, table.test, setting.threshold).select("id", "score", "prediction")
 
 
 @query()
@@ -271,7 +268,8 @@ def association_chi2(t):
 
 
 INDICATORS = """lab AS (SELECT Physician_ID AS id, max(CASE WHEN Ownership_Indicator = 'Yes'
-    THEN 1 ELSE 0 END) AS y FROM pay GROUP BY 1), owned AS (
+    THEN 1 ELSE 0 END) AS y FROM pay JOIN phys ON Physician_ID = phys.id
+    WHERE split_set = 'train' GROUP BY 1), owned AS (
     SELECT DISTINCT id, concat('LICENSE_ ', v) AS feature FROM (""" + " UNION ALL ".join(
     f"SELECT id, {c} AS v FROM phys" for c in LICENSES
 ) + """) WHERE v IS NOT NULL UNION SELECT DISTINCT id, concat('SPEC_ ', v) FROM (""" + (
@@ -415,14 +413,14 @@ def eval_mean_over_runs(t):
 def param_search_per_fold(t):
     """Setting i tried on fold i only."""
     table = jobs.recipient_table(t.phys, t.pay)
-    return jobs.cross_validate(table.train, QUICK_RUNS, 3, paired=True)
+    return jobs.cross_validate(table.train, trees.RECIPIENT_RUNS, 3, paired=True)
 
 
 @query()
 def param_grid_search(t):
     """Every setting on every fold with several cut-offs; mean BAC per combination."""
     table = jobs.recipient_table(t.phys, t.pay)
-    grid = [replace(QUICK, depth=d, rounds=3) for d in (3, 5)]
+    grid = [replace(trees.FIRST_ROWS, depth=d) for d in (3, 6)]
     found = jobs.cross_validate(table.train, grid, 2, thresholds=[0.1, 0.3, 0.5])
     return found.groupBy("rounds", "eta", "depth", "threshold").agg(
         F.avg("bac").alias("mean_bac"), F.count("*").alias("folds")
@@ -433,17 +431,21 @@ def param_grid_search(t):
 def best_of_search(t):
     """The best fold and setting of a paired search."""
     table = jobs.recipient_table(t.phys, t.pay)
-    found = jobs.cross_validate(table.train, QUICK_RUNS, 3, paired=True)
+    found = jobs.cross_validate(table.train, trees.RECIPIENT_RUNS, 3, paired=True)
     return best_run(found, "fold", "eta", "subsample", "weight", "depth")
 
 
 @query()
 def end_to_end_flagship(t):
     """Recipient grain: features, alignment, paired search, refit, prediction."""
-    return jobs.recipient_job(t.phys, t.pay, QUICK_RUNS, final_rounds=6)
+    return jobs.recipient_job(
+        t.phys, t.pay, trees.RECIPIENT_RUNS, trees.RECIPIENT_FINAL_ROUNDS
+    )
 
 
 @query()
 def end_to_end_transaction(t):
     """Transaction grain: multi-hot rows, paired search, refit, roll-up."""
-    return jobs.transaction_job(t.phys, t.pay, t.comp, QUICK_ROWS, final_rounds=3)
+    return jobs.transaction_job(
+        t.phys, t.pay, t.comp, trees.TRANSACTION_RUNS, trees.TRANSACTION_FINAL_ROUNDS
+    )

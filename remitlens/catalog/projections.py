@@ -11,12 +11,22 @@ from remitlens.operators.columns import (
     without,
 )
 from remitlens.operators.missing import SENTINEL, fill_sentinel
-from remitlens.plans.clean import PERSONAL, named_companies
+from remitlens.plans.clean import named_companies
 from remitlens.plans.rules import stock_scores
-from remitlens.schemas import AMOUNT, COMPANY, ID, LABEL, LICENSES, N_PAYMENTS, NATURE, RECORD
+from remitlens.schemas import (
+    AMOUNT,
+    COMPANY,
+    ID,
+    LABEL,
+    LICENSES,
+    N_PAYMENTS,
+    NATURE,
+    PHYSICIANS,
+    RECORD,
+)
 
 LICENSE_LIST = ", ".join(LICENSES)
-
+USED = {"id", "split_set", "Primary_Specialty", *LICENSES}
 
 
 @query(f"SELECT Physician_ID, {NATURE}, CAST({AMOUNT} AS DOUBLE) AS amount FROM pay")
@@ -26,7 +36,7 @@ def project_keep(t):
 
 @query(f"SELECT id, split_set, Primary_Specialty, {LICENSE_LIST} FROM phys")
 def project_drop(t):
-    return without(t.phys, PERSONAL)
+    return without(t.phys, [c for c in PHYSICIANS.names if c not in USED])
 
 
 @query(f"SELECT id, {LICENSE_LIST} FROM phys")

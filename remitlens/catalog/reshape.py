@@ -5,6 +5,7 @@ from pyspark.sql import functions as F
 from remitlens.catalog.registry import query
 from remitlens.functions.values import percent, prefixed, split_parts
 from remitlens.operators.aggregates import share_of_total
+from remitlens.operators.joins import join_skewed
 from remitlens.operators.ordering import with_row_index
 from remitlens.operators.reshape import (
     compact_array,
@@ -14,8 +15,9 @@ from remitlens.operators.reshape import (
     unpivot_groups,
     unpivot_slots,
 )
-from remitlens.plans.clean import split_specialties
+from remitlens.plans.clean import split_specialties, transactions_of_all
 from remitlens.plans.features import align, long_features
+from remitlens.plans.jobs import transaction_entries
 from remitlens.schemas import (
     AMOUNT,
     FORM,
@@ -101,7 +103,7 @@ def split_to_columns(t):
     return t.phys.select("id", *split_parts(F.col("Primary_Specialty"), SPECIALTIES))
 
 
-# The natures pivoted to columns.
+# Fixed values of the SQL checks: the natures, states and one-hot levels of the test tables.
 NATURES = ["Consulting Fee", "Education", "Food and Beverage", "Travel and Lodging"]
 
 
@@ -115,16 +117,15 @@ NATURES = ["Consulting Fee", "Education", "Food and Beverage", "Travel and Lodgi
     + "FROM pay GROUP BY 1"
 )
 def pivot_share_wide(t):
-    names = [f"NATURE_ {n}" for n in NATURES]
     shares = share_of_total(t.pay, ID, [NATURE], AMOUNT).select(
         F.col(ID).alias("id"),
         prefixed("NATURE_", F.col(NATURE)).alias("feature"),
         F.round("pct", 6).alias("value"),
     )
-    return pivot_values(shares, "id", "feature", "value", names)
+    return pivot_values(shares, "id", "feature", "value")
 
 
-STATES = [f"S{i}" for i in range(25)]  # fixed values: the license states pivoted to columns
+STATES = [f"S{i}" for i in range(25)]
 
 
 @query(
@@ -141,33 +142,69 @@ def pivot_indicator_wide(t):
     long = owned.select(
         "id", F.concat(F.lit("lic_"), "state").alias("feature"), F.lit(1).alias("value")
     )
-    return pivot_values(long, "id", "feature", "value", [f"lic_{s}" for s in STATES])
+    return pivot_values(long, "id", "feature", "value")
 
 
-RECIPIENTS = ["Entity", "Individual", "No Third Party Payment"]  # fixed values
+ENCODED = {
+    "tp_": ("Third_Party_Recipient", ["Entity", "Individual", "No Third Party Payment"]),
+    "nature_": (NATURE, NATURES),
+    "related_": ("Related_Product_Indicator", ["No", "Yes"]),
+    "form_": (
+        FORM,
+        [
+            "Cash or cash equivalent",
+            "In-kind items and services",
+            "Stock, stock option, or any other ownership interest",
+        ],
+    ),
+}
 
 
 @query(
     "SELECT Record_ID, "
     + ", ".join(
-        f"CASE WHEN Third_Party_Recipient = '{v}' THEN 1 ELSE 0 END AS \"tp_{v}\""
-        for v in RECIPIENTS
+        f"CASE WHEN {c} = '{v}' THEN 1 ELSE 0 END AS \"{prefix}{v}\""
+        for prefix, (c, values) in ENCODED.items()
+        for v in values
     )
     + " FROM pay"
 )
 def onehot_encode(t):
-    rows = t.pay.select(RECORD, "Third_Party_Recipient")
-    return one_hot(rows, "Third_Party_Recipient", RECIPIENTS, "tp_").drop("Third_Party_Recipient")
+    columns = {prefix: c for prefix, (c, _) in ENCODED.items()}
+    rows = t.pay.select(RECORD, *columns.values())
+    for prefix, column in columns.items():
+        rows = one_hot(rows, column, prefix)
+    return rows.drop(*columns.values())
+
+
+SLOTTED = {"TYPE_": PRODUCT_TYPES, "SPEC_": SPECIALTIES, "LICENSE_": LICENSES}
+JOINED = f"""joined AS (SELECT pay.*, {', '.join(LICENSES)}, split_set, {', '.join(
+        f"{PARTS.format(i=i)} AS Specialty{i}" for i in (1, 2, 3)
+    )}, comp.Country AS Company_Country FROM pay JOIN phys ON pay.Physician_ID = phys.id
+    LEFT JOIN comp ON pay.Company_ID = comp.Company_ID)"""
+SLOT_LEVELS = " UNION ALL ".join(
+    f"SELECT Record_ID, concat('{prefix} ', {c}) AS level FROM joined WHERE {c} IS NOT NULL"
+    for prefix, columns in SLOTTED.items()
+    for c in columns
+)
 
 
-@query(
-    "SELECT Record_ID, level, count(*) AS n FROM ("
-    + " UNION ALL ".join(f"SELECT Record_ID, {c} AS level FROM pay" for c in PRODUCT_TYPES)
-    + ") WHERE level IS NOT NULL GROUP BY 1, 2"
-)
+@query(f"SELECT Record_ID, level, count(*) AS n FROM ({SLOT_LEVELS}) GROUP BY 1, 2", JOINED)
 def multihot_sum(t):
-    pairs = t.pay.select(RECORD, F.inline(slot_counts(PRODUCT_TYPES)))
-    return pairs.withColumn("n", F.col("n").cast("bigint"))
+    """How often each product type, specialty and license state fills a slot of a payment."""
+    people = split_specialties(t.phys).select(F.col("id").alias(ID), *SPECIALTIES, *LICENSES)
+    facts = t.pay.select(RECORD, ID, *PRODUCT_TYPES)
+    joined = join_skewed(facts, people, ID, RECORD, "inner")
+
+    def tagged(prefix, columns):
+        def named(p):
+            level = prefixed(prefix, p["level"])
+            return F.struct(level.alias("level"), p["n"].cast("bigint").alias("n"))
+
+        return F.transform(slot_counts(columns), named)
+
+    blocks = [tagged(prefix, columns) for prefix, columns in SLOTTED.items()]
+    return joined.select(RECORD, F.inline(F.concat(*blocks)))
 
 
 FEATURES = f"""tot AS (SELECT Physician_ID AS id, CAST(sum({AMOUNT}) AS DOUBLE) AS w FROM pay
@@ -213,30 +250,35 @@ def long_feature_table_with_summary(t):
     return long_features(t.phys, t.pay, summary=True).withColumn("value", F.round("value", 6))
 
 
-@query(
-    """SELECT Record_ID, concat('FORM_ ', Form_of_Payment_or_Transfer_of_Value) AS feature,
-    1.0 AS value FROM pay UNION ALL
-    SELECT Record_ID, concat('NATURE_ ', Nature_of_Payment_or_Transfer_of_Value), 1.0 FROM pay
-    UNION ALL SELECT Record_ID, concat('TYPE_ ', level), CAST(count(*) AS DOUBLE) FROM ("""
-    + " UNION ALL ".join(f"SELECT Record_ID, {c} AS level FROM pay" for c in PRODUCT_TYPES)
-    + f""") WHERE level IS NOT NULL GROUP BY 1, 2 UNION ALL
-    SELECT Record_ID, 'AMOUNT', CAST({AMOUNT} AS DOUBLE) FROM pay"""
-)
-def assemble_matrix(t):
-    """Design matrix of payments in long form; each row is built from its own columns."""
+SINGLE = {
+    "COUNTRY_": "Company_Country",
+    "FORM_": FORM,
+    "NATURE_": NATURE,
+    "RELATED_": "Related_Product_Indicator",
+}
 
-    def entry(name, value):
-        return F.struct(name.alias("feature"), value.cast("double").alias("value"))
 
-    single = [
-        entry(F.lit("AMOUNT"), F.col(AMOUNT)),
-        entry(prefixed("FORM_", F.col(FORM)), F.lit(1)),
-        entry(prefixed("NATURE_", F.col(NATURE)), F.lit(1)),
-    ]
-    types = F.transform(
-        slot_counts(PRODUCT_TYPES), lambda p: entry(prefixed("TYPE_", p["level"]), p["n"])
+def _filled(columns) -> str:
+    return " + ".join(f"CASE WHEN {c} IS NOT NULL THEN 1 ELSE 0 END" for c in columns)
+
+
+@query(
+    "SELECT Record_ID, level AS feature, CAST(count(*) AS DOUBLE) AS value FROM ("
+    + " UNION ALL ".join(
+        f"SELECT Record_ID, concat('{prefix} ', {c}) AS level FROM joined WHERE {c} IS NOT NULL"
+        for prefix, c in SINGLE.items()
     )
-    return t.pay.select(RECORD, F.inline(F.concat(F.array(*single), types)))
+    + f""" UNION ALL {SLOT_LEVELS}) GROUP BY 1, 2
+    UNION ALL SELECT Record_ID, 'AMOUNT', CAST({AMOUNT} AS DOUBLE) FROM joined
+    UNION ALL SELECT Record_ID, 'N_LICENSES', CAST({_filled(LICENSES)} AS DOUBLE) FROM joined
+    UNION ALL SELECT Record_ID, 'N_PRODUCTS', CAST({_filled(PRODUCT_TYPES)} AS DOUBLE)
+    FROM joined""",
+    JOINED,
+)
+def assemble_matrix(t):
+    """Design matrix of payments in long form: the ten blocks of the transaction model."""
+    rows = transactions_of_all(t.phys, t.pay, t.comp).filter(F.col(RECORD).isNotNull())
+    return rows.select(RECORD, F.inline(transaction_entries()))
 
 
 @query(

@@ -2,7 +2,7 @@
 
 from pyspark.sql import functions as F
 
-from remitlens.catalog.registry import query
+from remitlens.catalog.registry import cut_sql, query
 from remitlens.functions import bins
 from remitlens.functions.values import (
     count_parts,
@@ -118,20 +118,6 @@ def bin_case_counts(t):
     return t.pay.select(RECORD, bins.count_band(F.col(N_PAYMENTS)).alias("band"))
 
 
-def cut_sql(value: str, breaks) -> str:
-    """Bin index by counting the edges passed."""
-    finite = [b for b in breaks if b not in (bins.INF, -bins.INF)]
-    shift = 1 if breaks[0] == -bins.INF else 0
-    index = " + ".join(f"CASE WHEN {value} > {b} THEN 1 ELSE 0 END" for b in finite)
-    tests = [f"{value} IS NOT NULL"]
-    if breaks[0] != -bins.INF:
-        tests.append(f"{value} > {breaks[0]}")
-    if breaks[-1] != bins.INF:
-        tests.append(f"{value} <= {breaks[-1]}")
-        index = index.rsplit(" + ", 1)[0]
-    return f"CAST(CASE WHEN {' AND '.join(tests)} THEN {index} + {shift} END AS INTEGER)"
-
-
 # Labels of the amount bins, in order.
 @query(
     f"""SELECT Record_ID, bin, CASE bin WHEN 1 THEN '(0,10]' WHEN 2 THEN '(10,15]'

@@ -4,9 +4,9 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from remitlens.catalog.registry import query
-from remitlens.models.evaluate import evaluate
+from remitlens.models.evaluate import sweep
 from remitlens.plans.rules import stock_prediction, stock_scores
-from remitlens.schemas import AMOUNT, ID, N_PAYMENTS, PAYMENTS, PHYSICIANS, RECORD, SUBMISSION
+from remitlens.schemas import AMOUNT, FORM, N_PAYMENTS, PAYMENTS, PHYSICIANS, RECORD, SUBMISSION
 from remitlens.session import scratch_path
 from remitlens.sources.files import (
     append_metrics,
@@ -16,12 +16,9 @@ from remitlens.sources.files import (
     write_csv,
 )
 
-TYPED = [RECORD, ID, "Company_ID", AMOUNT, N_PAYMENTS, "Date", "Charity", "Product_Type_2"]
-BLANKS = ["id", "Middle_Name", "Name_Suffix", "Primary_Specialty", "License_State_2"]
-
-
-def _subset(schema: T.StructType, names: list[str]) -> T.StructType:
-    return T.StructType([schema[n] for n in names])
+TEXT = [f.name for f in PAYMENTS if isinstance(f.dataType, T.StringType)]
+BLANKS = PHYSICIANS.names
+QUOTED = "concat(' \"', {c}, '\", then ')"  # quotes, a separator and outer spaces
 
 
 def _blank_even(df, key: str, columns: list[str]):
@@ -32,17 +29,16 @@ def _blank_even(df, key: str, columns: list[str]):
 
 @query(
     f"""SELECT Record_ID, Physician_ID, Company_ID, CAST({AMOUNT} AS DOUBLE) AS amount,
-    CAST(Number_of_Payments AS INTEGER) AS Number_of_Payments, "Date" AS payment_date,
-    Charity, Product_Type_2 FROM pay"""
+    CAST({N_PAYMENTS} AS INTEGER) AS {N_PAYMENTS}, {QUOTED.format(c=FORM)} AS quoted,
+    {', '.join(f'"{c}"' for c in TEXT if c != FORM)} FROM pay"""
 )
 def scan_csv_typed(t):
     path = scratch_path(t.spark, "payments.csv")
-    write_csv(_blank_even(t.pay, RECORD, ["Charity", "Product_Type_2"]).select(*TYPED), path)
-    read = read_csv_typed(t.spark, path, _subset(PAYMENTS, TYPED))
-    amount = F.col(AMOUNT).cast("double").alias("amount")
-    date = F.col("Date").alias("payment_date")
-    return read.select(
-        RECORD, ID, "Company_ID", amount, N_PAYMENTS, date, "Charity", "Product_Type_2"
+    rows = _blank_even(t.pay, RECORD, TEXT).withColumn(FORM, F.expr(QUOTED.format(c=FORM)))
+    write_csv(rows.select(*PAYMENTS.names), path)
+    read = read_csv_typed(t.spark, path, PAYMENTS)
+    return read.withColumn("amount", F.col(AMOUNT).cast("double")).drop(AMOUNT).withColumnRenamed(
+        FORM, "quoted"
     )
 
 
@@ -54,7 +50,7 @@ def _blank_sql(c: str) -> str:
 def scan_csv_blank_kept(t):
     path = scratch_path(t.spark, "physicians.csv")
     write_csv(_blank_even(t.phys, "id", BLANKS[1:]).select(*BLANKS), path)
-    return read_csv_blank_kept(t.spark, path, _subset(PHYSICIANS, BLANKS))
+    return read_csv_blank_kept(t.spark, path, PHYSICIANS)
 
 
 RULE = """rule AS (SELECT Physician_ID AS id,
@@ -118,9 +114,7 @@ CUTS = [0.0, 0.1, 0.25]
 )
 def metrics_append(t):
     path = scratch_path(t.spark, "metrics")
-    scores = stock_scores(t.pay)
-    for run, cut in enumerate(CUTS, start=1):
-        scored = scores.withColumn("prediction", (F.col("score") > cut).cast("int"))
-        append_metrics(evaluate(scored).select(F.lit(run).alias("run"), "*"), path)
+    run = F.array_position(F.array(*map(F.lit, CUTS)), F.col("threshold")).cast("int")
+    append_metrics(sweep(stock_scores(t.pay), CUTS).withColumn("run", run), path)
     bac = F.round("bac", 6).alias("bac")
     return t.spark.read.parquet(path).select("run", "tp", "fp", "fn", "tn", bac)

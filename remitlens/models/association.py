@@ -5,29 +5,24 @@ from __future__ import annotations
 from collections.abc import Sequence
 
 from pyspark.ml.stat import ChiSquareTest
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from remitlens.models.bayes import ALL, CLASSES, count_levels
+from remitlens.operators.joins import join_skewed
 
 
 def chi_square(rows: DataFrame, label: str, features: Sequence[str]) -> DataFrame:
     """Pearson statistic and degrees of freedom per feature.
 
-    The rows are reduced to level counts first; windows then run over level tables.
+    The rows are reduced to level counts first; margins are aggregates joined back.
     """
     counts = count_levels(rows, label, features).filter(F.col("feature") != ALL)
     per_level = counts.groupBy("feature", "value").agg(
         *[F.sum(F.when(F.col("class") == c, F.col("n")).otherwise(0)).alias(f"n{c}") for c in CLASSES]
     )
-    whole = Window.partitionBy("feature")
-    margins = per_level.select(
-        "feature",
-        "n0",
-        "n1",
-        F.sum("n0").over(whole).alias("all0"),
-        F.sum("n1").over(whole).alias("all1"),
-    )
+    whole = per_level.groupBy("feature").agg(F.sum("n0").alias("all0"), F.sum("n1").alias("all1"))
+    margins = join_skewed(per_level, whole, "feature", "value", "inner").drop("value")
     level = (F.col("n0") + F.col("n1")).cast("double")
     total = F.col("all0") + F.col("all1")
 

@@ -2,7 +2,8 @@
 
 Classes are 0 and 1. Counting is one aggregation over all features; scoring joins
 each row to the per-level log probabilities of every feature, so the scored rows
-are not shuffled while the model is small enough for Spark to broadcast.
+are not shuffled while the model is small enough for Spark to broadcast, and meet it
+by salted joins otherwise. Both give each row its own sum, whatever its key.
 """
 
 from __future__ import annotations
@@ -11,7 +12,7 @@ from collections.abc import Sequence
 from dataclasses import dataclass
 from functools import reduce
 
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from remitlens.operators.joins import join_skewed
@@ -96,13 +97,13 @@ def _model(
     wide = counts.groupBy(*by, "feature", "value").agg(
         *[n[c].cast("bigint").alias(f"n_{c}") for c in CLASSES]
     )
-    whole = Window.partitionBy(*by, "feature")
-    sized = wide.select(
-        "*",
-        F.count("*").over(whole).alias("n_levels"),
-        *[F.sum(f"n_{c}").over(whole).alias(f"n_class_{c}") for c in CLASSES],
-        reduce(lambda a, b: a + b, [F.col(f"n_{c}") for c in CLASSES]).alias("n_all"),
+    # totals come back by a join, since a feature may have more levels than a task can hold
+    whole = wide.groupBy(*by, "feature").agg(
+        F.count("*").alias("n_levels"),
+        *[F.sum(f"n_{c}").alias(f"n_class_{c}") for c in CLASSES],
     )
+    both = reduce(lambda a, b: a + b, [F.col(f"n_{c}") for c in CLASSES])
+    sized = join_skewed(wide, whole, [*by, "feature"], "value", "inner").withColumn("n_all", both)
 
     def p(c: int) -> Column:
         level = (F.col(f"n_{c}") + smooth) / (F.col(f"n_class_{c}") + smooth * F.col("n_levels"))
@@ -170,8 +171,8 @@ def fit_folds(
 def predict(rows: DataFrame, model: NaiveBayes, row_key: str) -> DataFrame:
     """Adds ``log_0``, ``log_1`` and ``prediction``; missing or unknown values are skipped.
 
-    ``row_key`` identifies rows. A model within the broadcast limit is joined feature by
-    feature without moving the rows; a larger one meets the rows in long form.
+    The levels of each feature are joined to the rows. ``row_key`` only spreads the rows of
+    a frequent level when the model is too large to broadcast; it need not be unique.
     """
     scored = _add_logs(rows, model, row_key)
     # a class absent from training has no prior and is never chosen
@@ -182,27 +183,16 @@ def predict(rows: DataFrame, model: NaiveBayes, row_key: str) -> DataFrame:
 def _add_logs(rows: DataFrame, model: NaiveBayes, row_key: str) -> DataFrame:
     by = list(model.by)
     names = [f"log_{c}" for c in CLASSES]
-    if not fits_broadcast(model.logs):
-        long = rows.select(row_key, *by, F.inline(feature_values(model.features)))
-        known = model.logs.filter(F.col("feature") != ALL)
-        met = join_skewed(long, known, [*by, "feature", "value"], row_key, "inner")
-        sums = met.groupBy(row_key).agg(*[F.sum(n).alias(f"_sum_{n}") for n in names])
-        scored = rows.join(sums, row_key, "left")
-        parts = {n: [F.coalesce(f"_sum_{n}", F.lit(0.0))] for n in names}
-    else:
-        scored, parts = rows, {n: [] for n in names}
-        for i, feature in enumerate(model.features):
-            keys = {"value": f"_{i}_value", **{c: f"_{i}_{c}" for c in by}}
-            table = model.logs.filter(F.col("feature") == feature).select(
-                *[F.col(c).alias(renamed) for c, renamed in keys.items()],
-                *[F.col(n).alias(f"_{i}_{n}") for n in names],
-            )
-            same = F.col(feature).cast("string") == F.col(keys["value"])
-            for c in by:
-                same = same & (F.col(c) == F.col(keys[c]))
-            scored = scored.join(table, same, "left")
-            for n in names:
-                parts[n].append(F.coalesce(f"_{i}_{n}", F.lit(0.0)))
+    salted = not fits_broadcast(model.logs)
+    scored, parts = rows, {n: [] for n in names}
+    for i, feature in enumerate(model.features):
+        table = model.logs.filter(F.col("feature") == feature).select(
+            *by, F.col("value").alias("_value"), *[F.col(n).alias(f"_{i}_{n}") for n in names]
+        )
+        keyed = scored.withColumn("_value", F.col(feature).cast("string"))
+        scored = join_skewed(keyed, table, [*by, "_value"], row_key, salted=salted).drop("_value")
+        for n in names:
+            parts[n].append(F.coalesce(f"_{i}_{n}", F.lit(0.0)))
     prior = model.logs.filter(F.col("feature") == ALL).select(
         *by, *[F.col(n).alias(f"_prior_{n}") for n in names]
     )

@@ -2,8 +2,8 @@
 
 A key may hold a third of the fact. Small right sides are broadcast by Spark itself,
 which checks their size. Otherwise the rows of hot keys are spread over as many salts
-as their share of the data asks for, and the matching right rows are repeated once
-per salt.
+as keep a task at ``ROWS_PER_TASK`` rows of one key, and the matching right rows are
+repeated once per salt.
 """
 
 from __future__ import annotations
@@ -17,21 +17,22 @@ from pyspark.sql import functions as F
 from remitlens.session import fits_broadcast, materialize
 
 
+ROWS_PER_TASK = 1_000_000  # rows of one key a task may be given
+
+
 def shuffle_partitions(df: DataFrame) -> int:
     return int(df.sparkSession.conf.get("spark.sql.shuffle.partitions"))
 
 
 def hot_keys(df: DataFrame, on: Sequence[str]) -> DataFrame:
-    """Keys too large for one shuffle partition, with the number of salts each needs.
+    """Keys of more than ``ROWS_PER_TASK`` rows, with the number of salts each needs.
 
-    A hot key holds more rows than an average partition, so there are fewer hot keys
-    than shuffle partitions, and their salts add up to less than three times as many.
+    The limit does not depend on the number of partitions. One scan finds the keys, of
+    which there are at most one per ``ROWS_PER_TASK`` rows of the data.
     """
-    parts = shuffle_partitions(df)
-    total = df.agg(F.count("*")).scalar()
-    sized = df.groupBy(*on).agg(F.count("*").alias("_n")).withColumn("_total", total)
-    salts = F.ceil(F.col("_n") * parts / F.col("_total")) + 1
-    hot = sized.filter(F.col("_n") * parts > F.col("_total"))
+    sized = df.groupBy(*on).agg(F.count("*").alias("_n"))
+    salts = F.ceil(F.col("_n") / ROWS_PER_TASK)
+    hot = sized.filter(F.col("_n") > ROWS_PER_TASK)
     return hot.select(*on, salts.cast("int").alias("_salts"))
 
 
@@ -71,7 +72,7 @@ def join_skewed(
         salted = not fits_broadcast(right)
     if not salted:
         return _join(left, right, on, how, null_safe)
-    # pinned once, so both sides use the same salts; fewer rows than shuffle partitions
+    # pinned once, so both sides use the same salts; a row per ROWS_PER_TASK rows at most
     hot = materialize(hot_keys(left if keys_from is None else keys_from, on), "hot_keys")
     hot = F.broadcast(hot)
     spread = F.xxhash64(*spread_by)

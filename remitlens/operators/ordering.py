@@ -9,7 +9,7 @@ from remitlens.functions.values import hash_key
 from remitlens.session import materialize
 
 _PART_BITS = 33  # monotonically_increasing_id keeps the partition above 33 bits
-_HASH_DIGITS = 3  # 16**3 buckets
+_BUCKET_ROWS = 1 << 18  # rows a digest bucket may hold on average
 
 
 def with_row_index(df: DataFrame, *order: str, name: str = "row_index") -> DataFrame:
@@ -37,14 +37,24 @@ def with_row_index(df: DataFrame, *order: str, name: str = "row_index") -> DataF
     return joined.withColumn(name, F.col("_before") + inside + 1).drop("_p", "_m", "_before")
 
 
-def with_hash_index(df: DataFrame, key: str, seed: int, name: str = "row_index") -> DataFrame:
-    """1-based position in the digest order of a unique key.
+def bucket_digits(n: int) -> int:
+    """Leading hex digits that cut ``n`` digests into buckets of ``_BUCKET_ROWS`` or fewer."""
+    digits = 2
+    while _BUCKET_ROWS * 16**digits < n:
+        digits += 1
+    return digits
+
+
+def with_hash_index(
+    df: DataFrame, key: str, seed: int, name: str = "row_index", n: int | None = None
+) -> DataFrame:
+    """1-based position in the digest order of a unique key; ``n`` is the number of rows.
 
     Digests are uniform, so their leading digits make even buckets; bucket sizes give
     the offsets and rows are numbered inside their bucket.
     """
     keyed = df.withColumn("_h", hash_key(seed, F.col(key)))
-    bucket = F.substring("_h", 1, _HASH_DIGITS)
+    bucket = F.substring("_h", 1, bucket_digits(df.count() if n is None else n))
     before = (
         keyed.groupBy(bucket.alias("_p"))
         .agg(F.count("*").alias("_n"))
@@ -55,7 +65,7 @@ def with_hash_index(df: DataFrame, key: str, seed: int, name: str = "row_index")
         .select("_p", F.coalesce("_before", F.lit(0)).alias("_before"))
     )
     inside = F.row_number().over(Window.partitionBy("_p").orderBy("_h", key))
-    # at most 16**_HASH_DIGITS rows
+    # a row per bucket
     joined = keyed.withColumn("_p", bucket).join(F.broadcast(before), "_p")
     return joined.withColumn(name, F.col("_before") + inside).drop("_p", "_h", "_before")
 
@@ -78,5 +88,5 @@ def with_fold(
 def hash_folds(ids: DataFrame, key: str, seed: int, k: int) -> DataFrame:
     """Distinct ids permuted by their digest and cut into k contiguous folds."""
     spine = ids.select(key).distinct()
-    n = spine.agg(F.count("*")).scalar()
-    return with_fold(with_hash_index(spine, key, seed), k, n)
+    n = spine.count()
+    return with_fold(with_hash_index(spine, key, seed, n=n), k, F.lit(n))

@@ -71,14 +71,25 @@ def levels(df: DataFrame, columns: Sequence[str], name: str = "level") -> DataFr
 
 
 def pivot_values(
-    long: DataFrame, key: str, feature: str, value: str, features: Sequence[str]
+    long: DataFrame, key: str, feature: str, value: str, features: Sequence[str] | None = None
 ) -> DataFrame:
-    """One column per listed feature, 0 where a key lacks it."""
-    wide = long.groupBy(key).pivot(feature, list(features)).agg(F.max(value))
-    return wide.na.fill(0, subset=list(features))
+    """One column per feature, 0 where a key lacks it; a null feature only keeps its key.
+
+    The features are those of the data unless listed. A table has so many columns only;
+    Spark raises an error beyond ``spark.sql.pivotMaxValues``. The long form has no limit.
+    """
+    wide = long.groupBy(key).pivot(feature, None if features is None else list(features))
+    wide = wide.agg(F.max(value))
+    wide = wide if features is not None else wide.drop("null")
+    return wide.na.fill(0, subset=[c for c in wide.columns if c != key])
 
 
-def one_hot(df: DataFrame, column: str, values: Sequence[str], prefix: str) -> DataFrame:
+def one_hot(
+    df: DataFrame, column: str, prefix: str, values: Sequence[str] | None = None
+) -> DataFrame:
+    """A 0/1 column per level of ``column``; the levels are those of the data unless listed."""
+    if values is None:
+        values = sorted(r.level for r in levels(df, [column]).toLocalIterator())
     return df.withColumns(
         {f"{prefix}{v}": F.coalesce((F.col(column) == v).cast("int"), F.lit(0)) for v in values}
     )

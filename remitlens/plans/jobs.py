@@ -5,7 +5,6 @@ from __future__ import annotations
 from collections.abc import Sequence
 from dataclasses import asdict, dataclass, replace
 
-from pyspark.ml.feature import CountVectorizerModel, VectorAssembler
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -18,6 +17,7 @@ from remitlens.models.trees import BoostSettings
 from remitlens.operators.joins import join_skewed
 from remitlens.operators.ordering import hash_folds
 from remitlens.operators.reshape import compact_array, feature_dictionary
+from remitlens.operators.splits import role
 from remitlens.plans.clean import BAYES_FEATURES, bayes_rows, transactions_of_all
 from remitlens.plans.features import attribute_blocks, labels, long_features, vectors
 from remitlens.schemas import (
@@ -33,7 +33,7 @@ from remitlens.schemas import (
 )
 from remitlens.session import materialize
 
-MAX_LEVELS = 1 << 18  # category levels a transaction model may have
+HELD_OUT = 0.2  # share of the training recipients on which boosting stops
 
 
 # --- recipient grain -------------------------------------------------------------------
@@ -75,10 +75,12 @@ def recipient_table(
 
 
 def indicator_p_values(phys: DataFrame, pay: DataFrame) -> DataFrame:
-    """Chi-square p-values of license and specialty indicators against the label."""
-    long = materialize(attribute_blocks(phys), "indicators")
+    """Chi-square of license and specialty indicators of labelled training recipients."""
+    train = phys.filter(F.col("split_set") == "train").select("id")
+    known = labels(pay).filter(F.col("label").isNotNull()).join(train, "id", "left_semi")
+    known = materialize(known, "known")
+    long = materialize(attribute_blocks(phys).join(known, "id", "left_semi"), "indicators")
     dictionary = feature_dictionary(long)
-    known = labels(pay).filter(F.col("label").isNotNull())
     rows = vectors(long, known, dictionary, dictionary.count())
     return chi_square_p_values(materialize(rows, "vectors"), dictionary)
 
@@ -86,13 +88,18 @@ def indicator_p_values(phys: DataFrame, pay: DataFrame) -> DataFrame:
 # --- transaction grain -----------------------------------------------------------------
 
 
-def transaction_tokens(phys: DataFrame, pay: DataFrame, comp: DataFrame) -> DataFrame:
-    """Payment rows with their category levels as one array; repeated slots repeat."""
-    rows = transactions_of_all(phys, pay, comp)
+def transaction_entries() -> Column:
+    """``(feature, value)`` pairs of a joined payment row, formed inside the row.
 
-    def tagged(prefix: str, columns: Sequence[str]):
+    A category level counts as often as it fills a slot; amount and counts are numbers.
+    """
+
+    def tagged(prefix: str, columns: Sequence[str]) -> Column:
         return F.transform(compact_array(columns), lambda v: prefixed(prefix, v))
 
+    def entry(name: Column, value: Column) -> Column:
+        return F.struct(name.alias("feature"), value.cast("double").alias("value"))
+
     tokens = F.concat(
         tagged("COUNTRY_", ["Company_Country"]),
         tagged("FORM_", [FORM]),
@@ -102,41 +109,50 @@ def transaction_tokens(phys: DataFrame, pay: DataFrame, comp: DataFrame) -> Data
         tagged("SPEC_", SPECIALTIES),
         tagged("LICENSE_", LICENSES),
     )
-    return rows.select(
+    counted = F.transform(
+        F.array_distinct(tokens),
+        lambda t: entry(t, F.size(F.filter(tokens, lambda other: other == t))),
+    )
+    numbers = F.array(
+        entry(F.lit("AMOUNT"), F.coalesce(F.col(AMOUNT).cast("double"), F.lit(0.0))),
+        entry(F.lit("N_LICENSES"), F.col("Number_of_licenses")),
+        entry(F.lit("N_PRODUCTS"), F.col("Number_of_related_products")),
+    )
+    return F.concat(numbers, counted)
+
+
+def transaction_table(phys: DataFrame, pay: DataFrame, comp: DataFrame) -> ModelTable:
+    """One sparse vector per payment; levels come from training and stay distributed.
+
+    Recipients without payments keep one row. Levels found only in testing are left out.
+    """
+    joined = transactions_of_all(phys, pay, comp).select(
+        F.monotonically_increasing_id().alias("row"),
         "id",
         RECORD,
         "split_set",
         F.col(LABEL).alias("label"),
-        F.coalesce(F.col(AMOUNT).cast("double"), F.lit(0.0)).alias("amount"),
-        F.col("Number_of_licenses").cast("double").alias("n_licenses"),
-        F.col("Number_of_related_products").cast("double").alias("n_products"),
-        tokens.alias("tokens"),
+        transaction_entries().alias("entries"),
     )
-
-
-def vocabulary(rows: DataFrame, tokens: str = "tokens", limit: int = MAX_LEVELS) -> list[str]:
-    """Distinct levels in name order; refuses more levels than a model may hold."""
-    found = rows.select(F.explode(tokens).alias("t")).distinct().limit(limit + 1).collect()
-    if len(found) > limit:
-        raise ValueError(f"more than {limit} category levels; lump rare levels first")
-    return sorted(r.t for r in found)
-
-
-def transaction_table(phys: DataFrame, pay: DataFrame, comp: DataFrame) -> ModelTable:
-    """One sparse vector per payment, built without moving the payments again."""
-    rows = materialize(transaction_tokens(phys, pay, comp), "tokens")
-    known = vocabulary(rows.filter(F.col("split_set") == "train"))
-    counted = CountVectorizerModel.from_vocabulary(known, inputCol="tokens", outputCol="levels")
-    assembler = VectorAssembler(
-        inputCols=["amount", "n_licenses", "n_products", "levels"], outputCol="features"
+    rows = materialize(joined, "entries")  # pins the row numbers
+    long = rows.select(F.col("row").alias("id"), "split_set", F.inline("entries"))
+    dictionary = feature_dictionary(long.filter(F.col("split_set") == "train"))
+    spine = rows.select(
+        F.col("row").alias("id"), F.col("id").alias("recipient"), RECORD, "split_set", "label"
     )
-    built = assembler.transform(counted.transform(rows))
-    return ModelTable(built.drop("tokens", "levels", "amount", "n_licenses", "n_products"))
+    built = vectors(long.drop("split_set"), spine, dictionary, dictionary.count())
+    named = built.drop("id").withColumnRenamed("recipient", "id")
+    return ModelTable(materialize(named, "vectors"), dictionary)
 
 
 # --- cross-validation ------------------------------------------------------------------
 
 
+def fit_stopped(train: DataFrame, settings: BoostSettings):
+    """Boosting that stops on held-out recipients, as every fit of the jobs does."""
+    return trees.fit_boosted(train, settings, role(11, "id", HELD_OUT) == "test")
+
+
 def cross_validate(
     train: DataFrame,
     settings: Sequence[BoostSettings],
@@ -158,7 +174,7 @@ def cross_validate(
     for fold in range(1, k + 1):
         chosen = [settings[(fold - 1) % len(settings)]] if paired else settings
         for setting in chosen:
-            model = trees.fit_boosted(keyed.filter(F.col("fold") != fold), setting)
+            model = fit_stopped(keyed.filter(F.col("fold") != fold), setting)
             held = trees.score(model, keyed.filter(F.col("fold") == fold))
             rolled = held.groupBy("id").agg(
                 F.max("score").alias("score"), any_known(F.col("label")).alias("truth")
@@ -200,7 +216,7 @@ def search_and_predict(
     best = best_settings(cross_validate(table.train, settings, k, paired=paired), settings[0])
     if final_rounds:
         best = replace(best, rounds=final_rounds)
-    model = trees.fit_boosted(table.train, best)
+    model = fit_stopped(table.train, best)
     scored = trees.score(model, table.test, best.threshold).withColumn("truth", F.col("label"))
     return roll_up(scored, "id").select("id", "prediction")
 
@@ -239,8 +255,12 @@ def bayes_counts(rows: DataFrame, *by: str) -> DataFrame:
     return materialize(counts.unionByName(bins, allowMissingColumns=True), "level_counts")
 
 
-def _usable(side: str):
-    return F.coalesce(F.col("complete") & (F.col("split_set") == side), F.lit(False))
+def _usable(side: str) -> Column:
+    """Null where the side is unknown, which filters and conditional counts leave out.
+
+    Without a coalesce the filter reaches both inputs of the recipient join.
+    """
+    return F.col("complete") & (F.col("split_set") == side)
 
 
 def fit_bayes(rows: DataFrame, prior_smooth: float = 1.0) -> bayes.NaiveBayes:

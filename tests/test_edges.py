@@ -145,7 +145,7 @@ def test_multi_hot_counts_repeats(spark):
 
 def test_one_hot_of_null_is_zero(spark):
     df = column(spark, "string", ["a", None])
-    assert rows(one_hot(df, "x", ["a", "b"], "is_").drop("x"), "i") == [(0, 1, 0), (1, 0, 0)]
+    assert rows(one_hot(df, "x", "is_", ["a", "b"]).drop("x"), "i") == [(0, 1, 0), (1, 0, 0)]
 
 
 def test_alignment_covers_both_sides(spark):

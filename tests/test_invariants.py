@@ -5,9 +5,11 @@ from pyspark.sql import functions as F
 
 from remitlens.models import trees
 from remitlens.models.trees import BoostSettings
-from remitlens.operators.reshape import feature_dictionary
+from remitlens.operators.ordering import bucket_digits
+from remitlens.operators.reshape import feature_dictionary, one_hot, pivot_values
 from remitlens.operators.splits import bootstrap, guard_leak, repeated_roles, role
 from remitlens.plans import jobs
+from remitlens.plans.clean import bayes_rows
 from remitlens.plans.features import long_features, payment_blocks
 from remitlens.schemas import AMOUNT, ID, LABEL, RECORD
 from remitlens.sources.files import read_csv_blank_kept, read_csv_typed, write_csv
@@ -104,11 +106,36 @@ def test_boosting_finds_the_planted_signal(spark):
     assert all(r[2] == 1 for r in first if r[0] % 8 == 0)
 
 
-def test_too_many_levels_are_refused(spark):
-    tokens = spark.createDataFrame([(["a", "b", "c"],)], "tokens array<string>")
-    assert jobs.vocabulary(tokens) == ["a", "b", "c"]
-    with pytest.raises(ValueError):
-        jobs.vocabulary(tokens, limit=2)
+def test_transaction_vectors_hold_every_payment(tables):
+    """One vector per payment and idle recipient; levels come from training rows."""
+    table = jobs.transaction_table(tables.phys, tables.pay, tables.comp)
+    idle = tables.phys.join(tables.pay, tables.phys.id == tables.pay.Physician_ID, "left_anti")
+    assert table.rows.count() == tables.pay.count() + idle.count()
+    names = {r.feature for r in table.dictionary.collect()}
+    assert {"AMOUNT", "N_LICENSES", "N_PRODUCTS", "TYPE_ Drug"} <= names
+
+
+def test_wide_forms_take_their_levels_from_the_data(spark):
+    data = spark.createDataFrame(
+        [(1, "a"), (1, "X DUMMY"), (2, None)], "id int, level string"
+    )
+    hot = one_hot(data, "level", "l_")
+    assert hot.columns == ["id", "level", "l_X DUMMY", "l_a"]
+    wide = pivot_values(data.withColumn("v", F.lit(1)), "id", "level", "v")
+    assert sorted(map(tuple, wide.select("id", "X DUMMY", "a").collect())) == [(1, 1, 1), (2, 0, 0)]
+
+
+def test_digest_buckets_follow_the_row_count():
+    assert bucket_digits(10) == 2
+    assert bucket_digits(10**12) == 6
+
+
+def test_side_filter_is_below_the_recipient_join(tables):
+    rows_ = bayes_rows(tables.phys, tables.pay, tables.comp)
+    kept = rows_.filter(F.col("complete") & (F.col("split_set") == "test"))
+    text = kept._jdf.queryExecution().optimizedPlan().toString()
+    head = text[: text.index("Join")]
+    assert "split_set" not in "".join(x for x in head.splitlines() if "Filter" in x)
 
 
 def plan(df):
@@ -129,8 +156,10 @@ def test_fact_plans_have_no_single_task_stage(spark, small, name):
 def test_row_local_queries_do_not_shuffle(spark, small):
     import __spark_entry__ as entry
 
-    for name in ("multihot_sum", "unpivot_multi_value", "assemble_matrix", "split_holdout_rows"):
+    for name in ("unpivot_multi_value", "split_holdout_rows"):
         assert "Exchange" not in plan(entry.queries()[name](spark, small)), name
+    for name in ("multihot_sum", "assemble_matrix"):  # recipients and companies are broadcast
+        assert "Exchange hashpartitioning" not in plan(entry.queries()[name](spark, small)), name
 
 
 def test_scans_read_only_needed_columns(spark, small):

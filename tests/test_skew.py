@@ -5,6 +5,7 @@ from pyspark.sql import functions as F
 
 from remitlens.models import bayes
 from remitlens.operators.aggregates import attach_totals, exact_median
+from remitlens.operators import joins
 from remitlens.operators.joins import hot_keys, join_keeping_dimension, join_skewed
 from remitlens.plans import jobs
 from remitlens.plans.clean import BAYES_FEATURES, bayes_rows
@@ -14,6 +15,12 @@ from tests.conftest import rows
 N = 6000
 
 
+@pytest.fixture(autouse=True)
+def small_tasks(monkeypatch):
+    """A key of a third of the rows is hot, whatever the number of partitions."""
+    monkeypatch.setattr(joins, "ROWS_PER_TASK", 700)
+
+
 @pytest.fixture(scope="module")
 def fact(spark):
     """A third of the rows on key 0, some on null, the rest on many keys."""
@@ -31,10 +38,9 @@ def dim(spark):
     return spark.range(0, 520, 2).select(F.col("id").alias("k"), (F.col("id") * 2).alias("v"))
 
 
-def test_hot_keys_are_few_and_salted_by_share(fact):
+def test_hot_keys_are_few_and_salted_by_rows(fact):
     found = {r.k: r._salts for r in hot_keys(fact, ["k"]).collect()}
-    assert set(found) == {0}
-    assert 3 <= found[0] <= 4
+    assert found == {0: 3}
 
 
 @pytest.mark.parametrize("how", ["left", "inner", "left_semi", "left_anti"])
@@ -69,7 +75,7 @@ def test_median_is_exact_for_hot_and_null_keys(fact, scale):
     assert all(found[k] == pytest.approx(expected[k], abs=1e-9) for k in expected)
 
 
-def test_long_form_scoring_equals_joined_scoring(spark, tables):
+def test_salted_scoring_equals_joined_scoring(spark, tables):
     base = bayes_rows(tables.phys, tables.pay, tables.comp).cache()
     model = jobs.fit_bayes(base)
     joined = rows(jobs.score_bayes(base, model).select(RECORD, "log_0", "log_1", "prediction"), RECORD)
@@ -88,6 +94,19 @@ def test_long_form_scoring_equals_joined_scoring(spark, tables):
         assert a[1:3] == pytest.approx(b[1:3], abs=1e-9)
 
 
+def test_repeated_row_keys_are_scored_row_by_row(spark, no_broadcast):
+    train = spark.createDataFrame(
+        [("a", 0), ("a", 0), ("b", 1), ("b", 1), ("a", 1)], "f string, y int"
+    )
+    model = bayes.fit(train, "y", ["f"])
+    one = spark.createDataFrame([(0, "a"), (1, "b")], "row int, f string")
+    same = spark.createDataFrame([(7, "a"), (7, "b"), (7, "b")], "row int, f string")
+    known = dict(rows(bayes.predict(one, model, "row").select("f", "log_1"), "f"))
+    got = rows(bayes.predict(same, model, "row").select("f", "log_1"), "f")
+    assert len(got) == 3
+    assert all(log == pytest.approx(known[f]) for f, log in got)
+
+
 def test_missing_and_unknown_values_are_skipped(spark):
     train = spark.createDataFrame(
         [(0, "a", 0), (1, "a", 0), (2, "b", 1), (3, "b", 1)], "row int, f string, y int"
