@@ -4,7 +4,7 @@ from dataclasses import replace
 
 from pyspark.sql import functions as F
 
-from remitlens.catalog.joins import SCORES, sql_bucket
+from remitlens.catalog.joins import SCORES, sql_below, sql_bucket
 from remitlens.catalog.registry import cut_sql, query
 from remitlens.functions.bins import AMOUNT_BREAKS
 from remitlens.functions.values import yes_no
@@ -406,6 +406,52 @@ def eval_mean_over_runs(t):
     return swept.agg(F.round(F.avg("bac"), 6).alias("mean_bac"), F.count("*").alias("runs"))
 
 
+IN_HOLDOUT = sql_below(13, "Physician_ID", 0.25)
+DENSITY = """ln(CASE WHEN {d} > 0 THEN {d} ELSE 0.001 END)"""
+NORMAL = "exp(({x} - {m}) * ({x} - {m}) / ({s} * {s}) / -2) / ({s} * sqrt(2 * pi()))"
+
+
+def _density(i: int) -> str:
+    return DENSITY.format(d=NORMAL.format(x=f"x.x{i}", m=f"g.m{i}", s=f"g.s{i}"))
+
+
+HELD_OUT = (
+    PARAMS.replace("split_set = 'train'", f"split_set = 'train' AND NOT ({IN_HOLDOUT})")
+    + f""", xs AS (SELECT c.Record_ID, c.Physician_ID, c.split_set, c.class,
+    CAST({AMOUNT} AS DOUBLE) AS x1, CAST(Number_of_Payments AS DOUBLE) AS x2
+    FROM complete c JOIN pay ON pay.Record_ID = c.Record_ID),
+    g AS (SELECT class, count(*) AS n, avg(x1) AS m1, avg(x2) AS m2,
+    coalesce(nullif(stddev_samp(x1), 0), 0.001) AS s1,
+    coalesce(nullif(stddev_samp(x2), 0), 0.001) AS s2 FROM xs
+    WHERE split_set = 'train' AND NOT ({IN_HOLDOUT}) GROUP BY 1),
+    levelled AS (SELECT l.Record_ID, p.class, sum(ln(CAST(p.p AS DOUBLE))) AS lp FROM long l
+    JOIN params p ON l.feature = p.feature AND l.value = p.value
+    WHERE l.feature NOT IN ('amount_bin', 'payments_band') GROUP BY 1, 2),
+    ranked AS (SELECT x.Record_ID, x.Physician_ID, x.class AS truth,
+    arg_max(g.class, v.lp + ln(CAST(g.n AS DOUBLE) / (SELECT sum(n) FROM g))
+    + {_density(1)} + {_density(2)}) AS p
+    FROM xs x JOIN levelled v ON v.Record_ID = x.Record_ID JOIN g ON g.class = v.class
+    WHERE x.split_set = 'train' AND {sql_below(13, "x.Physician_ID", 0.25)} GROUP BY 1, 2, 3),
+    conf AS (SELECT count(CASE WHEN truth = 1 AND p = 1 THEN 1 END) AS tp,
+    count(CASE WHEN truth = 0 AND p = 1 THEN 1 END) AS fp,
+    count(CASE WHEN truth = 1 AND p = 0 THEN 1 END) AS fn,
+    count(CASE WHEN truth = 0 AND p = 0 THEN 1 END) AS tn FROM (SELECT Physician_ID,
+    max(p) AS p, max(truth) AS truth FROM ranked GROUP BY 1))"""
+)
+
+
+@query(
+    """SELECT tp, fp, fn, tn, round(CAST(tp AS DOUBLE) / nullif(tp + fn, 0), 6) AS sensitivity,
+    round(CAST(tn AS DOUBLE) / nullif(tn + fp, 0), 6) AS specificity,
+    round((CAST(tp AS DOUBLE) / nullif(tp + fn, 0) + CAST(tn AS DOUBLE) / nullif(tn + fp, 0))
+    / 2, 6) AS bac FROM conf""",
+    HELD_OUT,
+)
+def nb_numeric_holdout_bac(t):
+    """Naive Bayes with numeric predictors, measured on held-out recipients."""
+    return _rounded(jobs.bayes_numeric_holdout(t.phys, t.pay, t.comp, 13, 0.25))
+
+
 # --- searches and end-to-end jobs ------------------------------------------------------
 
 

@@ -8,6 +8,7 @@ by salted joins otherwise. Both give each row its own sum, whatever its key.
 
 from __future__ import annotations
 
+import math
 from collections.abc import Sequence
 from dataclasses import dataclass
 from functools import reduce
@@ -174,7 +175,10 @@ def predict(rows: DataFrame, model: NaiveBayes, row_key: str) -> DataFrame:
     The levels of each feature are joined to the rows. ``row_key`` only spreads the rows of
     a frequent level when the model is too large to broadcast; it need not be unique.
     """
-    scored = _add_logs(rows, model, row_key)
+    return _choose(_add_logs(rows, model, row_key))
+
+
+def _choose(scored: DataFrame) -> DataFrame:
     # a class absent from training has no prior and is never chosen
     wins = F.coalesce(F.col("log_1") > F.col("log_0"), F.col("log_1").isNotNull())
     return scored.withColumn("prediction", wins.cast("int"))
@@ -221,3 +225,25 @@ def gaussian(rows: DataFrame, label: str, columns: Sequence[str]) -> DataFrame:
         .groupBy("class", "feature")
         .agg(F.avg("x").alias("mean"), F.stddev_samp("x").alias("sd"))
     )
+
+
+# Fixed value: stands in for a deviation or density of 0.
+FLOOR = 0.001
+
+
+def add_gaussian(scored: DataFrame, params: DataFrame) -> DataFrame:
+    """Adds normal log densities to ``log_0`` and ``log_1`` of :func:`predict` and chooses anew.
+
+    ``params`` comes from :func:`gaussian`: one row per class and numeric predictor, so few that
+    they become literals. Missing values are skipped. A deviation of 0, or that of a class with
+    one row, counts as ``FLOOR``, and so does a density too small for a double.
+    """
+    totals = {f"log_{c}": F.col(f"log_{c}") for c in CLASSES}
+    for row in params.collect():
+        sd = row["sd"] or FLOOR
+        z = (F.col(row["feature"]).cast("double") - row["mean"]) / sd
+        density = F.exp(z * z / -2) / (sd * math.sqrt(2 * math.pi))
+        log = F.ln(F.when(density > 0, density).when(density == 0, FLOOR))
+        name = f"log_{row['class']}"
+        totals[name] = totals[name] + F.coalesce(log, F.lit(0.0))
+    return _choose(scored.withColumns(totals))

@@ -12,7 +12,7 @@ from remitlens.functions.bins import AMOUNT_BREAKS
 from remitlens.functions.values import any_known, prefixed
 from remitlens.models import bayes, trees
 from remitlens.models.association import chi_square_p_values
-from remitlens.models.evaluate import best_run, roll_up, sweep
+from remitlens.models.evaluate import best_run, evaluate, roll_up, sweep
 from remitlens.models.trees import BoostSettings
 from remitlens.operators.joins import join_skewed
 from remitlens.operators.ordering import hash_folds
@@ -283,6 +283,27 @@ def bayes_job(phys: DataFrame, pay: DataFrame, comp: DataFrame) -> DataFrame:
     return scored.groupBy(F.col(ID).alias("id")).agg(F.max("prediction").alias("prediction"))
 
 
+NUMERIC = ("amount", "n_payments")
+CATEGORICAL = tuple(f for f in BAYES_FEATURES if f not in ("amount_bin", "payments_band"))
+
+
+def bayes_numeric_holdout(
+    phys: DataFrame, pay: DataFrame, comp: DataFrame, seed: int, test_share: float
+) -> DataFrame:
+    """Metrics per recipient of Naive Bayes with amount and count as normal predictors.
+
+    A share of the training recipients is held out whole; the rest fit the model.
+    """
+    rows = bayes_rows(phys, pay, comp).withColumn("role", role(seed, ID, test_share))
+    fitting = _usable("train") & (F.col("role") == "train")
+    counts = bayes.count_levels(rows, "label", CATEGORICAL, "complete", "split_set", "role")
+    model = bayes.fit_counts(materialize(counts, "level_counts"), CATEGORICAL, fitting)
+    normal = bayes.gaussian(rows.filter(fitting), "label", NUMERIC)
+    held = rows.filter(_usable("train") & (F.col("role") == "test"))
+    scored = bayes.add_gaussian(bayes.predict(held, model, RECORD), normal)
+    return evaluate(roll_up(scored.withColumn("truth", F.col("label")), ID))
+
+
 def bayes_cv_accuracy(
     phys: DataFrame, pay: DataFrame, comp: DataFrame, fold: Column, k: int
 ) -> DataFrame:
