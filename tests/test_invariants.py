@@ -1,9 +1,11 @@
 """Properties that hold whatever the data: shares, folds, splits, plans, models."""
 
+import math
+
 import pytest
 from pyspark.sql import functions as F
 
-from remitlens.models import trees
+from remitlens.models import bayes, trees
 from remitlens.models.trees import BoostSettings
 from remitlens.operators.ordering import bucket_digits
 from remitlens.operators.reshape import feature_dictionary, one_hot, pivot_values
@@ -167,3 +169,19 @@ def test_scans_read_only_needed_columns(spark, small):
 
     text = plan(entry.queries()["agg_sum_by_key"](spark, small))
     assert "o_orderpriority" not in text and "o_orderdate" not in text
+
+
+def test_normal_predictors_skip_missing_values_and_floor_deviations(spark):
+    rows = spark.createDataFrame(
+        [(1, 0.0, 0.0, 5.0), (2, 0.0, 0.0, None), (3, -1.0, 0.0, 1e6)],
+        "k int, log_0 double, log_1 double, x double",
+    )
+    params = spark.createDataFrame(
+        [(0, "x", 4.0, 2.0), (1, "x", 5.0, None)], "class int, feature string, mean double, sd double"
+    )
+    got = {r.k: r for r in bayes.add_gaussian(rows, params).collect()}
+    assert got[1].log_1 == pytest.approx(math.log(1 / (bayes.FLOOR * math.sqrt(2 * math.pi))))
+    assert got[1].log_0 == pytest.approx(math.log(math.exp(-0.125) / (2 * math.sqrt(2 * math.pi))))
+    assert (got[2].log_0, got[2].log_1) == (0.0, 0.0)
+    assert got[3].log_0 - got[3].log_1 == pytest.approx(-1.0)  # both densities floored
+    assert [got[k].prediction for k in (1, 2, 3)] == [1, 0, 1]
