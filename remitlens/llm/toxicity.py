@@ -4,8 +4,9 @@ Every word and every word family (its first bytes) carries the log-odds of toxic
 training texts, counted by texts and smoothed by a Dirichlet prior centred on its share of the
 corpus. A word takes the log-odds of itself or of that family which tells the classes apart
 most surely, or zero if none does beyond chance, and each word pays a small toll. One linear scan finds all maximal-scoring segments of a text. Under the clean
-background the best segment of n words exceeds S with E = K n exp(-lambda S) expected cases;
-the summed evidence of the significant segments becomes a probability.
+background the best segment of n words exceeds S with E = K n exp(-lambda S) expected cases.
+Every occurrence of a word scores in the scan for passages. The probability of a text comes from
+the summed evidence of a second scan, in which a word counts only where it first stands in the text.
 """
 
 from __future__ import annotations
@@ -197,6 +198,7 @@ def maximal_segments(scores: list[float]) -> list[tuple[int, int, float]]:
 def score_segments(docs: DataFrame, lexicon: Lexicon) -> DataFrame:
     """doc_id, n_words and ``segments`` of every row: word ranges, character offsets, scores.
 
+    ``fresh`` has the scores of the segments when words count only where they first stand.
     The scan runs over the words that score above zero and the summed tolls between them.
     """
     spark = docs.sparkSession
@@ -211,24 +213,21 @@ def score_segments(docs: DataFrame, lexicon: Lexicon) -> DataFrame:
                 n = hi - lo
                 first = np.searchsorted(found.row, np.arange(n + 1), "left")
                 good = np.flatnonzero(value > 0)
-                # a word counts where it first stands in a text; repeats only pay the toll
-                good = good[np.lexsort((good, found.word[good], found.row[good]))]
-                again = np.zeros(len(good), bool)
-                again[1:] = (found.word[good][1:] == found.word[good][:-1]) & (
-                    found.row[good][1:] == found.row[good][:-1]
+                # repeats score in the scan; for the text as a whole they only pay the toll
+                order = good[np.lexsort((good, found.word[good], found.row[good]))]
+                again = np.zeros(len(order), bool)
+                again[1:] = (found.word[order][1:] == found.word[order][:-1]) & (
+                    found.row[order][1:] == found.row[order][:-1]
                 )
-                value[good[again]] = -TOLL
-                good = np.sort(good[~again])
-                running = np.concatenate([[0.0], np.cumsum(value)])
-                owner = found.row[good]
+                damped = value.copy()
+                damped[order[again]] = -TOLL
+                fresh: list[list[float]] = [[] for _ in range(n)]
+                for row, _, line in _lines(damped, np.sort(order[~again]), found.row):
+                    fresh[row] = [s for _, _, s in maximal_segments(line)]
                 segments: list[list[dict]] = [[] for _ in range(n)]
-                for row in np.unique(owner).tolist():
-                    at = good[np.searchsorted(owner, row) : np.searchsorted(owner, row, "right")]
-                    line = np.empty(2 * len(at) - 1)
-                    line[0::2] = value[at]
-                    line[1::2] = running[at[1:]] - running[at[:-1] + 1]
+                for row, at, line in _lines(value, good, found.row):
                     base = offsets[row]
-                    for a, b, s in maximal_segments(line.tolist()):
+                    for a, b, s in maximal_segments(line):
                         head, tail = int(at[a // 2]), int(at[(b - 1) // 2])
                         segments[row].append(
                             {
@@ -245,12 +244,13 @@ def score_segments(docs: DataFrame, lexicon: Lexicon) -> DataFrame:
                         batch.column("doc_id").slice(lo, n),
                         pa.array(counts),
                         pa.array(segments, _SEGMENT_TYPE),
+                        pa.array(fresh, pa.list_(pa.float64())),
                     ],
-                    ["doc_id", "n_words", "segments"],
+                    ["doc_id", "n_words", "segments", "fresh"],
                 )
 
     rows = docs.select(F.col("doc_id").cast("long"), "text")
-    return rows.mapInArrow(score, f"doc_id long, n_words long, segments {SEGMENTS}")
+    return rows.mapInArrow(score, f"doc_id long, n_words long, segments {SEGMENTS}, fresh array<double>")
 
 
 _SEGMENT_TYPE = pa.list_(
@@ -260,6 +260,20 @@ _SEGMENT_TYPE = pa.list_(
 )
 
 
+def _lines(
+    value: np.ndarray, good: np.ndarray, row: np.ndarray
+) -> Iterator[tuple[int, np.ndarray, list[float]]]:
+    """Of each row with good words: their places, and their values with the sums between them."""
+    running = np.concatenate([[0.0], np.cumsum(value)])
+    owner = row[good]
+    for r in np.unique(owner).tolist():
+        at = good[np.searchsorted(owner, r) : np.searchsorted(owner, r, "right")]
+        line = np.empty(2 * len(at) - 1)
+        line[0::2] = value[at]
+        line[1::2] = running[at[1:]] - running[at[:-1] + 1]
+        yield r, at, line.tolist()
+
+
 def _chars(data: np.ndarray) -> int:
     return int(((data & 0xC0) != 0x80).sum())
 
@@ -285,12 +299,12 @@ def fit_logistic(x: np.ndarray, label: np.ndarray, weight: np.ndarray) -> tuple[
 
 
 def evidence(rate: float, k: float) -> Column:
-    """Sum over segments of lambda S - ln(K n) where it is positive: their E-values below 1."""
+    """Sum over segments of lambda S - ln(K n) where it is positive, S without repeated words."""
     floor = F.log(F.lit(k) * F.greatest("n_words", F.lit(1)))
     summed = F.aggregate(
-        "segments",
+        "fresh",
         F.lit(0.0),
-        lambda s, x: s + F.greatest(F.lit(0.0), F.lit(rate) * x["score"] - floor),
+        lambda s, x: s + F.greatest(F.lit(0.0), F.lit(rate) * x - floor),
     )
     return F.least(summed, F.lit(MAX_EVIDENCE))
 
@@ -310,10 +324,16 @@ def score_toxicity(docs: DataFrame, labels: DataFrame, max_labelled: int = MAX_L
     lexicon = fit_lexicon(counts)
     scored = materialize(score_segments(rows, lexicon), "segments")
     trained = scored.join(known, "doc_id")
-    top = F.coalesce(F.array_max(F.transform("segments", lambda s: s["score"])), F.lit(0.0))
     clean = trained.where("label = 0 and n_words > 0")
-    mean = clean.agg(F.avg(F.col("n_words") * F.exp(-lexicon.rate * top))).first()[0]
-    k = 1 / mean if mean else 1.0
+
+    def expected(scores: Column) -> Column:
+        top = F.coalesce(F.array_max(scores), F.lit(0.0))
+        return F.avg(F.col("n_words") * F.exp(-lexicon.rate * top))
+
+    means = clean.agg(
+        expected(F.transform("segments", lambda s: s["score"])), expected(F.col("fresh"))
+    ).first()
+    k_scan, k = (1 / mean if mean else 1.0 for mean in means)
     strength = evidence(lexicon.rate, k)
     # whole tenths of the evidence: at most 601 rows per label
     steps = (
@@ -323,7 +343,7 @@ def score_toxicity(docs: DataFrame, labels: DataFrame, max_labelled: int = MAX_L
         steps["x"].to_numpy(float) / 10, steps["label"].to_numpy(float), steps["n"].to_numpy(float)
     )
     probability = 1 / (1 + F.exp(-(F.lit(slope) * F.col("evidence") + F.lit(level))))
-    floor = F.log(F.lit(k) * F.greatest("n_words", F.lit(1)))
+    floor = F.log(F.lit(k_scan) * F.greatest("n_words", F.lit(1)))
     significant = F.filter("segments", lambda s: F.lit(lexicon.rate) * s["score"] > floor)
     return scored.select(
         "doc_id", "n_words", significant.alias("segments"), strength.alias("evidence")
