@@ -9,6 +9,7 @@ original text.
 from __future__ import annotations
 
 import re
+import uuid
 from collections.abc import Iterable, Iterator
 
 import pyarrow as pa
@@ -147,10 +148,10 @@ def find_contamination(
         sent = spark.sparkContext.broadcast(block)
         if blocks:
             out = materialize(out, "scanned")
-        out = out.mapInArrow(_scanner(sent, window, f"{id(sent)}:{blocks}", keep), schema)
+        out = out.mapInArrow(_scanner(sent, window, uuid.uuid4().hex, keep), schema)
         blocks += 1
     if not blocks:
-        out = out.mapInArrow(_scanner(None, window, "none", keep), schema)
+        out = out.mapInArrow(_scanner(None, window, uuid.uuid4().hex, keep), schema)
     return out
 
 
