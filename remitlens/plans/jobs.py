@@ -148,9 +148,9 @@ def transaction_table(phys: DataFrame, pay: DataFrame, comp: DataFrame) -> Model
 # --- cross-validation ------------------------------------------------------------------
 
 
-def fit_stopped(train: DataFrame, settings: BoostSettings):
-    """Boosting that stops on held-out recipients, as every fit of the jobs does."""
-    return trees.fit_boosted(train, settings, role(11, "id", HELD_OUT) == "test")
+def fit_stopped(train: DataFrame, settings: BoostSettings, patience: int = trees.PATIENCE):
+    """Boosting on all rows for as many rounds as held-out recipients ask for."""
+    return trees.fit_patient(train, settings, role(11, "id", HELD_OUT) == "test", patience)
 
 
 def cross_validate(
@@ -160,11 +160,14 @@ def cross_validate(
     seed: int = 2021,
     paired: bool = False,
     thresholds: Sequence[float] | None = None,
+    patience: int | None = trees.PATIENCE,
+    rounds: Sequence[int] | None = None,
 ) -> DataFrame:
     """Metrics per fold, setting and cut-off, numbered in the order tried.
 
     ``paired`` tries setting i on fold i only; otherwise every setting meets every fold.
-    ``thresholds`` replaces the cut-off of the settings; trying more costs no refit.
+    ``thresholds`` replaces the cut-off of the settings; trying more costs no refit. Without
+    ``patience`` all rounds are fitted; ``rounds`` then tries the first trees of that one fit too.
     A recipient is predicted 1 when any of its rows is, so its highest score decides.
     """
     folds = materialize(hash_folds(train, "id", seed, k).select("id", "fold"), "folds")
@@ -174,27 +177,39 @@ def cross_validate(
     for fold in range(1, k + 1):
         chosen = [settings[(fold - 1) % len(settings)]] if paired else settings
         for setting in chosen:
-            model = fit_stopped(keyed.filter(F.col("fold") != fold), setting)
-            held = trees.score(model, keyed.filter(F.col("fold") == fold))
-            rolled = held.groupBy("id").agg(
-                F.max("score").alias("score"), any_known(F.col("label")).alias("truth")
-            )
-            cuts = [float(c) for c in (thresholds or [setting.threshold])]
-            place = F.array_position(F.array(*map(F.lit, cuts)), F.col("threshold"))
-            tried = {n: v for n, v in asdict(setting).items() if n != "threshold"}
-            row = sweep(rolled, cuts).select(
-                (place + run).cast("int").alias("run"),
-                F.lit(fold).alias("fold"),
-                *[F.lit(v).alias(n) for n, v in tried.items()],
-                "threshold",
-                "tp",
-                "fp",
-                "fn",
-                "tn",
-                "bac",
-            )
-            run += len(cuts)
-            results = row if results is None else results.unionByName(row)
+            rest = keyed.filter(F.col("fold") != fold)
+            if patience is None:
+                longest = replace(setting, rounds=max(rounds or [setting.rounds]))
+                whole = trees.fit_boosted(rest, longest)
+                models = [
+                    (replace(setting, rounds=n), trees.first_trees(whole, n))
+                    for n in (rounds or [setting.rounds])
+                ]
+            else:
+                models = [(setting, fit_stopped(rest, setting, patience))]
+            for used, model in models:
+                held = trees.score(model, keyed.filter(F.col("fold") == fold))
+                rolled = held.groupBy("id").agg(
+                    F.max("score").alias("score"), any_known(F.col("label")).alias("truth")
+                )
+                cuts = [float(c) for c in (thresholds or [used.threshold])]
+                place = F.array_position(F.array(*map(F.lit, cuts)), F.col("threshold"))
+                tried = {n: v for n, v in asdict(used).items() if n != "threshold"}
+                row = sweep(rolled, cuts).select(
+                    (place + run).cast("int").alias("run"),
+                    F.lit(fold).alias("fold"),
+                    *[F.lit(v).alias(n) for n, v in tried.items()],
+                    "threshold",
+                    "tp",
+                    "fp",
+                    "fn",
+                    "tn",
+                    "bac",
+                )
+                run += len(cuts)
+                # written fit by fold, so that no plan holds the models of all
+                row = materialize(row, "run")
+                results = row if results is None else results.unionByName(row)
     return materialize(results, "metrics")
 
 
@@ -211,12 +226,14 @@ def search_and_predict(
     k: int = 3,
     final_rounds: int | None = None,
     paired: bool = True,
+    patience: int = trees.PATIENCE,
 ) -> DataFrame:
     """Cross-validate, refit on all training rows with the best settings, predict the rest."""
-    best = best_settings(cross_validate(table.train, settings, k, paired=paired), settings[0])
+    metrics = cross_validate(table.train, settings, k, paired=paired, patience=patience)
+    best = best_settings(metrics, settings[0])
     if final_rounds:
         best = replace(best, rounds=final_rounds)
-    model = fit_stopped(table.train, best)
+    model = fit_stopped(table.train, best, patience)
     scored = trees.score(model, table.test, best.threshold).withColumn("truth", F.col("label"))
     return roll_up(scored, "id").select("id", "prediction")
 
@@ -235,7 +252,9 @@ def transaction_job(
     final_rounds: int,
 ) -> DataFrame:
     table = transaction_table(phys, pay, comp)
-    return search_and_predict(table, settings, final_rounds=final_rounds)
+    return search_and_predict(
+        table, settings, final_rounds=final_rounds, patience=trees.TRANSACTION_PATIENCE
+    )
 
 
 # --- Naive Bayes -----------------------------------------------------------------------
