@@ -466,8 +466,17 @@ def param_search_per_fold(t):
 def param_grid_search(t):
     """Every setting on every fold with several cut-offs; mean BAC per combination."""
     table = jobs.recipient_table(t.phys, t.pay)
-    grid = [replace(trees.FIRST_ROWS, depth=d) for d in (3, 6)]
-    found = jobs.cross_validate(table.train, grid, 2, thresholds=[0.1, 0.3, 0.5])
+    grid = [
+        replace(trees.SLOW, eta=e, depth=d) for e in trees.GRID_ETA for d in trees.GRID_DEPTH
+    ]
+    found = jobs.cross_validate(
+        table.train,
+        grid,
+        2,
+        thresholds=trees.GRID_CUTS,
+        patience=None,
+        rounds=trees.GRID_ROUNDS,
+    )
     return found.groupBy("rounds", "eta", "depth", "threshold").agg(
         F.avg("bac").alias("mean_bac"), F.count("*").alias("folds")
     )
