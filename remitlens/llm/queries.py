@@ -10,6 +10,9 @@ from pyspark.sql import functions as F
 
 from remitlens.llm import (
     decontaminate,
+    filter_audit,
+    main_text,
+    merkle,
     packing,
     pii,
     quality_classifier,
@@ -98,3 +101,24 @@ def op9_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
 def op10_pii_surrogates(spark: SparkSession, sf_dir: str) -> DataFrame:
     replaced = pii.replace_personal_data(documents(spark, sf_dir).select("doc_id", "text"))
     return replaced.select(F.col("doc_id").cast("long").alias("doc_id"), "text", "n_replaced")
+
+
+@register
+def op11_merkle_manifest(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = merkle.manifest(merkle.leaves(documents(spark, sf_dir)))
+    folded = merkle.fold(F.coalesce("altered", "leaf"), F.col("path"))
+    return found.select(
+        "doc_id", "leaf", "subroot", "root", merkle.proof_digest(F.col("path")).alias("proof_sha256"),
+        folded.alias("folded_root"),
+    ).withColumn("verified", F.col("folded_root") == F.col("root"))
+
+
+@register
+def op12_filter_audit(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return filter_audit.audit(documents(spark, sf_dir), table(spark, sf_dir, "labels"))
+
+
+@register
+def op13_main_text(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = main_text.extract_main_text(table(spark, sf_dir, "pages").select("page_id", "url", "html"))
+    return found.select("page_id", "url", "text", "n_chars")
