@@ -18,8 +18,9 @@ from pyspark.sql import functions as F
 from remitlens.llm.common import materialize
 
 KEY = "surrogate key"
-#: Draws for one entity before its format is widened (only tiny formats ever need it).
-WIDEN_AFTER = 8
+#: Draws for one entity before its format is widened, once more after each so many further ones;
+#: only formats with few forms, or with as many entities as forms, ever need it.
+WIDEN_AFTER = 6
 MAX_ROUNDS = 40
 
 _OCTET = "(?:25[0-5]|2[0-4][0-9]|1[0-9][0-9]|[1-9]?[0-9])"
@@ -155,13 +156,32 @@ def _ip(hexed: Column, name: Column, attempt: Column) -> Column:
     return F.array_join(F.transform(F.split(name, r"\."), octet), ".")
 
 
-def _pick(listed: str, hexed: Column, at: int) -> Column:
+def _pick(listed: str, hexed: Column, at: int | Column) -> Column:
     words = listed.split()
     return F.element_at(F.array(*(F.lit(w) for w in words)), _number(hexed, at, 1, len(words)))
 
 
-def _person(hexed: Column, type_: Column, name: Column) -> Column:
-    """A given name of the gender, if there were two words, and an invented family name."""
+def _invented(listed: str, hexed: Column, size: Column) -> Column:
+    """A word of so many keyed syllables."""
+    parts = F.transform(F.sequence(F.lit(1), size), lambda i: _pick(listed, hexed, 4 * i + 1))
+    return F.array_join(parts, "")
+
+
+def _wider(hexed: Column, attempt: Column, size: int, digits: bool = False) -> Column:
+    """Keyed letters or digits to add to a form, ``size`` per widening; none at first."""
+    count = F.call_function("div", attempt, F.lit(WIDEN_AFTER)).cast("int") * size
+    pool = F.translate(F.substring(hexed, 129, 128), "0123456789", "ghijklmnop")
+    if digits:
+        pool = F.translate(F.substring(hexed, 129, 128), "abcdef", "012345")
+    return F.left(pool, count)
+
+
+def _person(hexed: Column, type_: Column, name: Column, attempt: Column) -> Column:
+    """A given name of the gender, if there were two words, and an invented family name.
+
+    Family names grow by syllables when widened.
+    """
+    more = F.call_function("div", attempt, F.lit(WIDEN_AFTER)).cast("int")
     script = (
         F.when(name.rlike(r"\p{IsCyrillic}"), "cyrillic")
         .when(name.rlike(r"\p{IsGreek}"), "greek")
@@ -171,7 +191,7 @@ def _person(hexed: Column, type_: Column, name: Column) -> Column:
     for (gender, letters), listed in GIVEN.items():
         given = F.when((type_ == gender) & (script == letters), _pick(listed, hexed, 1)).otherwise(given)
     for letters, listed in SYLLABLES.items():
-        built = F.initcap(F.concat(*(_pick(listed, hexed, 5 + 4 * k) for k in range(4))))
+        built = F.initcap(_invented(listed, hexed, 4 + 2 * more))
         family = F.when(script == letters, built).otherwise(family)
     return F.when(name.contains(" "), F.concat_ws(" ", given, family)).otherwise(family)
 
@@ -180,17 +200,21 @@ def surrogate(key: str, type_: Column, name: Column, attempt: Column) -> Column:
     """The replacement of a canonical form, itself in canonical form (names keep their case)."""
     hexed = _digest(key, type_, name, attempt)
     ending = F.length(name) - F.length(F.substring_index(name, ".", -1))
-    email = F.concat(_letters(hexed, F.left(name, ending)), F.substring_index(name, ".", -1))
+    email = F.concat(
+        _wider(hexed, attempt, 4), _letters(hexed, F.left(name, ending)), F.substring_index(name, ".", -1)
+    )
+    more_digits = _wider(hexed, attempt, 3, digits=True)
+    kept = F.when(F.length(name) > 10, F.length(name) - 10).otherwise(1)
     return (
         F.when(type_ == "email", email)
         .when(type_ == "key", _letters(hexed, name, 4))
         .when(type_ == "secret", F.left(hexed, F.length(name)))
         .when(type_ == "iban", _letters(hexed, name, 2))
-        .when(type_ == "phone", _letters(hexed, name, F.when(F.length(name) > 10, F.length(name) - 10).otherwise(1)))
+        .when(type_ == "phone", F.concat(_letters(hexed, name, kept), more_digits))
         .when(type_ == "card", _card(hexed, name))
         .when(type_ == "ip", _ip(hexed, name, attempt))
-        .when(type_ == "ssn", _letters(hexed, name))
-        .otherwise(_person(hexed, type_, name))
+        .when(type_ == "ssn", F.concat(_letters(hexed, name), more_digits))
+        .otherwise(_person(hexed, type_, name, attempt))
     )
 
 
@@ -205,7 +229,8 @@ def in_format(entity: Column, type_: Column, drawn: Column) -> Column:
             (state["k"] + solid.cast("int")).alias("k"),
         )
 
-    written = F.aggregate(F.split(entity, ""), start, fill, lambda s: s["s"])
+    whole = lambda s: F.concat(s["s"], F.substr(drawn, s["k"]))  # noqa: E731 - a widened form is longer
+    written = F.aggregate(F.split(entity, ""), start, fill, whole)
     title = F.regexp_extract(entity, rf"^(?:{MALE}|{FEMALE})\.? ", 0)
     return (
         F.when(type_.isin("phone", "card", "ssn", "iban"), written)
@@ -263,10 +288,11 @@ def replace_personal_data(docs: DataFrame, key: str = KEY) -> DataFrame:
 
     Null and empty texts stay as they are with n_replaced 0, as does any text without an
     entity; only texts with one are written and joined. Repeated rows are all replaced, null
-    ids make no difference, other columns pass through.
+    ids make no difference, other columns pass through whatever their names; one called n_replaced
+    is replaced.
     """
-    columns = [f"`{c}`" for c in docs.columns if c not in ("n_replaced", "_row")]
-    docs = docs.select(*(F.col(c) for c in columns))
+    columns = [c for c in docs.columns if c != "n_replaced"]
+    docs = docs.select("text", F.struct(*(F.col(f"`{c}`") for c in columns)).alias("_given"))
     has = F.coalesce(F.col("text").rlike(HINT) & F.col("text").rlike(ENTITY), F.lit(False))
     plain = docs.where(~has).withColumn("n_replaced", F.lit(0))
     found = materialize(
@@ -300,5 +326,6 @@ def replace_personal_data(docs: DataFrame, key: str = KEY) -> DataFrame:
     changed = found.join(written, "_row").withColumns(
         {"n_replaced": F.size("_new"), "text": text}
     )
-    names = [*columns, "n_replaced"]
-    return reduce(DataFrame.unionByName, [plain.select(*names), changed.select(*names)])
+    names = [F.col("text") if c == "text" else F.col(f"_given.`{c}`") for c in columns]
+    both = [part.select(*names, "n_replaced") for part in (plain, changed)]
+    return reduce(DataFrame.unionByName, both)

@@ -193,8 +193,3 @@ def apply_rules(docs: DataFrame) -> DataFrame:
             inside.append(value <= F.col(f"high_{name}"))
     verdict = F.coalesce(reduce(Column.__and__, inside), F.lit(False))
     return joined.withColumn("kept", ~F.col("base_failed") & verdict).drop("_lang", "_source")
-
-
-def kept_documents(docs: DataFrame) -> DataFrame:
-    """doc_id of every text that the rules keep."""
-    return apply_rules(docs).where("kept").select("doc_id")

@@ -250,20 +250,3 @@ def near_duplicates(docs: DataFrame) -> DataFrame:
     return with_components(printed).select(
         "doc_id", F.lower(F.lpad(F.hex("fingerprint"), 16, "0")).alias("fingerprint"), "component_id"
     )
-
-
-def one_of_each(docs: DataFrame) -> DataFrame:
-    """The rows of ``docs`` less all but one of each component: the one of the least doc_id.
-
-    Among rows with that doc_id the first written stays. Columns are those of ``docs``.
-    """
-    tagged = fingerprints(docs).withColumn("_row", F.monotonically_increasing_id())
-    kept = materialize(tagged, "tagged")
-    narrow = kept.select("_row", F.col("doc_id").cast("long").alias("doc_id"), "fingerprint")
-    named = with_components(narrow)
-    stay = (
-        named.groupBy(F.coalesce("component_id", F.lit(-(1 << 62))).alias("component"), F.col("component_id").isNull())
-        .agg(F.min_by("_row", F.struct(F.col("doc_id").isNull(), "doc_id", "_row")).alias("_row"))
-        .select("_row")
-    )
-    return kept.join(stay, "_row", "left_semi").select(*(F.col(f"`{c}`") for c in docs.columns))

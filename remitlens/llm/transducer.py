@@ -60,13 +60,22 @@ class Merges:
         return ids
 
 
-#: Transitions sit in an open-addressing table of fixed size: key, next state, count change.
+#: Transitions sit in an open-addressing table: key, next state, count change. It is cleared when
+#: full, the states in use carried over, and grows only for more spans at a time than it holds.
 TABLE_BITS = 21
 _HASH = np.uint64(0x9E3779B97F4A7C15)
 #: Spans longer than this are read as chunks whose state maps are composed.
 CHUNK_BYTES = 512
 
 
+StateMap = dict[bytes, tuple[bytes, int]]
+
+
+def composed(one: StateMap, two: StateMap) -> StateMap:
+    """The map of reading two chunks, from the states the first is known for."""
+    return {s: (two[e][0], n + two[e][1]) for s, (e, n) in one.items() if e in two}
+
+
 class Transducer:
     """States, transitions and count changes, grown as bytes demand them."""
 
@@ -153,25 +162,24 @@ class Transducer:
             grown[at] += change
         grown.extend((0, last, 0))
         name = grown.tobytes()
-        number = self._number.get(name)
-        if number is None:
-            number = self._number[name] = len(self._states)
-            self._states.append(name)
         slot = int(self._slots(np.array([key]))[0])
-        self._keys[slot], self._next[slot], self._change[slot] = key, number, change
+        self._keys[slot], self._next[slot], self._change[slot] = key, self._intern(name), change
         self.transitions += 1
-        if self.transitions > (1 << self.bits) * 9 // 10:
-            raise OverflowError("more transitions in one call than the table holds")
-
-    def _advance(self, state: np.ndarray, symbols: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-        keys = (state.astype(np.int64) << 8) | symbols
-        slot = self._slots(keys)
-        missing = self._keys[slot] < 0
-        if missing.any():
-            for key in np.unique(keys[missing]).tolist():
-                self._compile(key)
-            slot = self._slots(keys)
-        return self._next[slot], self._change[slot]
+
+    def _intern(self, name: bytes) -> int:
+        number = self._number.setdefault(name, len(self._states))
+        if number == len(self._states):
+            self._states.append(name)
+        return number
+
+    def _renewed(self, now: np.ndarray, room: int) -> np.ndarray:
+        """Clear the table but for the given states, which get new numbers; it then has the room."""
+        live, place = np.unique(now, return_inverse=True)
+        names = [self._states[s] for s in live.tolist()]
+        while 2 * room > 1 << self.bits:
+            self.bits += 1
+        self.clear()
+        return np.array([self._intern(name) for name in names], np.int32)[place]
 
     def walk(
         self, data: np.ndarray, begin: np.ndarray, end: np.ndarray, state: np.ndarray
@@ -184,46 +192,65 @@ class Transducer:
         alive = len(begin)
         for k in range(int(sizes[0]) if len(sizes) else 0):
             alive = int(np.searchsorted(shrink[:alive], -k, "left"))
-            now[:alive], change = self._advance(now[:alive], data[at[:alive] + k])
-            total[:alive] += change
+            read = data[at[:alive] + k]
+            keys = now[:alive].astype(np.int64) << 8 | read
+            slot = self._slots(keys)
+            new = np.unique(keys[self._keys[slot] < 0])
+            if len(new):
+                if self.transitions + len(new) > (1 << self.bits) * 3 // 4:
+                    now = self._renewed(now, alive)
+                    keys = now[:alive].astype(np.int64) << 8 | read
+                    new = np.unique(keys)
+                for key in new.tolist():
+                    self._compile(key)
+                slot = self._slots(keys)
+            now[:alive] = self._next[slot]
+            total[:alive] += self._change[slot]
         ends, counts = np.empty_like(now), np.empty_like(total)
         ends[order], counts[order] = now, total
         return ends, counts
 
+    def _maps(
+        self, data: np.ndarray, first: np.ndarray, last: np.ndarray, names: list[bytes]
+    ) -> list[tuple[bytes, int]]:
+        """Where every chunk leads from its state, and the change of the count."""
+        start = np.array([self._intern(name) for name in names], np.int32)
+        ends, counts = self.walk(data, first, last, start)
+        return [(self._states[e], n) for e, n in zip(ends.tolist(), counts.tolist(), strict=True)]
+
     def long_count(self, data: np.ndarray, begin: int, end: int) -> int:
         """Count of one long span by composing the state maps of its chunks.
 
-        Each chunk is read at once from the state that the bytes before it lead to from the
-        start. A scan over the chunks composes the maps; where the true start state is
-        another, the chunk's map gets that entry in a further round.
+        All chunks are read at once, each from the state that the bytes before it lead to from
+        the start. A parallel prefix scan composes the maps. Where a chunk may end in a state
+        that the map of the next one lacks, that entry is read in a further round, all of
+        them at once; the machine forgets its past within a few bytes, so the rounds are few.
+        States go by their names here, since the table may be cleared in between.
         """
         first = np.arange(begin, end, CHUNK_BYTES)
         last = np.minimum(first + CHUNK_BYTES, end)
-        start, _ = self.walk(
-            data, np.maximum(first - 64, begin), first, np.zeros(len(first), np.int32)
-        )
-        maps: list[dict[int, tuple[int, int]]] = [{} for _ in first]
-        wanted = dict(enumerate(start.tolist()))
-        while True:
-            chunks = np.fromiter(wanted, np.int64, len(wanted))
-            states = np.fromiter(wanted.values(), np.int32, len(wanted))
-            ends, counts = self.walk(data, first[chunks], last[chunks], states)
-            for c, s, e, n in zip(
-                chunks.tolist(), states.tolist(), ends.tolist(), counts.tolist(), strict=True
-            ):
-                maps[c][s] = e, n
-            state = total = 0
-            wanted = {}
-            for c, known in enumerate(maps):
-                if state in known:
-                    state, n = known[state]
-                    total += n
-                    continue
-                # the scan stops here; the chunks behind are asked for from their guesses
-                wanted[c] = state
-                break
-            if not wanted:
-                return total
+        origin = self._states[0]
+        before = self._maps(data, np.maximum(first - 64, begin), first, [origin] * len(first))
+        wanted = [(c, name) for c, (name, _) in enumerate(before)]
+        maps: list[StateMap] = [{} for _ in first]
+        while wanted:
+            chunks = np.array([c for c, _ in wanted])
+            found = self._maps(data, first[chunks], last[chunks], [name for _, name in wanted])
+            for (c, name), led in zip(wanted, found, strict=True):
+                maps[c][name] = led
+            wanted = [
+                (c + 1, name)
+                for c in range(len(maps) - 1)
+                for name in {name for name, _ in maps[c].values()}
+                if name not in maps[c + 1]
+            ]
+        prefix, step = maps, 1
+        while step < len(prefix):
+            prefix = [
+                m if c < step else composed(prefix[c - step], m) for c, m in enumerate(prefix)
+            ]
+            step *= 2
+        return prefix[-1][origin][1]
 
     def counts(self, data: np.ndarray, begin: np.ndarray, end: np.ndarray) -> np.ndarray:
         """Token count of every span of the bytes read from the start state."""

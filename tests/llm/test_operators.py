@@ -219,12 +219,6 @@ def test_links_of_near_prints(spark, crowded):
     assert len(set(group.values())) == len(set(want))
 
 
-def test_one_of_each_keeps_the_first(docs):
-    kept = [r.doc_id for r in simhash.one_of_each(docs).collect()]
-    assert kept.count(1) == 1 and kept.count(2) == 0 and kept.count(3) == 1
-    assert simhash.one_of_each(docs).columns == docs.columns
-
-
 def test_decontamination(docs, benchmark):
     found = decontaminate.digest(decontaminate.find_contamination(docs, benchmark))
     by = {(r.doc_id, r.n_words): r for r in found.collect()}
