@@ -2,10 +2,12 @@
 
 from __future__ import annotations
 
-from collections.abc import Sequence
+from collections.abc import Callable, Sequence
+from concurrent.futures import ThreadPoolExecutor
 from dataclasses import asdict, dataclass, replace
+from functools import reduce
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from remitlens.functions.bins import AMOUNT_BREAKS
@@ -33,6 +35,7 @@ from remitlens.schemas import (
 )
 from remitlens.session import materialize
 
+FITS_AT_ONCE = 4  # independent fits of a search whose jobs run side by side
 HELD_OUT = 0.2  # share of the training recipients on which boosting stops
 
 
@@ -173,44 +176,72 @@ def cross_validate(
     folds = materialize(hash_folds(train, "id", seed, k).select("id", "fold"), "folds")
     spread = RECORD if RECORD in train.columns else "id"
     keyed = materialize(join_skewed(train, folds, "id", spread, "inner"), "folded")
-    results, run = None, 0
+    cuts_of = lambda used: [float(c) for c in (thresholds or [used.threshold])]
+    fits, run = [], 0
     for fold in range(1, k + 1):
         chosen = [settings[(fold - 1) % len(settings)]] if paired else settings
         for setting in chosen:
-            rest = keyed.filter(F.col("fold") != fold)
-            if patience is None:
-                longest = replace(setting, rounds=max(rounds or [setting.rounds]))
-                whole = trees.fit_boosted(rest, longest)
-                models = [
-                    (replace(setting, rounds=n), trees.first_trees(whole, n))
-                    for n in (rounds or [setting.rounds])
-                ]
-            else:
-                models = [(setting, fit_stopped(rest, setting, patience))]
-            for used, model in models:
-                held = trees.score(model, keyed.filter(F.col("fold") == fold))
-                rolled = held.groupBy("id").agg(
-                    F.max("score").alias("score"), any_known(F.col("label")).alias("truth")
-                )
-                cuts = [float(c) for c in (thresholds or [used.threshold])]
-                place = F.array_position(F.array(*map(F.lit, cuts)), F.col("threshold"))
-                tried = {n: v for n, v in asdict(used).items() if n != "threshold"}
-                row = sweep(rolled, cuts).select(
-                    (place + run).cast("int").alias("run"),
-                    F.lit(fold).alias("fold"),
-                    *[F.lit(v).alias(n) for n, v in tried.items()],
-                    "threshold",
-                    "tp",
-                    "fp",
-                    "fn",
-                    "tn",
-                    "bac",
-                )
-                run += len(cuts)
-                # written fit by fold, so that no plan holds the models of all
-                row = materialize(row, "run")
-                results = row if results is None else results.unionByName(row)
-    return materialize(results, "metrics")
+            fits.append((fold, setting, run))
+            run += len(cuts_of(setting)) * (len(rounds or [1]) if patience is None else 1)
+
+    def fitted(fold: int, setting: BoostSettings, run: int) -> DataFrame:
+        rest = keyed.filter(F.col("fold") != fold)
+        if patience is None:
+            longest = replace(setting, rounds=max(rounds or [setting.rounds]))
+            whole = trees.fit_boosted(rest, longest)
+            models = [
+                (replace(setting, rounds=n), trees.first_trees(whole, n))
+                for n in (rounds or [setting.rounds])
+            ]
+        else:
+            models = [(setting, fit_stopped(rest, setting, patience))]
+        found = []
+        for used, model in models:
+            held = trees.score(model, keyed.filter(F.col("fold") == fold))
+            rolled = held.groupBy("id").agg(
+                F.max("score").alias("score"), any_known(F.col("label")).alias("truth")
+            )
+            cuts = cuts_of(used)
+            place = F.array_position(F.array(*map(F.lit, cuts)), F.col("threshold"))
+            tried = {n: v for n, v in asdict(used).items() if n != "threshold"}
+            row = sweep(rolled, cuts).select(
+                (place + run).cast("int").alias("run"),
+                F.lit(fold).alias("fold"),
+                *[F.lit(v).alias(n) for n, v in tried.items()],
+                "threshold",
+                "tp",
+                "fp",
+                "fn",
+                "tn",
+                "bac",
+            )
+            run += len(cuts)
+            # written fit by fold, so that no plan holds the models of all
+            found.append(materialize(row, "run"))
+        return reduce(DataFrame.unionByName, found)
+
+    return materialize(reduce(DataFrame.unionByName, side_by_side(train.sparkSession, fitted, fits)), "metrics")
+
+
+def side_by_side(
+    spark: SparkSession, work: Callable[..., DataFrame], calls: Sequence[tuple]
+) -> list[DataFrame]:
+    """Results of independent calls in their order, ``FITS_AT_ONCE`` of them at a time.
+
+    Their jobs share the cluster: one fit is a chain of small jobs, several fill the gaps.
+    Where the session schedules fairly, each call is a pool of its own.
+    """
+
+    def run(call: tuple) -> DataFrame:
+        context = spark.sparkContext
+        context.setLocalProperty("spark.scheduler.pool", "_".join(map(str, call[::2])))
+        try:
+            return work(*call)
+        finally:
+            context.setLocalProperty("spark.scheduler.pool", None)
+
+    with ThreadPoolExecutor(FITS_AT_ONCE) as pool:
+        return list(pool.map(run, calls))
 
 
 def best_settings(metrics: DataFrame, base: BoostSettings) -> BoostSettings:
