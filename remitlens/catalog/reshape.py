@@ -192,19 +192,20 @@ SLOT_LEVELS = " UNION ALL ".join(
 @query(f"SELECT Record_ID, level, count(*) AS n FROM ({SLOT_LEVELS}) GROUP BY 1, 2", JOINED)
 def multihot_sum(t):
     """How often each product type, specialty and license state fills a slot of a payment."""
-    people = split_specialties(t.phys).select(F.col("id").alias(ID), *SPECIALTIES, *LICENSES)
-    facts = t.pay.select(RECORD, ID, *PRODUCT_TYPES)
-    joined = join_skewed(facts, people, ID, RECORD, "inner")
 
-    def tagged(prefix, columns):
+    def tagged(prefix):
         def named(p):
             level = prefixed(prefix, p["level"])
             return F.struct(level.alias("level"), p["n"].cast("bigint").alias("n"))
 
-        return F.transform(slot_counts(columns), named)
+        return F.transform(slot_counts(SLOTTED[prefix]), named)
 
-    blocks = [tagged(prefix, columns) for prefix, columns in SLOTTED.items()]
-    return joined.select(RECORD, F.inline(F.concat(*blocks)))
+    # specialties and licenses are counted once per recipient, before the join
+    owned = F.concat(tagged("SPEC_"), tagged("LICENSE_")).alias("owned")
+    people = split_specialties(t.phys).select(F.col("id").alias(ID), owned)
+    facts = t.pay.select(RECORD, ID, *PRODUCT_TYPES)
+    joined = join_skewed(facts, people, ID, RECORD, "inner")
+    return joined.select(RECORD, F.inline(F.concat(tagged("TYPE_"), "owned")))
 
 
 FEATURES = f"""tot AS (SELECT Physician_ID AS id, CAST(sum({AMOUNT}) AS DOUBLE) AS w FROM pay
