@@ -6,14 +6,19 @@ from pyspark.sql import functions as F
 
 from remitlens.catalog.joins import SCORES, sql_below, sql_bucket
 from remitlens.catalog.registry import cut_sql, query
-from remitlens.functions.bins import AMOUNT_BREAKS
+from remitlens.functions.bins import (
+    AMOUNT_BREAKS,
+    PERCENT_BREAKS_FINE,
+    PERCENT_BREAKS_FORM,
+    TOTAL_BREAKS_FINE,
+)
 from remitlens.functions.values import yes_no
-from remitlens.models import bayes, boosting, trees
+from remitlens.models import association_tree, bayes, boosting, trees
 from remitlens.models.association import chi_square
 from remitlens.models.evaluate import best_run, evaluate, roll_up, sweep
 from remitlens.operators.joins import join_skewed
-from remitlens.operators.splits import hash_fold
-from remitlens.plans import jobs
+from remitlens.operators.splits import hash_fold, role
+from remitlens.plans import binned_shares, jobs
 from remitlens.plans.clean import BAYES_FEATURES, bayes_rows
 from remitlens.plans.rules import row_predictions, stock_scores
 from remitlens.session import materialize
@@ -317,6 +322,114 @@ def tree_predict_rollup(t):
     return roll_up(scored, "id")
 
 
+def _pct(part: str, breaks) -> str:
+    return cut_sql(f"round(CAST({part} AS DOUBLE) / nullif(CAST(t AS DOUBLE), 0) * 100, 6)", breaks)
+
+
+SHARE_ROWS = f"""cells AS (SELECT Physician_ID, Company_ID, {NATURE} AS nature, {FORM} AS form,
+    {LABEL} AS label, sum({AMOUNT}) AS s FROM pay GROUP BY 1, 2, 3, 4, 5),
+    sums AS (SELECT *, sum(s) OVER (PARTITION BY Physician_ID) AS t,
+    sum(s) OVER (PARTITION BY Physician_ID, Company_ID, nature) AS by_nature,
+    sum(s) OVER (PARTITION BY Physician_ID, form) AS by_form,
+    sum(s) OVER (PARTITION BY Physician_ID, Company_ID) AS by_company FROM cells),
+    lic AS (SELECT id, v AS licensed_in FROM ({" UNION ALL ".join(
+        f"SELECT id, {c} AS v FROM phys" for c in LICENSES)}) WHERE v IS NOT NULL),
+    spec AS (SELECT id, v AS specialty FROM ({" UNION ALL ".join(
+        f"SELECT id, split_part(Primary_Specialty, '|', {i}) AS v FROM phys" for i in (1, 2, 3))})
+    WHERE v <> ''),
+    shares AS (SELECT p.id, split_set, CASE label WHEN 'Yes' THEN 1 WHEN 'No' THEN 0 END AS label,
+    s.Company_ID, CAST({_filled(LICENSES)} AS INTEGER) AS n_licenses,
+    CAST(length(Primary_Specialty) - length(replace(Primary_Specialty, '|', '')) + 1 AS INTEGER)
+    AS n_specialties, licensed_in, specialty, {cut_sql("t", TOTAL_BREAKS_FINE)} AS total_bin,
+    {_pct("by_company", PERCENT_BREAKS_FINE)} AS company_bin, nature,
+    {_pct("by_nature", PERCENT_BREAKS_FINE)} AS nature_bin, form,
+    {_pct("by_form", PERCENT_BREAKS_FORM)} AS form_bin,
+    comp.State AS company_state, comp.Country AS company_country
+    FROM sums s JOIN phys p ON s.Physician_ID = p.id JOIN lic ON lic.id = p.id
+    JOIN spec ON spec.id = p.id LEFT JOIN comp ON s.Company_ID = comp.Company_ID)"""
+
+
+@query("SELECT * FROM shares", SHARE_ROWS)
+def binned_share_rows(t):
+    """The rows of the single tree: binned shares with the attributes of recipient and company."""
+    return binned_shares.share_rows(t.phys, t.pay, t.comp)
+
+
+def _share_sides(t):
+    """Binned share rows of training and of held-out recipients."""
+    rows = binned_shares.share_rows(t.phys, t.pay, t.comp).filter("split_set = 'train'")
+    rows = materialize(rows.withColumn("role", role(4, "id", 0.2)), "share_rows")
+    return rows.filter("role = 'train'"), rows.filter("role = 'test'")
+
+
+ROOT_LEVELS = (
+    SHARE_ROWS
+    + f""", fitted AS (SELECT * FROM shares WHERE split_set = 'train' AND label IS NOT NULL
+    AND NOT ({sql_below(4, 'id', 0.2)})), lev AS ("""
+    + " UNION ALL ".join(
+        f"SELECT '{f}' AS feature, CAST({f} AS VARCHAR) AS level, "
+        f"{f'CAST({f} AS DOUBLE)' if f in binned_shares.ORDERED else 'NULL'} AS x, "
+        f"CAST(count(*) AS DOUBLE) AS n, CAST(sum(label) AS DOUBLE) AS a FROM fitted "
+        f"WHERE {f} IS NOT NULL GROUP BY {f}"
+        for f in binned_shares.FEATURES
+    )
+    + """), run AS (SELECT *, sum(n) OVER (PARTITION BY feature) AS big_n,
+    sum(a) OVER (PARTITION BY feature) AS big_a, sum(n * x) OVER (PARTITION BY feature)
+    / sum(n) OVER (PARTITION BY feature) AS mx, sum(n) OVER w AS nl, sum(a) OVER w AS al
+    FROM lev WINDOW w AS (PARTITION BY feature ORDER BY coalesce(x, a / n), level)),
+    two AS (SELECT feature, nl, CASE WHEN nl >= 7 AND big_n - nl >= 7 THEN
+    round((big_n - 1) * (al * (big_n - nl - big_a + al) - (nl - al) * (big_a - al))
+    * (al * (big_n - nl - big_a + al) - (nl - al) * (big_a - al))
+    / (nl * (big_n - nl) * big_a * (big_n - big_a)), 9) END AS division FROM run),
+    top AS (SELECT feature, division, nl, row_number() OVER (PARTITION BY feature
+    ORDER BY division DESC, nl) AS i FROM two WHERE division IS NOT NULL)"""
+)
+
+
+@query(
+    """SELECT r.feature, round(r.chi2, 6) AS chi2, r.df, round(top.division, 6) AS division,
+    CAST(top.nl AS BIGINT) AS n_left FROM (SELECT feature, CASE WHEN count(x) = 0 THEN
+    (max(big_n) - 1) / max(big_n) * (sum((a - n * big_a / big_n) * (a - n * big_a / big_n)
+    / (n * big_a / big_n)) + sum((a - n * big_a / big_n) * (a - n * big_a / big_n)
+    / (n * (big_n - big_a) / big_n))) ELSE (max(big_n) - 1) * pow(sum((a - n * big_a / big_n)
+    * (x - mx)), 2) / (sum(n * (x - mx) * (x - mx)) * max(big_a * (big_n - big_a) / big_n)) END
+    AS chi2, CAST(CASE WHEN count(x) = 0 THEN count(*) - 1 ELSE 1 END AS INTEGER) AS df FROM run
+    WHERE big_a > 0 AND big_a < big_n GROUP BY feature HAVING count(*) > 1) r
+    LEFT JOIN top ON top.feature = r.feature AND i = 1""",
+    ROOT_LEVELS,
+)
+def tree_root_tests(t):
+    """Association of every feature at the root of the tree, and its best division in two sets."""
+    train, _ = _share_sides(t)
+    cells = association_tree.collapse(train, "label", binned_shares.FEATURES)
+    graded = association_tree.graded_levels(
+        cells.withColumn("node", F.lit(0)), binned_shares.FEATURES, binned_shares.ORDERED
+    )
+    return association_tree.split_tests(graded).select(
+        "feature", F.round("chi2", 6).alias("chi2"), "df",
+        F.round("division", 6).alias("division"), "n_left",
+    )
+
+
+def _share_tree(train):
+    return association_tree.fit(train, "label", binned_shares.FEATURES, binned_shares.ORDERED)
+
+
+@query()
+def tree_fit_association(t):
+    """Nodes of a tree on binned shares, divided by tests of association."""
+    train, _ = _share_sides(t)
+    return _share_tree(train).table(t.spark)
+
+
+@query()
+def tree_predict_binned_shares(t):
+    """That tree on held-out recipients, any of its row predictions per recipient."""
+    train, test = _share_sides(t)
+    scored = _share_tree(train).score(test, ["id", *binned_shares.FEATURES])
+    return roll_up(scored.withColumn("truth", F.col("label")), "id")
+
+
 # --- evaluation ------------------------------------------------------------------------
 
 CONFUSION = """conf AS (SELECT count(CASE WHEN truth = 1 AND p = 1 THEN 1 END) AS tp,
