@@ -6,6 +6,7 @@ from remitlens.catalog.registry import query
 from remitlens.functions.values import prefixed
 from remitlens.models.evaluate import best_run, roll_up, sweep
 from remitlens.operators.joins import join_keeping_dimension, join_natural, join_skewed
+from remitlens.operators.ordering import bind_by_position
 from remitlens.operators.reshape import levels, pivot_values
 from remitlens.operators.splits import role
 from remitlens.plans.clean import named_companies, split_specialties
@@ -139,6 +140,17 @@ def attach_scores_to_keys(t):
     return row_predictions(t.pay).select(RECORD, F.col(ID).alias("id"), "prediction", "truth")
 
 
+@query(
+    """SELECT Record_ID, Physician_ID AS id, CASE WHEN Form_of_Payment_or_Transfer_of_Value
+    LIKE 'Stock%' THEN 1 ELSE 0 END AS prediction FROM pay"""
+)
+def bind_scores_by_position(t):
+    """Keys and predictions held in two frames of equal order, bound row by row."""
+    keys = t.pay.select(RECORD, F.col(ID).alias("id"))
+    scores = row_predictions(t.pay).select(F.col(RECORD).alias("_order"), "prediction")
+    return bind_by_position(keys, scores, [RECORD], ["_order"]).drop("_order")
+
+
 @query(
     """SELECT i.id, coalesce(n.v, 0) AS food_pct, coalesce(f.v, 0) AS cash_pct,
     coalesce(l.n, 0) AS n_licenses FROM (SELECT DISTINCT Physician_ID AS id FROM pay) i

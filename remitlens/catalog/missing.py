@@ -13,7 +13,7 @@ from remitlens.operators.missing import completeness, fill_sentinel
 from remitlens.operators.ordering import hash_folds, with_fold, with_row_index
 from remitlens.operators.splits import bootstrap, guard_leak, repeated_roles, role
 from remitlens.plans.clean import named_companies, split_specialties
-from remitlens.plans.rules import stock_scores
+from remitlens.plans.rules import row_predictions, stock_scores
 from remitlens.schemas import (
     AMOUNT,
     COMPANY,
@@ -249,6 +249,27 @@ def sample_with_replacement(t):
     return drawn.select(RECORD, "draws", side)
 
 
+@query(
+    f"""SELECT tp, fp, fn, tn, round((CAST(tp AS DOUBLE) / nullif(tp + fn, 0)
+    + CAST(tn AS DOUBLE) / nullif(tn + fp, 0)) / 2, 6) AS bac FROM (SELECT
+    CAST(count(CASE WHEN y = 1 AND p = 1 THEN 1 END) AS BIGINT) AS tp,
+    CAST(count(CASE WHEN y = 0 AND p = 1 THEN 1 END) AS BIGINT) AS fp,
+    CAST(count(CASE WHEN y = 1 AND p = 0 THEN 1 END) AS BIGINT) AS fn,
+    CAST(count(CASE WHEN y = 0 AND p = 0 THEN 1 END) AS BIGINT) AS tn FROM
+    (SELECT {sql_bucket(9, 'i')} % n + 1 AS j FROM
+    (SELECT row_number() OVER (ORDER BY Record_ID) AS i, count(*) OVER () AS n FROM pay)
+    WHERE i <= n // 5) d JOIN (SELECT row_number() OVER (ORDER BY Record_ID) AS i,
+    CASE {LABEL} WHEN 'Yes' THEN 1 WHEN 'No' THEN 0 END AS y,
+    CASE WHEN {FORM} LIKE 'Stock%' THEN 1 ELSE 0 END AS p FROM pay) r ON d.j = r.i)"""
+)
+def bootstrap_bac(t):
+    """Metrics of a rule over payments drawn with replacement; a row weighs as often as drawn."""
+    rows = row_predictions(t.pay).select(RECORD, "prediction", "truth")
+    drawn = bootstrap(rows, RECORD, 9, 5)
+    bac = F.round("bac", 6).alias("bac")
+    return evaluate(drawn, weight="draws").select("tp", "fp", "fn", "tn", bac)
+
+
 @query(
     f"""SELECT Record_ID, Physician_ID, Ownership_Indicator FROM pay
     WHERE NOT ({sql_below(6, 'Physician_ID', 1 / 6)} AND Ownership_Indicator = 'Yes')"""

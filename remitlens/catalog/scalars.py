@@ -1,5 +1,8 @@
 """Scalar expressions and bins."""
 
+from functools import reduce
+
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from remitlens.catalog.registry import cut_sql, query
@@ -14,13 +17,14 @@ from remitlens.functions.values import (
 )
 from remitlens.operators.aggregates import share_of_total, totals_by
 from remitlens.operators.joins import join_skewed
-from remitlens.operators.ordering import with_row_index
+from remitlens.operators.ordering import number_levels, with_row_index
 from remitlens.operators.reshape import levels
 from remitlens.operators.splits import lump_companies
 from remitlens.plans.clean import named_companies, squash_spaces, split_specialties
 from remitlens.plans.rules import row_predictions
 from remitlens.schemas import (
     AMOUNT,
+    COMPANIES,
     COMPANY,
     FORM,
     ID,
@@ -28,6 +32,8 @@ from remitlens.schemas import (
     LICENSES,
     N_PAYMENTS,
     NATURE,
+    PAYMENTS,
+    PHYSICIANS,
     PRODUCT_TYPES,
     RECORD,
     SPECIALTIES,
@@ -224,6 +230,36 @@ def factor_index(t):
     return with_row_index(levels(split_specialties(t.phys), SPECIALTIES), "level", name="idx")
 
 
+def text_columns(schema) -> list[str]:
+    return [f.name for f in schema if f.dataType.simpleString() == "string"]
+
+
+TEXT_COLUMNS = {"phys": PHYSICIANS, "pay": PAYMENTS, "comp": COMPANIES}
+
+
+@query(
+    "SELECT column_name, level, row_number() OVER (PARTITION BY column_name ORDER BY level) AS idx FROM ("
+    + " UNION ALL ".join(
+        f"""SELECT DISTINCT '{table}.{c}' AS column_name, "{c}" AS level FROM {table}"""
+        for table, schema in TEXT_COLUMNS.items()
+        for c in text_columns(schema)
+    )
+    + ") WHERE level IS NOT NULL"
+)
+def factor_index_all(t):
+    """Dictionary of every text column of the three tables, numbered column by column."""
+
+    def pairs(table: str, schema) -> DataFrame:
+        entries = [
+            F.struct(F.lit(f"{table}.{c}").alias("column_name"), F.col(c).alias("level"))
+            for c in text_columns(schema)
+        ]
+        return getattr(t, table).select(F.inline(F.array(*entries)))
+
+    every = [pairs(table, schema) for table, schema in TEXT_COLUMNS.items()]
+    return number_levels(reduce(DataFrame.unionByName, every))
+
+
 @query(f"SELECT Record_ID, CAST({AMOUNT} AS DOUBLE) / nullif({N_PAYMENTS}, 0) * 100 AS pct FROM pay")
 def arith_ratio_percent(t):
     return t.pay.select(RECORD, percent(F.col(AMOUNT), F.col(N_PAYMENTS)).alias("pct"))

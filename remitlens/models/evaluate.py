@@ -14,14 +14,29 @@ def _count(test: Column) -> Column:
     return F.count(F.when(test, 1))
 
 
-def confusion(scored: DataFrame, *by: str, truth: str = "truth", prediction: str = "prediction"):
-    """tp, fp, fn, tn per group; a class that never occurs counts 0."""
+def confusion(
+    scored: DataFrame,
+    *by: str,
+    truth: str = "truth",
+    prediction: str = "prediction",
+    weight: str | None = None,
+):
+    """tp, fp, fn, tn per group; a class that never occurs counts 0.
+
+    With ``weight`` a row counts so many times, as if it were repeated.
+    """
     t, p = F.col(truth), F.col(prediction)
+
+    def cell(test: Column) -> Column:
+        if weight is None:
+            return _count(test)
+        return F.coalesce(F.sum(F.when(test, F.col(weight))), F.lit(0))
+
     return scored.groupBy(*by).agg(
-        _count((t == 1) & (p == 1)).alias("tp"),
-        _count((t == 0) & (p == 1)).alias("fp"),
-        _count((t == 1) & (p == 0)).alias("fn"),
-        _count((t == 0) & (p == 0)).alias("tn"),
+        cell((t == 1) & (p == 1)).alias("tp"),
+        cell((t == 0) & (p == 1)).alias("fp"),
+        cell((t == 1) & (p == 0)).alias("fn"),
+        cell((t == 0) & (p == 0)).alias("tn"),
     )
 
 
@@ -34,8 +49,8 @@ def balanced_accuracy(counts: DataFrame) -> DataFrame:
     )
 
 
-def evaluate(scored: DataFrame, *by: str) -> DataFrame:
-    return balanced_accuracy(confusion(scored, *by))
+def evaluate(scored: DataFrame, *by: str, weight: str | None = None) -> DataFrame:
+    return balanced_accuracy(confusion(scored, *by, weight=weight))
 
 
 def roll_up(scored: DataFrame, key: str, *by: str) -> DataFrame:

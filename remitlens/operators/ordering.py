@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from collections.abc import Sequence
+
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -37,6 +39,36 @@ def with_row_index(df: DataFrame, *order: str, name: str = "row_index") -> DataF
     return joined.withColumn(name, F.col("_before") + inside + 1).drop("_p", "_m", "_before")
 
 
+def bind_by_position(
+    left: DataFrame, right: DataFrame, left_order: Sequence[str], right_order: Sequence[str]
+) -> DataFrame:
+    """Row i of ``left`` beside row i of ``right``, each in its own order.
+
+    The orders must identify rows. Different lengths or a shared column name are errors.
+    """
+    if shared := set(left.columns) & set(right.columns):
+        raise ValueError(f"both frames have {sorted(shared)}")
+    first = with_row_index(left, *left_order, name="_position")
+    second = with_row_index(right, *right_order, name="_position")
+    sizes = first.count(), second.count()
+    if sizes[0] != sizes[1]:
+        raise ValueError(f"{sizes[0]} rows can't be bound to {sizes[1]}")
+    return first.join(second, "_position").drop("_position")
+
+
+def number_levels(pairs: DataFrame, column: str = "column_name", level: str = "level") -> DataFrame:
+    """Distinct (column, level) pairs with the 1-based number of the level in its column.
+
+    One range-partitioned sort numbers the levels of all columns; the first number of each column
+    is taken off, so no window holds a column. Null is no level.
+    """
+    placed = with_row_index(pairs.filter(F.col(level).isNotNull()).distinct(), column, level, name="_i")
+    # one row per column
+    first = F.broadcast(placed.groupBy(column).agg(F.min("_i").alias("_first")))
+    numbered = placed.join(first, column)
+    return numbered.select(column, level, (F.col("_i") - F.col("_first") + 1).alias("idx"))
+
+
 def bucket_digits(n: int) -> int:
     """Leading hex digits that cut ``n`` digests into buckets of ``_BUCKET_ROWS`` or fewer."""
     digits = 2
