@@ -6,11 +6,14 @@ from remitlens.catalog.registry import query
 from remitlens.functions.values import any_known, count_present, percent, strict_sum, yes_no
 from remitlens.models.evaluate import roll_up
 from remitlens.operators.aggregates import (
+    amount_sketches,
     any_by,
     attach_totals,
     exact_median,
     level_counts,
+    merged_sketches,
     share_of_total,
+    sketched_median,
     totals_by,
 )
 from remitlens.operators.joins import join_skewed
@@ -30,6 +33,7 @@ from remitlens.schemas import (
     PRODUCT_GROUPS,
     RECORD,
 )
+from remitlens.session import materialize
 
 
 def _dbl(name: str, places: int | None = None):
@@ -74,6 +78,21 @@ def agg_median(t):
     return exact_median(t.pay, ID, AMOUNT).select(ID, _dbl("median_amount", 6))
 
 
+@query(
+    f"""SELECT Physician_ID, round(quantile_disc(CAST({AMOUNT} AS DOUBLE), 0.5), 6) AS median_amount
+    FROM pay GROUP BY 1"""
+)
+def agg_median_sketch(t):
+    """Lower medians from quantile sketches of two batches, stored and merged.
+
+    Equal to the SQL while a recipient has no more than ``SKETCH_K`` payments in all.
+    """
+    batches = [t.pay.filter(f"coalesce(pmod({RECORD}, 2), 0) = {i}") for i in (0, 1)]
+    stored = [materialize(amount_sketches(b, ID, AMOUNT), "sketches") for b in batches]
+    merged = merged_sketches(stored[0].unionByName(stored[1]), ID)
+    return sketched_median(merged, ID).select(ID, _dbl("median_amount", 6))
+
+
 @query(
     f"""SELECT Physician_ID, round({SUM} / nullif(CAST(sum({N_PAYMENTS}) AS DOUBLE), 0), 6)
     AS mean_amount FROM pay GROUP BY 1"""

@@ -11,6 +11,9 @@ from pyspark.sql import types as T
 from remitlens.functions.values import any_known, percent
 from remitlens.operators.joins import join_skewed
 
+#: Size of a quantile sketch; the rank of a quantile is off by 1.7 % of the rows at most, with a chance
+#: of 99 percent.
+SKETCH_K = 200
 CENT_BITS = 11  # leading bits kept per bucket: at most 64 * 2**CENT_BITS buckets per sign
 
 
@@ -111,6 +114,33 @@ def exact_median(
     return ranked.groupBy(key).agg((middle / (2.0 * unit)).alias(name))
 
 
+def amount_sketches(df: DataFrame, key: str, amount: str, k: int = SKETCH_K) -> DataFrame:
+    """One quantile sketch of a decimal amount per key, of a size that rows don't change.
+
+    Sketches of several batches can be stored and merged. Null amounts are left out; a key with
+    no more than ``k`` amounts is held exactly.
+    """
+    kind = df.schema[amount].dataType
+    if not isinstance(kind, T.DecimalType) or kind.precision > 18:
+        raise TypeError(f"{amount} must be a decimal of at most 18 digits, not {kind}")
+    units = (F.col(amount) * 10**kind.scale).cast("bigint")
+    known = df.filter(F.col(amount).isNotNull())
+    return known.groupBy(key).agg(
+        F.kll_sketch_agg_bigint(units, F.lit(k)).alias("sketch"), F.lit(kind.scale).alias("scale")
+    )
+
+
+def merged_sketches(stored: DataFrame, key: str) -> DataFrame:
+    """Sketches of the same key and scale from several batches as one."""
+    return stored.groupBy(key, "scale").agg(F.kll_merge_agg_bigint("sketch").alias("sketch"))
+
+
+def sketched_median(sketches: DataFrame, key: str, name: str = "median_amount") -> DataFrame:
+    """The lower median as the sketch has it."""
+    middle = F.kll_sketch_get_quantile_bigint("sketch", F.lit(0.5).cast("double"))
+    return sketches.select(key, (middle / F.pow(F.lit(10.0), "scale")).alias(name))
+
+
 def any_by(df: DataFrame, key: str, **flags: str) -> DataFrame:
     """Three-valued any of 0/1 columns per key."""
     return df.groupBy(key).agg(*[any_known(F.col(c)).alias(n) for n, c in flags.items()])
