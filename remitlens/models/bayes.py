@@ -1,9 +1,8 @@
 """Categorical Naive Bayes as counts, ratios and joins.
 
-Classes are 0 and 1. Counting is one aggregation over all features; scoring joins
-each row to the per-level log probabilities of every feature, so the scored rows
-are not shuffled while the model is small enough for Spark to broadcast, and meet it
-by salted joins otherwise. Both give each row its own sum, whatever its key.
+Classes are 0 and 1. Counting is one aggregation over all features. Scoring looks the values of a
+row up in one table of maps while the model is small, so the scored rows are not shuffled, and
+meets a larger model by one salted join in long form. Both give each row its own sum.
 """
 
 from __future__ import annotations
@@ -20,7 +19,8 @@ from remitlens.operators.joins import join_skewed
 from remitlens.session import fits_broadcast, materialize
 
 CLASSES = (0, 1)
-
+#: Levels of one feature up to which rows look through a map of them.
+MAP_LEVELS = 200
 
 ALL = ""  # pseudo feature whose single level counts the rows of a class
 
@@ -169,13 +169,16 @@ def fit_folds(
     return _model(features, spread, outside, [fold], smooth, prior_smooth)
 
 
-def predict(rows: DataFrame, model: NaiveBayes, row_key: str) -> DataFrame:
+def predict(rows: DataFrame, model: NaiveBayes) -> DataFrame:
     """Adds ``log_0``, ``log_1`` and ``prediction``; missing or unknown values are skipped.
 
-    The levels of each feature are joined to the rows. ``row_key`` only spreads the rows of
-    a frequent level when the model is too large to broadcast; it need not be unique.
+    While the model is small, its levels are one map per feature that each row looks its values
+    up in. Beyond that the rows, numbered and written, meet the levels in long form, once for
+    all features. Both add the logs in the order of the features.
     """
-    return _choose(_add_logs(rows, model, row_key))
+    scored = _from_maps(rows, model) if _few_levels(model) else _from_long(rows, model)
+    names = [f"log_{c}" for c in CLASSES]
+    return _choose(scored.select(*rows.columns, *names))
 
 
 def _choose(scored: DataFrame) -> DataFrame:
@@ -184,31 +187,86 @@ def _choose(scored: DataFrame) -> DataFrame:
     return scored.withColumn("prediction", wins.cast("int"))
 
 
-def _add_logs(rows: DataFrame, model: NaiveBayes, row_key: str) -> DataFrame:
+def _few_levels(model: NaiveBayes) -> bool:
+    """Whether every map is short enough to look through and all of them fit a broadcast."""
+    if not fits_broadcast(model.logs):
+        return False
+    sizes = model.logs.groupBy(*model.by, "feature").agg(F.count("*").alias("n"))
+    return (sizes.agg(F.max("n")).first()[0] or 0) <= MAP_LEVELS
+
+
+def _priors(model: NaiveBayes) -> DataFrame:
+    """[by...], _prior_0, _prior_1: one row per fold, or one."""
+    prior = [F.col(f"log_{c}").alias(f"_prior_{c}") for c in CLASSES]
+    return model.logs.filter(F.col("feature") == ALL).select(*model.by, *prior)
+
+
+def _from_maps(rows: DataFrame, model: NaiveBayes) -> DataFrame:
+    logs = F.struct(*[F.col(f"log_{c}") for c in CLASSES])
+    maps = [
+        F.map_from_entries(
+            F.collect_list(F.when(F.col("feature") == f, F.struct("value", logs.alias("logs"))))
+        ).alias(f"_of_{i}")
+        for i, f in enumerate(model.features)
+    ]
+    prior = [
+        F.max(F.when(F.col("feature") == ALL, F.col(f"log_{c}"))).alias(f"_prior_{c}")
+        for c in CLASSES
+    ]
+    whole = model.logs.groupBy(*model.by).agg(*prior, *maps)
+    if model.by:
+        known = rows.join(F.broadcast(whole), list(model.by), "left")  # one row per fold
+        of = F.col
+    else:
+        one = whole.select(F.struct(*whole.columns).alias("_model")).scalar()
+        known = rows.withColumn("_model", one)
+        of = lambda name: F.col(f"_model.{name}")
+    found = [
+        F.try_element_at(of(f"_of_{i}"), F.col(f).cast("string"))
+        for i, f in enumerate(model.features)
+    ]
+
+    def total(c: int) -> Column:
+        parts = [F.coalesce(x[f"log_{c}"], F.lit(0.0)) for x in found]
+        return reduce(lambda a, b: a + b, parts, of(f"_prior_{c}"))
+
+    return known.withColumns({f"log_{c}": total(c) for c in CLASSES})
+
+
+def _from_long(rows: DataFrame, model: NaiveBayes) -> DataFrame:
     by = list(model.by)
-    names = [f"log_{c}" for c in CLASSES]
-    salted = not fits_broadcast(model.logs)
-    scored, parts = rows, {n: [] for n in names}
-    for i, feature in enumerate(model.features):
-        table = model.logs.filter(F.col("feature") == feature).select(
-            *by, F.col("value").alias("_value"), *[F.col(n).alias(f"_{i}_{n}") for n in names]
-        )
-        keyed = scored.withColumn("_value", F.col(feature).cast("string"))
-        scored = join_skewed(keyed, table, [*by, "_value"], row_key, salted=salted).drop("_value")
-        for n in names:
-            parts[n].append(F.coalesce(f"_{i}_{n}", F.lit(0.0)))
-    prior = model.logs.filter(F.col("feature") == ALL).select(
-        *by, *[F.col(n).alias(f"_prior_{n}") for n in names]
+    numbered = rows.withColumn("_row", F.monotonically_increasing_id())
+    numbered = materialize(numbered, "numbered")  # pins the numbers
+    entries = F.array(
+        *[
+            F.struct(
+                F.lit(i).alias("place"),
+                F.lit(f).alias("feature"),
+                F.col(f).cast("string").alias("value"),
+            )
+            for i, f in enumerate(model.features)
+        ]
     )
+    long = numbered.select("_row", *by, F.inline(entries)).filter(F.col("value").isNotNull())
+    levels = model.logs.filter(F.col("feature") != ALL)
+    met = join_skewed(long, levels, [*by, "feature", "value"], "_row", "inner")
+    # one entry per feature
+    parts = F.array_sort(F.collect_list(F.struct("place", *[f"log_{c}" for c in CLASSES])))
+    known = numbered.join(met.groupBy("_row").agg(parts.alias("_parts")), "_row", "left")
+    prior = _priors(model)
     if by:
-        scored = scored.join(F.broadcast(prior), by, "left")  # one row per fold
+        known = known.join(F.broadcast(prior), by, "left")  # one row per fold
     else:
-        known = prior.first()  # one row
-        scored = scored.withColumns(
-            {f"_prior_{n}": F.lit(known[f"_prior_{n}"]).cast("double") for n in names}
+        first = prior.first()  # one row
+        known = known.withColumns(
+            {f"_prior_{c}": F.lit(first[f"_prior_{c}"]).cast("double") for c in CLASSES}
         )
-    totals = {n: reduce(lambda a, b: a + b, parts[n], F.col(f"_prior_{n}")) for n in names}
-    return scored.withColumns(totals).select(*rows.columns, *names)
+
+    def total(c: int) -> Column:
+        added = F.aggregate("_parts", F.col(f"_prior_{c}"), lambda sum_, x: sum_ + x[f"log_{c}"])
+        return F.coalesce(added, F.col(f"_prior_{c}"))
+
+    return known.withColumns({f"log_{c}": total(c) for c in CLASSES})
 
 
 def gaussian(rows: DataFrame, label: str, columns: Sequence[str]) -> DataFrame:

@@ -7,7 +7,6 @@ from collections.abc import Sequence
 from pyspark.ml.linalg import VectorUDT
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
-from pyspark.sql import types as T
 
 from remitlens.operators.joins import join_skewed
 from remitlens.operators.ordering import with_row_index
@@ -78,18 +77,27 @@ def pivot_values(
     The features are those of the data unless listed. A table has so many columns only;
     Spark raises an error beyond ``spark.sql.pivotMaxValues``. The long form has no limit.
     """
-    wide = long.groupBy(key).pivot(feature, None if features is None else list(features))
-    wide = wide.agg(F.max(value))
+    # marked, so that the column of the null feature is told from one called null
+    marked = long.withColumn(feature, F.concat(F.lit("="), F.col(feature).cast("string")))
+    listed = None if features is None else [f"={f}" for f in features]
+    wide = marked.groupBy(key).pivot(feature, listed).agg(F.max(value))
     wide = wide if features is not None else wide.drop("null")
-    return wide.na.fill(0, subset=[c for c in wide.columns if c != key])
+    found = {c: c[1:] for c in wide.columns if c != key}
+    return wide.na.fill(0, subset=list(found)).withColumnsRenamed(found)
 
 
 def one_hot(
     df: DataFrame, column: str, prefix: str, values: Sequence[str] | None = None
 ) -> DataFrame:
-    """A 0/1 column per level of ``column``; the levels are those of the data unless listed."""
+    """A 0/1 column per level of ``column``; the levels are those of the data unless listed.
+
+    As with a pivot, more than ``spark.sql.pivotMaxValues`` levels are an error.
+    """
     if values is None:
-        values = sorted(r.level for r in levels(df, [column]).toLocalIterator())
+        limit = int(df.sparkSession.conf.get("spark.sql.pivotMaxValues"))
+        values = sorted(r.level for r in levels(df, [column]).limit(limit + 1).collect())
+        if len(values) > limit:
+            raise ValueError(f"{column} has more than {limit} levels (spark.sql.pivotMaxValues)")
     return df.withColumns(
         {f"{prefix}{v}": F.coalesce((F.col(column) == v).cast("int"), F.lit(0)) for v in values}
     )
@@ -109,34 +117,22 @@ def index_features(long: DataFrame, dictionary: DataFrame) -> DataFrame:
     return join_skewed(long, dictionary, "feature", "id", "inner")
 
 
-def sparse_vector(size: Column, indices: Column, values: Column) -> Column:
-    """Spark ML sparse vector from index and value arrays, built by SQL expressions.
-
-    Reading a vector from its field layout keeps the rows in the JVM.
-    """
-    layout = F.struct(
-        F.lit(0).cast("byte").alias("type"),
-        size.cast("int").alias("size"),
-        indices.alias("indices"),
-        values.alias("values"),
-    )
-    schema = T.StructType([T.StructField("v", VectorUDT())])
-    return F.from_json(F.to_json(F.struct(layout.alias("v"))), schema)["v"]
-
-
 def assemble(
     spine: DataFrame, indexed: DataFrame, size: int, name: str = "features"
 ) -> DataFrame:
-    """One sparse vector per id of ``spine``, empty where an id has no features.
+    """A written table of one sparse vector per id of ``spine``, empty where an id has no features.
 
-    A group holds at most one entry per dictionary row.
+    The vectors are written in their field layout and read back as vectors, so they never leave
+    the JVM and keep every value as it is. A group holds at most one entry per dictionary row.
     """
     entry = F.struct("idx", F.col("value").cast("double").alias("value"))
     entries = indexed.groupBy("id").agg(F.array_sort(F.collect_list(entry)).alias("_e"))
     filled = F.coalesce("_e", F.array().cast("array<struct<idx:int,value:double>>"))
-    return (
-        spine.join(entries, "id", "left")
-        .withColumn("_e", filled)
-        .withColumn(name, sparse_vector(F.lit(size), F.col("_e.idx"), F.col("_e.value")))
-        .drop("_e")
+    layout = F.struct(
+        F.lit(0).cast("byte").alias("type"),
+        F.lit(size).cast("int").alias("size"),
+        F.col("_e.idx").alias("indices"),
+        F.col("_e.value").alias("values"),
     )
+    joined = spine.join(entries, "id", "left").withColumn("_e", filled)
+    return materialize(joined.withColumn(name, layout).drop("_e"), "vectors", {name: VectorUDT()})

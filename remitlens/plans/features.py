@@ -108,5 +108,5 @@ def one_sided(aligned: DataFrame) -> DataFrame:
 
 
 def vectors(long: DataFrame, spine: DataFrame, dictionary: DataFrame, size: int) -> DataFrame:
-    """``spine`` columns beside one sparse vector per id."""
+    """A written table of the ``spine`` columns beside one sparse vector per id."""
     return assemble(spine, index_features(long, dictionary), size)

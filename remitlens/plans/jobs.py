@@ -73,8 +73,7 @@ def recipient_table(
         known = long.join(sides.filter(F.col("split_set") == "train"), "id", "left_semi")
     dictionary = feature_dictionary(known)
     spine = labels(pay).join(sides, "id")
-    rows = vectors(long, spine, dictionary, dictionary.count())
-    return ModelTable(materialize(rows, "vectors"), dictionary)
+    return ModelTable(vectors(long, spine, dictionary, dictionary.count()), dictionary)
 
 
 def indicator_p_values(phys: DataFrame, pay: DataFrame) -> DataFrame:
@@ -85,7 +84,7 @@ def indicator_p_values(phys: DataFrame, pay: DataFrame) -> DataFrame:
     long = materialize(attribute_blocks(phys).join(known, "id", "left_semi"), "indicators")
     dictionary = feature_dictionary(long)
     rows = vectors(long, known, dictionary, dictionary.count())
-    return chi_square_p_values(materialize(rows, "vectors"), dictionary)
+    return chi_square_p_values(rows, dictionary)
 
 
 # --- transaction grain -----------------------------------------------------------------
@@ -145,7 +144,7 @@ def transaction_table(phys: DataFrame, pay: DataFrame, comp: DataFrame) -> Model
     )
     built = vectors(long.drop("split_set"), spine, dictionary, dictionary.count())
     named = built.drop("id").withColumnRenamed("recipient", "id")
-    return ModelTable(materialize(named, "vectors"), dictionary)
+    return ModelTable(named, dictionary)
 
 
 # --- cross-validation ------------------------------------------------------------------
@@ -323,7 +322,7 @@ def fit_bayes(rows: DataFrame, prior_smooth: float = 1.0) -> bayes.NaiveBayes:
 
 def score_bayes(rows: DataFrame, model: bayes.NaiveBayes) -> DataFrame:
     """Complete test payments with their log posteriors and predictions."""
-    return bayes.predict(rows.filter(_usable("test")), model, RECORD)
+    return bayes.predict(rows.filter(_usable("test")), model)
 
 
 def bayes_job(phys: DataFrame, pay: DataFrame, comp: DataFrame) -> DataFrame:
@@ -350,7 +349,7 @@ def bayes_numeric_holdout(
     model = bayes.fit_counts(materialize(counts, "level_counts"), CATEGORICAL, fitting)
     normal = bayes.gaussian(rows.filter(fitting), "label", NUMERIC)
     held = rows.filter(_usable("train") & (F.col("role") == "test"))
-    scored = bayes.add_gaussian(bayes.predict(held, model, RECORD), normal)
+    scored = bayes.add_gaussian(bayes.predict(held, model), normal)
     return evaluate(roll_up(scored.withColumn("truth", F.col("label")), ID))
 
 
@@ -365,7 +364,7 @@ def bayes_cv_accuracy(
     )
     hit = (F.col("prediction") == F.col("label")).cast("double")
     return (
-        bayes.predict(folded.filter(F.col("fold").isNotNull()), model, RECORD)
+        bayes.predict(folded.filter(F.col("fold").isNotNull()), model)
         .groupBy("fold")
         .agg(F.avg(hit).alias("accuracy"), F.count("*").alias("n"))
     )

@@ -4,8 +4,10 @@ from __future__ import annotations
 
 import tempfile
 import uuid
+from collections.abc import Mapping
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql.types import DataType, StructField, StructType
 
 DEFAULT_CONF = {
     "spark.sql.adaptive.enabled": "true",
@@ -45,15 +47,19 @@ def scratch_path(spark: SparkSession, name: str) -> str:
     return f"{shared_dir(spark)}/{uuid.uuid4().hex}/{name}"
 
 
-def materialize(df: DataFrame, name: str = "table") -> DataFrame:
+def materialize(
+    df: DataFrame, name: str = "table", types: Mapping[str, DataType] | None = None
+) -> DataFrame:
     """Write ``df`` as a table in the shared folder and read it back.
 
     Cuts the lineage so that lost executors re-read files, pins values that must
-    not change between evaluations, and gives later joins a known size.
+    not change between evaluations, and gives later joins a known size. ``types`` names columns
+    read back as another type of the same fields.
     """
     path = scratch_path(df.sparkSession, name)
     df.write.parquet(path)
-    return df.sparkSession.read.schema(df.schema).parquet(path)
+    fields = [StructField(f.name, (types or {}).get(f.name, f.dataType)) for f in df.schema]
+    return df.sparkSession.read.schema(StructType(fields)).parquet(path)
 
 
 def plan_bytes(df: DataFrame) -> int:

@@ -17,7 +17,14 @@ from remitlens.models.evaluate import best_run, evaluate
 from remitlens.operators.columns import ending_with, relocate, starting_with
 from remitlens.operators.missing import completeness, fill_sentinel
 from remitlens.operators.ordering import hash_folds, with_fold, with_row_index
-from remitlens.operators.reshape import one_hot, slot_counts, unpivot_groups, unpivot_slots
+from remitlens.operators.reshape import (
+    assemble,
+    one_hot,
+    pivot_values,
+    slot_counts,
+    unpivot_groups,
+    unpivot_slots,
+)
 from remitlens.plans.features import align, one_sided
 from tests.conftest import rows
 
@@ -189,3 +196,28 @@ def test_depth_beyond_the_limit_is_an_error(spark):
 
     with pytest.raises(ValueError, match="depth"):
         fit_boosted(spark.range(1), BoostSettings(rounds=1, eta=0.1, depth=70))
+
+
+def test_a_feature_called_null_is_not_the_missing_one(spark):
+    data = spark.createDataFrame([(1, "null", 5), (2, None, 7)], "i int, f string, v int")
+    assert rows(pivot_values(data, "i", "f", "v"), "i") == [(1, 5), (2, 0)]
+
+
+def test_more_levels_than_a_table_can_hold_are_an_error(spark):
+    key = "spark.sql.pivotMaxValues"
+    before = spark.conf.get(key)
+    spark.conf.set(key, "3")
+    try:
+        with pytest.raises(ValueError, match="more than 3 levels"):
+            one_hot(spark.range(4), "id", "is_")
+        assert len(one_hot(spark.range(3), "id", "is_").columns) == 4
+    finally:
+        spark.conf.set(key, before)
+
+
+def test_vectors_keep_values_as_they_are(spark):
+    entries = [(1, 0, 0.1 + 0.2), (1, 2, float("inf")), (3, 1, -1e-300)]
+    indexed = spark.createDataFrame(entries, "id long, idx int, value double")
+    built = assemble(spark.range(1, 4), indexed, 4)
+    found = {r.id: (r.features.size, dict(zip(r.features.indices.tolist(), r.features.values.tolist()))) for r in built.collect()}
+    assert found == {1: (4, {0: 0.1 + 0.2, 2: float("inf")}), 2: (4, {}), 3: (4, {1: -1e-300})}

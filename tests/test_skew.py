@@ -101,19 +101,36 @@ def test_repeated_row_keys_are_scored_row_by_row(spark, no_broadcast):
     model = bayes.fit(train, "y", ["f"])
     one = spark.createDataFrame([(0, "a"), (1, "b")], "row int, f string")
     same = spark.createDataFrame([(7, "a"), (7, "b"), (7, "b")], "row int, f string")
-    known = dict(rows(bayes.predict(one, model, "row").select("f", "log_1"), "f"))
-    got = rows(bayes.predict(same, model, "row").select("f", "log_1"), "f")
+    known = dict(rows(bayes.predict(one, model).select("f", "log_1"), "f"))
+    got = rows(bayes.predict(same, model).select("f", "log_1"), "f")
     assert len(got) == 3
     assert all(log == pytest.approx(known[f]) for f, log in got)
 
 
-def test_missing_and_unknown_values_are_skipped(spark):
+def test_one_fold_table_scores_every_fold_with_its_own_model(spark, monkeypatch):
+    lines = [(i, "ab"[i % 3 == 0], "xyz"[i % 5 % 3], int(i % 3 == 0) ^ int(i % 7 == 0), i % 4 + 1) for i in range(80)]
+    data = spark.createDataFrame(lines, "row int, f string, g string, y int, fold int")
+    counts = bayes.count_levels(data, "y", ["f", "g"], "fold")
+    folds = bayes.fit_folds(counts, ["f", "g"], "fold", 4)
+    names = ["row", "log_0", "log_1", "prediction"]
+    got = rows(bayes.predict(data, folds).select(*names), "row")
+    for fold in range(1, 5):
+        alone = bayes.fit(data.filter(F.col("fold") != fold), "y", ["f", "g"])
+        for r in bayes.predict(data.filter(F.col("fold") == fold), alone).select(*names).collect():
+            assert got[r.row][1:3] == pytest.approx((r.log_0, r.log_1)) and got[r.row][3] == r.prediction
+    monkeypatch.setattr(bayes, "MAP_LEVELS", 1)  # now by the join
+    assert rows(bayes.predict(data, folds).select(*names), "row") == got
+
+
+@pytest.mark.parametrize("limit", [200, 0])
+def test_missing_and_unknown_values_are_skipped(spark, monkeypatch, limit):
+    monkeypatch.setattr(bayes, "MAP_LEVELS", limit)
     train = spark.createDataFrame(
         [(0, "a", 0), (1, "a", 0), (2, "b", 1), (3, "b", 1)], "row int, f string, y int"
     )
     model = bayes.fit(train, "y", ["f"])
     test = spark.createDataFrame([(0, None), (1, "zzz"), (2, "b")], "row int, f string")
-    got = rows(bayes.predict(test, model, "row").select("row", "log_0", "log_1", "prediction"), "row")
+    got = rows(bayes.predict(test, model).select("row", "log_0", "log_1", "prediction"), "row")
     assert got[0][1:] == got[1][1:]  # only the prior is left
     assert got[2][3] == 1
 
