@@ -168,7 +168,7 @@ def bind_scores_by_position(t):
     + " + ".join(f"CASE WHEN {c} IS NOT NULL THEN 1 ELSE 0 END" for c in LICENSES)
     + """ AS INTEGER) AS n FROM phys) l ON i.id = l.id"""
 )
-def join_feature_blocks(t):
+def join_chosen_features(t):
     names = {"NATURE_ Food and Beverage": "food_pct", "FORM_ Cash or cash equivalent": "cash_pct"}
     shares = payment_blocks(t.pay).filter(F.col("feature").isin(list(names)))
     shares = shares.withColumn("value", F.round("value", 6))
@@ -250,19 +250,16 @@ def levels_union(t):
     )
 
 
-SIDES = """feats AS (SELECT split_set, concat('COMP_ ', CAST(Company_ID AS VARCHAR)) AS feature
-    FROM pay JOIN phys ON pay.Physician_ID = phys.id
-    UNION SELECT split_set, concat('CITY_ ', City) FROM phys)"""
-
-
 @query(
     """SELECT 'train' AS only_in, feature FROM (SELECT feature FROM feats WHERE split_set =
     'train' EXCEPT SELECT feature FROM feats WHERE split_set = 'test') UNION ALL
     SELECT 'test', feature FROM (SELECT feature FROM feats WHERE split_set = 'test'
     EXCEPT SELECT feature FROM feats WHERE split_set = 'train')""",
-    SIDES,
+    """feats AS (SELECT split_set, concat('COMP_ ', CAST(Company_ID AS VARCHAR)) AS feature
+    FROM pay JOIN phys ON pay.Physician_ID = phys.id
+    UNION SELECT split_set, concat('CITY_ ', City) FROM phys)""",
 )
-def levels_difference(t):
+def levels_difference_city_company(t):
     """City and company features that only one side of the predefined split has."""
     people = t.phys.select(F.col("id").alias(ID), "split_set", prefixed("CITY_", F.col("City")))
     people = people.toDF(ID, "split_set", "feature")

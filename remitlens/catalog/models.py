@@ -18,7 +18,7 @@ from remitlens.models import association_tree, bayes, boosting, trees
 from remitlens.models.association import chi_square
 from remitlens.models.evaluate import best_run, evaluate, roll_up, sweep
 from remitlens.operators.joins import join_skewed
-from remitlens.operators.splits import hash_fold, role
+from remitlens.operators.splits import hash_fold, repeated_roles, role
 from remitlens.plans import attribute_counts, binned_shares, jobs
 from remitlens.plans.clean import BAYES_FEATURES, bayes_rows
 from remitlens.plans.rules import row_predictions, stock_scores
@@ -502,6 +502,55 @@ def attribute_count_holdout(t):
     return scored.select("id", "truth", "score", "prediction")
 
 
+HOLDOUTS = 5
+#: Share held out and key of either kind of holdout.
+ROW_SHARE, GROUP_SHARE = 0.25, 0.2
+
+
+def _roles_sql(kind: str, key: str, share: float) -> str:
+    below = sql_below("X", key, share).replace("X:", "' || CAST(run AS VARCHAR) || ':")
+    return f"""SELECT '{kind}' AS kind, run, CASE WHEN {below} THEN 'test' ELSE 'train' END AS role,
+    CAST(count(*) AS BIGINT) AS n, CAST(count(CASE WHEN y = 1 THEN 1 END) AS BIGINT) AS n_yes
+    FROM rows_known, (SELECT CAST(unnest(range(1, {HOLDOUTS + 1})) AS INTEGER) AS run) r
+    GROUP BY 1, 2, 3"""
+
+
+@query(
+    f"{_roles_sql('rows', 'Record_ID', ROW_SHARE)} UNION ALL "
+    f"{_roles_sql('groups', 'id', GROUP_SHARE)}",
+    f"""rows_known AS (SELECT Record_ID, id, CASE {LABEL} WHEN 'Yes' THEN 1 ELSE 0 END AS y
+    FROM pay JOIN phys ON Physician_ID = phys.id
+    WHERE split_set = 'train' AND {LABEL} IN ('Yes', 'No'))""",
+)
+def holdout_model_roles(t):
+    """Payments on either side of every holdout that fits a model, and those of label 1."""
+    train = t.phys.filter(F.col("split_set") == "train").select(F.col("id").alias(ID))
+    known = join_skewed(t.pay, train, ID, RECORD, "left_semi")
+    known = known.select(RECORD, F.col(ID).alias("id"), yes_no(F.col(LABEL)).alias("label"))
+    known = known.filter(F.col("label").isNotNull())
+
+    def counted(kind, key, share):
+        roles = repeated_roles(known, key, HOLDOUTS, share, keep=["label"])
+        sides = roles.groupBy(F.lit(kind).alias("kind"), "run", "role")
+        return sides.agg(F.count("*").alias("n"), F.count(F.when(F.col("label") == 1, 1)).alias("n_yes"))
+
+    return counted("rows", RECORD, ROW_SHARE).unionByName(counted("groups", "id", GROUP_SHARE))
+
+
+@query()
+def holdout_row_models(t):
+    """Five random holdouts of a quarter of the payments, 90 rounds of boosting fitted for each."""
+    train = jobs.transaction_table(t.phys, t.pay, t.comp).train
+    return jobs.repeated_holdouts(train, trees.MANY_ROUNDS, RECORD, HOLDOUTS, ROW_SHARE, rolled=False)
+
+
+@query()
+def holdout_group_models(t):
+    """Five random holdouts of a fifth of the recipients, 30 rounds of boosting fitted for each."""
+    train = jobs.transaction_table(t.phys, t.pay, t.comp).train
+    return jobs.repeated_holdouts(train, trees.GROUP_HOLDOUT, "id", HOLDOUTS, GROUP_SHARE, rolled=True)
+
+
 # --- evaluation ------------------------------------------------------------------------
 
 CONFUSION = """conf AS (SELECT count(CASE WHEN truth = 1 AND p = 1 THEN 1 END) AS tp,

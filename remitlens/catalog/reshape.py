@@ -15,8 +15,9 @@ from remitlens.operators.reshape import (
     unpivot_groups,
     unpivot_slots,
 )
+from remitlens.plans import blocks
 from remitlens.plans.clean import split_specialties, transactions_of_all
-from remitlens.plans.features import align, long_features
+from remitlens.plans.features import align, labels, long_features, one_side
 from remitlens.plans.jobs import transaction_entries
 from remitlens.schemas import (
     AMOUNT,
@@ -282,6 +283,59 @@ def assemble_matrix(t):
     return rows.select(RECORD, F.inline(transaction_entries()))
 
 
+# Block of a feature, told by its prefix.
+BLOCK = "CASE split_part(feature, '_', 1) " + " ".join(
+    f"WHEN '{prefix}' THEN '{block}'"
+    for prefix, block in zip(("NATURE", "FORM", "TYPE", "COMP", "LICENSE", "SPEC"), blocks.BLOCKS)
+) + " END"
+
+
+def _entries_sql(block: str) -> str:
+    entry = "concat(feature, '=', printf('%.6f', CAST(value AS DOUBLE)))"
+    listed = f"string_agg(CASE WHEN block = '{block}' THEN {entry} END, ';' ORDER BY feature)"
+    return f"coalesce({listed}, '') AS {block}"
+
+
+@query(
+    "SELECT s.id, any_value(s.label) AS label, "
+    + ", ".join(map(_entries_sql, blocks.BLOCKS))
+    + f""" FROM (SELECT Physician_ID AS id, max(CASE WHEN Ownership_Indicator = 'Yes' THEN 1
+    ELSE 0 END) AS label FROM pay GROUP BY 1) s
+    LEFT JOIN (SELECT *, {BLOCK} AS block FROM feats) f ON s.id = f.id GROUP BY 1""",
+    FEATURES,
+)
+def join_feature_blocks(t):
+    """One row per paid recipient: its label and the features of all six blocks, joined by id."""
+    all_blocks = blocks.recipient_blocks(t.phys, t.pay)
+    joined = blocks.join_blocks(labels(t.pay).na.fill(0, ["label"]), all_blocks)
+
+    def listed(block):
+        entry = lambda e: F.format_string("%s=%.6f", e["feature"], F.round(e["value"], 6))
+        return F.array_join(F.transform(block, entry), ";").alias(block)
+
+    return joined.select("id", "label", *[listed(b) for b in all_blocks])
+
+
+@query(
+    f"""SELECT block, CASE WHEN n_test = 0 THEN 'train' ELSE 'test' END AS only_in, feature FROM
+    (SELECT block, feature, count(CASE WHEN split_set = 'train' THEN 1 END) AS n_train,
+    count(CASE WHEN split_set = 'test' THEN 1 END) AS n_test FROM
+    (SELECT id, feature, {BLOCK} AS block FROM feats
+    UNION ALL SELECT id, concat('CITY_ ', City), 'city' FROM phys WHERE City IS NOT NULL) f
+    JOIN phys ON f.id = phys.id GROUP BY 1, 2) WHERE n_train = 0 OR n_test = 0""",
+    FEATURES,
+)
+def levels_difference(t):
+    """Features of all six blocks, and cities, that one side of the predefined split lacks."""
+    paid = t.pay.select(F.col(ID).alias("id")).distinct()
+    known = blocks.recipient_blocks(t.phys.join(paid, "id", "left_semi"), t.pay)
+    city = t.phys.filter(F.col("City").isNotNull())
+    named = prefixed("CITY_", F.col("City")).alias("feature")
+    known["city"] = city.select("id", named, F.lit(1.0).alias("value"))
+    found = blocks.block_dictionary(known, t.phys, F.col("split_set") == "test")
+    return found.select("block", one_side(), "feature").filter(F.col("only_in").isNotNull())
+
+
 @query(
     """SELECT feature, count(CASE WHEN split_set = 'train' THEN 1 END) AS n_train,
     count(CASE WHEN split_set = 'test' THEN 1 END) AS n_test,

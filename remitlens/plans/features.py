@@ -29,8 +29,8 @@ def labels(pay: DataFrame) -> DataFrame:
     )
 
 
-def payment_blocks(pay: DataFrame) -> DataFrame:
-    """Shares by nature, form and product type and amounts by company, in one pass.
+def payment_features(pay: DataFrame) -> DataFrame:
+    """block, id, feature, value: shares by nature, form, type, amounts by company, in one pass.
 
     Each payment lists its four categories; one aggregation sums them per recipient.
     Partial sums are formed before the shuffle, and the shuffle key includes the
@@ -43,10 +43,10 @@ def payment_blocks(pay: DataFrame) -> DataFrame:
         return F.struct(F.lit(block).alias("block"), feature.alias("feature"))
 
     entries = F.array(
-        entry("share", "NATURE_", NATURE),
-        entry("share_form", "FORM_", FORM),
-        entry("share_type", "TYPE_", "Product_Type_1"),
-        entry("amount", "COMP_", COMPANY),
+        entry("nature", "NATURE_", NATURE),
+        entry("form", "FORM_", FORM),
+        entry("type", "TYPE_", "Product_Type_1"),
+        entry("company", "COMP_", COMPANY),
     )
     sums = (
         pay.select(F.col(ID).alias("id"), AMOUNT, F.inline(entries))
@@ -54,24 +54,38 @@ def payment_blocks(pay: DataFrame) -> DataFrame:
         .agg(F.sum(AMOUNT).alias("part"))
     )
     whole = F.sum("part").over(Window.partitionBy("id", "block"))
-    value = F.when(F.col("block") == "amount", F.col("part").cast("double")).otherwise(
+    value = F.when(F.col("block") == "company", F.col("part").cast("double")).otherwise(
         F.coalesce(percent(F.col("part"), whole), F.lit(0.0))
     )
-    return sums.select("id", "feature", value.alias("value")).filter(
+    return sums.select("block", "id", "feature", value.alias("value")).filter(
         F.col("feature").isNotNull()
     )
 
 
-def attribute_blocks(phys: DataFrame) -> DataFrame:
-    """License and specialty indicators of recipients."""
+def payment_blocks(pay: DataFrame) -> DataFrame:
+    """All features of :func:`payment_features`, blocks told apart by their prefixes."""
+    return payment_features(pay).drop("block")
+
 
-    def tagged(prefix: str, values: list[str]) -> Column:
-        return F.transform(compact_array(values), lambda v: prefixed(prefix, v))
+def attribute_features(phys: DataFrame) -> DataFrame:
+    """block, id, feature, value: license and specialty indicators of recipients."""
+
+    def tagged(block: str, prefix: str, values: list[str]) -> Column:
+        def entry(level: Column) -> Column:
+            return F.struct(F.lit(block).alias("block"), prefixed(prefix, level).alias("feature"))
+
+        return F.transform(compact_array(values), entry)
 
     owned = F.array_distinct(
-        F.concat(tagged("LICENSE_", LICENSES), tagged("SPEC_", SPECIALTIES))
+        F.concat(tagged("license", "LICENSE_", LICENSES), tagged("specialty", "SPEC_", SPECIALTIES))
     )
-    return split_specialties(phys).select("id", F.explode(owned).alias("feature"), F.lit(1.0).alias("value"))
+    people = split_specialties(phys).select("id", F.inline(owned))
+    return people.select("block", "id", "feature", F.lit(1.0).alias("value"))
+
+
+def attribute_blocks(phys: DataFrame) -> DataFrame:
+    """All features of :func:`attribute_features`."""
+    return attribute_features(phys).drop("block")
 
 
 def summary_block(pay: DataFrame) -> DataFrame:
@@ -101,10 +115,15 @@ def align(long: DataFrame, in_test: Column) -> DataFrame:
     )
 
 
+def one_side() -> Column:
+    """The only side that has a feature, from ``n_train`` and ``n_test``; null if both have it."""
+    only = F.when(F.col("n_test") == 0, "train").when(F.col("n_train") == 0, "test")
+    return only.alias("only_in")
+
+
 def one_sided(aligned: DataFrame) -> DataFrame:
     """Features found on one side only."""
-    only = F.when(F.col("n_test") == 0, "train").when(F.col("n_train") == 0, "test")
-    return aligned.select(only.alias("only_in"), "feature").filter(F.col("only_in").isNotNull())
+    return aligned.select(one_side(), "feature").filter(F.col("only_in").isNotNull())
 
 
 def vectors(long: DataFrame, spine: DataFrame, dictionary: DataFrame, size: int) -> DataFrame:

@@ -222,6 +222,31 @@ def cross_validate(
     return materialize(reduce(DataFrame.unionByName, side_by_side(train.sparkSession, fitted, fits)), "metrics")
 
 
+def repeated_holdouts(
+    train: DataFrame, settings: BoostSettings, key: str, runs: int, share: float, rolled: bool
+) -> DataFrame:
+    """Metrics of ``runs`` random holdouts, each with a model fitted on the rows it leaves.
+
+    In every run about ``share`` of the keys is held out, with all their rows. The roles follow from
+    the digest of run and key, so that no run needs a copy of the table; see ``repeated_roles``.
+    ``rolled`` counts recipients, predicted 1 when any of their held-out rows is, instead of rows.
+    """
+    known = train.filter(F.col("label").isNotNull())
+
+    def one(run: int) -> DataFrame:
+        held_out = role(run, key, share) == "test"
+        model = trees.fit_boosted(known.filter(~held_out), settings)
+        scored = trees.score(model, known.filter(held_out), settings.threshold)
+        scored = scored.withColumn("truth", F.col("label"))
+        metrics = evaluate(roll_up(scored, "id") if rolled else scored)
+        row = metrics.select(F.lit(run).alias("run"), "tp", "fp", "fn", "tn", "bac")
+        # written run by run, so that no plan holds the models of all
+        return materialize(row, "run")
+
+    calls = [(run,) for run in range(1, runs + 1)]
+    return reduce(DataFrame.unionByName, side_by_side(train.sparkSession, one, calls))
+
+
 def side_by_side(
     spark: SparkSession, work: Callable[..., DataFrame], calls: Sequence[tuple]
 ) -> list[DataFrame]:
