@@ -10,17 +10,20 @@ from pyspark.sql import functions as F
 
 from remitlens.models.bayes import ALL, CLASSES, count_levels
 from remitlens.operators.joins import join_skewed
+from remitlens.session import materialize
 
 
 def chi_square(rows: DataFrame, label: str, features: Sequence[str]) -> DataFrame:
     """Pearson statistic and degrees of freedom per feature.
 
-    The rows are reduced to level counts first; margins are aggregates joined back.
+    The rows are reduced to level counts first, which are written, so that the margins (one row
+    per feature) are known to be small. They are aggregates joined back.
     """
     counts = count_levels(rows, label, features).filter(F.col("feature") != ALL)
     per_level = counts.groupBy("feature", "value").agg(
         *[F.sum(F.when(F.col("class") == c, F.col("n")).otherwise(0)).alias(f"n{c}") for c in CLASSES]
     )
+    per_level = materialize(per_level, "level_counts")
     whole = per_level.groupBy("feature").agg(F.sum("n0").alias("all0"), F.sum("n1").alias("all1"))
     margins = join_skewed(per_level, whole, "feature", "value", "inner").drop("value")
     level = (F.col("n0") + F.col("n1")).cast("double")
