@@ -239,12 +239,14 @@ def long_feature_table(t):
 
 @query(
     """SELECT id, feature, CAST(value AS DOUBLE) AS value FROM feats UNION ALL
-    SELECT Physician_ID, 'TOTAL_AMOUNT', round(CAST(sum(a) AS DOUBLE), 6) FROM p GROUP BY 1
+    SELECT id, feature, coalesce(value, 0) FROM (
+    SELECT Physician_ID AS id, 'TOTAL_AMOUNT' AS feature, round(CAST(sum(a) AS DOUBLE), 6) AS value
+    FROM p GROUP BY 1
     UNION ALL SELECT Physician_ID, 'TOTAL_PAYMENTS', CAST(sum(n) AS DOUBLE) FROM p GROUP BY 1
     UNION ALL SELECT Physician_ID, 'MEAN_AMOUNT', round(CAST(sum(a) AS DOUBLE)
     / nullif(CAST(sum(n) AS DOUBLE), 0), 6) FROM p GROUP BY 1
     UNION ALL SELECT Physician_ID, 'MEDIAN_AMOUNT', round(median(CAST(a AS DOUBLE)), 6)
-    FROM p GROUP BY 1""",
+    FROM p GROUP BY 1)""",
     FEATURES + f", p AS (SELECT Physician_ID, {AMOUNT} AS a, Number_of_Payments AS n FROM pay)",
 )
 def long_feature_table_with_summary(t):

@@ -123,10 +123,12 @@ def assemble(
     """A written table of one sparse vector per id of ``spine``, empty where an id has no features.
 
     The vectors are written in their field layout and read back as vectors, so they never leave
-    the JVM and keep every value as it is. A group holds at most one entry per dictionary row.
+    the JVM and keep every value as it is. Null values are left out, which makes them 0. A group
+    holds at most one entry per dictionary row.
     """
     entry = F.struct("idx", F.col("value").cast("double").alias("value"))
-    entries = indexed.groupBy("id").agg(F.array_sort(F.collect_list(entry)).alias("_e"))
+    known = indexed.filter(F.col("value").isNotNull())
+    entries = known.groupBy("id").agg(F.array_sort(F.collect_list(entry)).alias("_e"))
     filled = F.coalesce("_e", F.array().cast("array<struct<idx:int,value:double>>"))
     layout = F.struct(
         F.lit(0).cast("byte").alias("type"),

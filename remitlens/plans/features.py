@@ -89,16 +89,17 @@ def attribute_blocks(phys: DataFrame) -> DataFrame:
 
 
 def summary_block(pay: DataFrame) -> DataFrame:
-    """Total, payment count, mean and median amount of recipients."""
+    """Total, payment count, mean and median amount of recipients; 0 where nothing is known."""
     totals = totals_by(pay, ID, AMOUNT, N_PAYMENTS)
     wide = totals.join(exact_median(pay, ID, AMOUNT), ID, "left").select(
         F.col(ID).alias("id"),
         F.col("total_amount").cast("double").alias("TOTAL_AMOUNT"),
         F.col("total_payments").cast("double").alias("TOTAL_PAYMENTS"),
-        F.coalesce("mean_amount", F.lit(0.0)).alias("MEAN_AMOUNT"),
+        F.col("mean_amount").alias("MEAN_AMOUNT"),
         F.col("median_amount").alias("MEDIAN_AMOUNT"),
     )
-    return wide.unpivot(["id"], [c for c in wide.columns if c != "id"], "feature", "value")
+    long = wide.unpivot(["id"], [c for c in wide.columns if c != "id"], "feature", "value")
+    return long.na.fill(0.0, ["value"])
 
 
 def long_features(phys: DataFrame, pay: DataFrame, summary: bool = False) -> DataFrame:

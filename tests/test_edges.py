@@ -25,7 +25,7 @@ from remitlens.operators.reshape import (
     unpivot_groups,
     unpivot_slots,
 )
-from remitlens.plans.features import align, one_sided
+from remitlens.plans.features import align, one_sided, summary_block
 from tests.conftest import rows
 
 
@@ -216,8 +216,17 @@ def test_more_levels_than_a_table_can_hold_are_an_error(spark):
 
 
 def test_vectors_keep_values_as_they_are(spark):
-    entries = [(1, 0, 0.1 + 0.2), (1, 2, float("inf")), (3, 1, -1e-300)]
+    entries = [(1, 0, 0.1 + 0.2), (1, 1, None), (1, 2, float("inf")), (3, 1, -1e-300)]
     indexed = spark.createDataFrame(entries, "id long, idx int, value double")
     built = assemble(spark.range(1, 4), indexed, 4)
     found = {r.id: (r.features.size, dict(zip(r.features.indices.tolist(), r.features.values.tolist()))) for r in built.collect()}
     assert found == {1: (4, {0: 0.1 + 0.2, 2: float("inf")}), 2: (4, {}), 3: (4, {1: -1e-300})}
+
+
+def test_summary_of_unknown_amounts_is_zero(spark, tables):
+    unknown = tables.pay.limit(3).withColumns(
+        {"Total_Amount_of_Payment_USDollars": F.lit(None).cast("decimal(18,2)"), "Physician_ID": F.lit(7)}
+    )
+    found = {r.feature: r.value for r in summary_block(unknown).collect()}
+    payments = unknown.agg(F.sum("Number_of_Payments")).first()[0]
+    assert found == {"TOTAL_AMOUNT": 0, "TOTAL_PAYMENTS": payments, "MEAN_AMOUNT": 0, "MEDIAN_AMOUNT": 0}
