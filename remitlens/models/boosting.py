@@ -26,8 +26,11 @@ WRITE_EVERY = 10
 #: Least hessian of a row, and the least sum of hessians of a leaf, as known boosters have it.
 LEAST_HESSIAN = 1e-6
 LEAST_LEAF = 1.0
-#: Rows of one partition; a level of a tree is one pass over them.
+#: Least rows of one partition; a level of a tree is one pass over them.
 ROWS_PER_PARTITION = 2_000
+#: Every partition keeps the statistics of all open nodes, so there are no more partitions than the
+#: cluster works on at once, unless they would hold more rows than this.
+MOST_ROWS = 250_000
 
 
 @dataclass(frozen=True)
@@ -68,6 +71,12 @@ def _loss(label: Column, margin: Column) -> Column:
     return F.greatest(signed, F.lit(0.0)) + F.log1p(F.exp(-F.abs(signed)))
 
 
+def partitions_of(n_rows: int, at_once: int) -> int:
+    """Partitions for so many rows on a cluster that runs ``at_once`` tasks."""
+    fine = -(-n_rows // ROWS_PER_PARTITION)
+    return max(1, min(fine, max(at_once, -(-n_rows // MOST_ROWS))))
+
+
 def boost(
     rows: DataFrame,
     rounds: int,
@@ -88,10 +97,10 @@ def boost(
     n = rows.count()
     if not n:
         raise ValueError("boosting needs labelled rows")
-    parts = -(-n // ROWS_PER_PARTITION)
+    parts = partitions_of(n, rows.sparkSession.sparkContext.defaultParallelism)
     base = rows.select("label", "weight", "features", F.monotonically_increasing_id().alias("row"))
     written = materialize(
-        base.withColumn("margin", F.lit(0.0)).repartition(max(parts, 1), F.xxhash64("row")), "margins"
+        base.withColumn("margin", F.lit(0.0)).repartition(parts, F.xxhash64("row")), "margins"
     )
     label, margin = F.col("label"), F.col("margin")
     p = _chance(margin)
