@@ -94,15 +94,15 @@ def best_fit_decreasing(lengths: np.ndarray, capacity: int) -> list[list[int]]:
 
 
 def _exchange(
-    source: list[int], target: list[int], room: int, size: np.ndarray
+    source: list[int], target: list[int], room: int, size: list[int]
 ) -> tuple[list[int], list[int]] | None:
     """Items to give to ``target`` and to take back, raising its fill by 1..room at most.
 
     The largest rise wins: a move, one for one, two for one, or one for two.
     """
     best, found = 0, None
-    own = {int(size[i]): i for i in source}
-    other = {int(size[i]): i for i in target}
+    own = {size[i]: i for i in source}
+    other = {size[i]: i for i in target}
     for a, item in own.items():
         if best < a <= room:
             best, found = a, ([item], [])
@@ -113,7 +113,7 @@ def _exchange(
     if best < room and len(source) > 1:
         for x in range(len(source)):
             for y in range(x):
-                both = int(size[source[x]] + size[source[y]])
+                both = size[source[x]] + size[source[y]]
                 for gain in range(min(room, both - 1), best, -1):
                     if both - gain in other:
                         best, found = gain, ([source[x], source[y]], [other[both - gain]])
@@ -121,7 +121,7 @@ def _exchange(
     if best < room and len(target) > 1:
         for x in range(len(target)):
             for y in range(x):
-                both = int(size[target[x]] + size[target[y]])
+                both = size[target[x]] + size[target[y]]
                 for gain in range(room, best, -1):
                     if both + gain in own:
                         best, found = gain, ([own[both + gain]], [target[x], target[y]])
@@ -138,7 +138,8 @@ def local_search(
     fills rises and the search ends. It stops as soon as the bins are as few as the total
     length allows.
     """
-    fill = [int(lengths[b].sum()) for b in bins]
+    size = lengths.tolist()
+    fill = [sum(size[i] for i in b) for b in bins]
     least = -(-sum(fill) // capacity)
     alive = len(bins)
     for _ in range(max_passes):
@@ -149,13 +150,13 @@ def local_search(
                 if alive <= least or not fill[source]:
                     break
                 while fill[source] and fill[source] <= fill[target] < capacity:
-                    found = _exchange(bins[source], bins[target], capacity - fill[target], lengths)
+                    found = _exchange(bins[source], bins[target], capacity - fill[target], size)
                     if not found:
                         break
                     give, take = found
                     bins[source] = [i for i in bins[source] if i not in give] + take
                     bins[target] = [i for i in bins[target] if i not in take] + give
-                    gain = int(lengths[give].sum() - lengths[take].sum())
+                    gain = sum(size[i] for i in give) - sum(size[i] for i in take)
                     fill[source] -= gain
                     fill[target] += gain
                     changed = True
