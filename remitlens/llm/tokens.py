@@ -13,13 +13,16 @@ import numpy as np
 MEMO_WORDS = 900_000
 
 
-#: A full stop or comma between an ASCII letter or digit and white space is a token of its own,
-#: so it may be cut off; far fewer distinct words are left. The pattern begins with the sign, so that
-#: a search goes from sign to sign instead of trying every byte.
-_TAIL = re.compile(rb"([.,])(?=[\x20\x09-\x0D])(?<=[A-Za-z0-9][.,])")
+#: Signs between an ASCII letter or digit and white space are a piece of their own before merging, so
+#: they may be cut off; far fewer distinct words are left. The pattern begins with the sign, so that a
+#: search goes from sign to sign instead of trying every byte.
+_TAIL = re.compile(rb"([!-/:-@\[-`{-~](?<=[A-Za-z0-9].)[!-/:-@\[-`{-~]*+)(?=[\x20\x09-\x0D])")
 _UPPER = bytes(range(65, 91))
 _LOWER = bytes(range(97, 123))
 _FOLD = bytes.maketrans(_UPPER, _LOWER)
+#: New words go through the library so many at a time, with this sign between them.
+WORDS_A_CALL = 256
+_BETWEEN = "\x01"
 
 
 class _Memo(dict):
@@ -62,19 +65,44 @@ class WordTokenizer:
             self._library = Tokenizer.from_file(self.path)
             if self._library.get_vocab_size() > 1 << 16:
                 self._ids = self._ids.astype(np.uint32)
+            self._between = self._ids_of([_BETWEEN])[0]
         words, self._memo.new = self._memo.new, []
-        found = self._library.encode_batch_fast(
-            [w.decode("utf-8", "replace") for w in words], add_special_tokens=False
-        )
-        ids = [e.ids for e in found]
+        decoded = [w.decode("utf-8", "replace") for w in words]
+        ids, counts = self._ids_by_word(decoded)
         known, used = self._known, int(self._ends[self._known])
-        ends = used + np.cumsum(np.fromiter(map(len, ids), np.int64, len(ids)))
+        ends = used + np.cumsum(counts)
         total = int(ends[-1])
         self._ids = _grown(self._ids, total)
-        self._ids[used:total] = np.fromiter(chain.from_iterable(ids), self._ids.dtype, total - used)
-        self._ends = _grown(self._ends, known + len(ids) + 1)
-        self._ends[known + 1 : known + len(ids) + 1] = ends
-        self._known += len(ids)
+        self._ids[used:total] = ids
+        self._ends = _grown(self._ends, known + len(counts) + 1)
+        self._ends[known + 1 : known + len(counts) + 1] = ends
+        self._known += len(counts)
+
+    def _ids_of(self, texts: list[str]) -> list[list[int]]:
+        return [e.ids for e in self._library.encode_batch_fast(texts, add_special_tokens=False)]
+
+    def _ids_by_word(self, words: list[str]) -> tuple[np.ndarray, np.ndarray]:
+        """Ids of all words in turn, and how many each has.
+
+        Many words are one text, with a sign between them that is one token and in no word; a
+        call and a list for each word would cost more than its ids. Words that hold the sign or may
+        hold a special string are texts of their own.
+        """
+        parts, counts = [], []
+        for lo in range(0, len(words), WORDS_A_CALL):
+            some = words[lo : lo + WORDS_A_CALL]
+            text = f" {_BETWEEN} ".join(some)
+            if len(self._between) == 1 and "<|" not in text and text.count(_BETWEEN) == len(some) - 1:
+                flat = np.array(self._ids_of([text])[0], np.int64)
+                cuts = np.flatnonzero(flat == self._between[0])
+                if len(cuts) == len(some) - 1:
+                    parts.append(np.delete(flat, cuts))
+                    counts.append(np.diff(np.concatenate([[-1], cuts, [len(flat)]])) - 1)
+                    continue
+            found = self._ids_of(some)
+            parts.append(np.fromiter(chain.from_iterable(found), np.int64))
+            counts.append(np.fromiter(map(len, found), np.int64, len(found)))
+        return np.concatenate(parts), np.concatenate(counts)
 
     def encode(self, texts: list[bytes], end_id: int | None = None) -> list[np.ndarray]:
         """One array of ids per text; ``end_id`` follows each text when given."""
