@@ -105,6 +105,55 @@ def test_a_family_below_the_similarity(spark):
     assert kept_of(spark, rows) == brute_kept(rows)
 
 
+def torn_family(n=160, words=120, seed=11):
+    """A family that crowds its buckets, mostly below the similarity, with pairs just above it."""
+    draw = random.Random(seed)
+    base = [f"t{i}" for i in range(words)]
+
+    def changed(text, at, mark):
+        return [f"{mark}_{k}" if k in at else w for k, w in enumerate(text)]
+
+    first = [changed(base, {60 * k + draw.randrange(55) for k in range(2)}, f"x{i}") for i in range(n)]
+    pairs = [changed(t, {60 * k + draw.randrange(55) for k in range(2)}, f"y{i}") for i, t in enumerate(first[: n // 2])]
+    return list(enumerate(" ".join(t) for t in first + pairs))
+
+
+def test_pairs_that_division_tears_apart_are_joined(spark, monkeypatch):
+    """Pairs of a crowded bucket do not depend on the draws of its pivot and its parts."""
+    monkeypatch.setattr(near_copies, "DIVISIONS", 0)
+    monkeypatch.setattr(near_copies, "FIRST_BANDS", 0)
+    rows = torn_family()
+    want = brute_kept(rows)
+    assert 1 < len(want) < len(rows) - 60
+    assert kept_of(spark, rows) == want
+
+
+def test_blocks_meet_whatever_the_size_of_a_bucket(spark, monkeypatch):
+    monkeypatch.setattr(near_copies, "BLOCK", 7)
+    monkeypatch.setattr(near_copies, "COLUMNS", 16)
+    rows = edited_copies()
+    texts = spark.createDataFrame([(i, t) for i, t in rows if brute_shingles(t)], "node long, text string")
+    members = texts.selectExpr("1 as key", "node", "node % 40 as root").unionByName(
+        texts.selectExpr("2 as key", "node", "0 as root")
+    )
+    found = near_copies._across(members, texts, 5, 0.8).collect()
+    sets = {i: brute_shingles(t) for i, t in rows}
+    near = lambda a, b: len(sets[a] & sets[b]) >= 0.8 * len(sets[a] | sets[b])
+    assert found and all(near(r.a, r.b) and r.a % 40 != r.b % 40 for r in found)
+
+    def groups(edges):
+        at = {k: k for k in range(40)}
+        for a, b in edges:
+            x, y = at[a % 40], at[b % 40]
+            at = {k: min(x, y) if v in (x, y) else v for k, v in at.items()}
+        return at
+
+    held = [i for i in sets if sets[i]]
+    whole = [(a, b) for a in held for b in held if a % 40 != b % 40 and near(a, b)]
+    assert groups(found_pairs := [(r.a, r.b) for r in found]) == groups(whole)
+    assert len(found_pairs) < len(whole)
+
+
 def test_crowded_buckets_make_no_pairs_of_all(spark):
     docs = spark.createDataFrame(
         [(i, t, "en", "a", 1) for i, t in far_family(600, changed=12)], SCHEMA
