@@ -16,11 +16,11 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from remitlens.llm.common import bounded_batches, sampled_labels, slices
+from remitlens.llm.common import bounded_batches, materialize, slices, tasks_for, train_labels
 from remitlens.llm.features import buckets, hashed_words, per_row
 
-#: Labelled rows that the fit reads at most (about; chosen by hash).
-MAX_LABELLED = 16_000
+#: Labelled rows of one fit (about; dealt by hash). More are fitted side by side and averaged.
+SHARD_LABELLED = 16_000
 #: Hashed words; the model has (2^15 + statistics) x (1 + RANK) numbers whatever the corpus.
 WORD_BITS = 15
 RANK = 8
@@ -128,12 +128,16 @@ class Machine:
         return 1 / (1 + np.exp(-np.clip(linear + pairs, -30, 30)))
 
 
-def fit_machine(stats, starts, slots, values, labels, seed: int = 7) -> Machine:
-    """Adam on the log loss over a bounded sample held as flat arrays."""
+def fit_machine(stats, starts, slots, values, labels, seed: int = 7, mean=None, scale=None) -> Machine:
+    """Adam on the log loss over bounded rows held as flat arrays.
+
+    ``mean`` and ``scale`` of the statistics are those of the rows unless given.
+    """
     rng = np.random.default_rng(seed)
     words, n, d = 1 << WORD_BITS, len(labels), len(STATS)
-    mean = stats.mean(axis=0) if n else np.zeros(d)
-    scale = np.maximum(stats.std(axis=0), 1e-3) if n else np.ones(d)
+    if mean is None:
+        mean = stats.mean(axis=0) if n else np.zeros(d)
+        scale = np.maximum(stats.std(axis=0), 1e-3) if n else np.ones(d)
     rate = float(labels.mean()) if n else 0.5
     level = float(np.log(np.clip(rate, 0.02, 0.98) / (1 - np.clip(rate, 0.02, 0.98))))
     theta = np.zeros((words + d, 1 + RANK))
@@ -187,40 +191,92 @@ def fit_machine(stats, starts, slots, values, labels, seed: int = 7) -> Machine:
     return Machine(level, theta[:, 0].copy(), theta[:, 1:].copy(), mean, scale)
 
 
-def fit_quality(docs: DataFrame, labels: DataFrame, max_labelled: int = MAX_LABELLED) -> Machine:
-    """Fit on the training labels of ``docs``; without any, every text scores 0.5."""
+def _fitted(found: pa.Table, mean=None, scale=None) -> Machine:
+    """The machine of the rows of a table (label, slots, values, stats)."""
+    column = lambda c: found.column(c).combine_chunks()
+    lists = column("slots")
+    starts = np.concatenate([[0], np.cumsum(lists.value_lengths().to_numpy())]).astype(np.int64)
+    return fit_machine(
+        column("stats").flatten().to_numpy().reshape(-1, len(STATS)),
+        starts,
+        lists.flatten().to_numpy(),
+        column("values").flatten().to_numpy().astype(np.float64),
+        column("label").to_numpy().astype(np.float64),
+        mean=mean,
+        scale=scale,
+    )
+
+
+def _averaged(rows: DataFrame) -> Machine:
+    """The mean of the machines of all shards of a table (shard, doc_id, label, slots, values, stats).
+
+    Each shard is fitted by one task, from the same first weights; statistics are scaled by the
+    mean and deviation of all rows, and a shard counts by its rows.
+    """
+    spread = (
+        rows.select(F.posexplode("stats").alias("i", "x"))
+        .groupBy("i")
+        .agg(F.avg("x").alias("mean"), F.stddev_pop("x").alias("scale"))
+        .orderBy("i")
+        .collect()
+    )
+    mean = np.array([r["mean"] for r in spread])
+    scale = np.maximum([r["scale"] for r in spread], 1e-3)
+
+    def fit(group: pa.Table) -> pa.Table:
+        # shuffled rows come in any order; copies of a row are alike
+        order = np.lexsort((group["label"].to_numpy(), group["print"].to_numpy(), group["doc_id"].to_numpy()))
+        machine = _fitted(group.take(order), mean, scale)
+        theta = np.concatenate([machine.weight[:, None], machine.factor], axis=1)
+        return pa.table({"n": [len(group)], "level": [machine.level], "theta": [theta.tobytes()]})
+
+    marked = rows.withColumn("print", F.xxhash64("slots", "values", "stats"))
+    found = marked.groupBy("shard").applyInArrow(fit, "n long, level double, theta binary")
+    n, level, theta = 0, 0.0, np.zeros(((1 << WORD_BITS) + len(STATS), 1 + RANK))
+    for row in materialize(found, "machines").orderBy("n", "level").toLocalIterator():
+        n += row["n"]
+        level += row["n"] * row["level"]
+        theta += row["n"] * np.frombuffer(row["theta"]).reshape(theta.shape)
+    theta /= n
+    return Machine(level / n, theta[:, 0].copy(), theta[:, 1:].copy(), mean, scale)
+
+
+def fit_quality(docs: DataFrame, labels: DataFrame, shard_labelled: int = SHARD_LABELLED) -> Machine:
+    """Fit on all training labels of ``docs``; without any, every text scores 0.5.
+
+    Beyond ``shard_labelled`` of them the rows are dealt over shards of about that size, whose machines are averaged.
+    """
 
     def extract(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for lo, hi, data, offsets in slices(batch):
                 f = features(data, offsets)
                 starts = np.searchsorted(f.row, np.arange(hi - lo + 1), "left").astype(np.int32)
+                part = batch.slice(lo, hi - lo)
                 yield pa.RecordBatch.from_arrays(
                     [
-                        batch.column("label").slice(lo, hi - lo).cast(pa.int32()),
+                        part.column("doc_id"),
+                        part.column("label").cast(pa.int32()),
                         pa.ListArray.from_arrays(starts, pa.array(f.slot.astype(np.int32))),
                         pa.ListArray.from_arrays(starts, pa.array(f.value.astype(np.float32))),
                         pa.array(list(f.stats), pa.list_(pa.float64())),
                     ],
-                    ["label", "slots", "values", "stats"],
+                    ["doc_id", "label", "slots", "values", "stats"],
                 )
 
     bounded_batches(docs.sparkSession)
-    known = sampled_labels(labels, "quality", max_labelled)
-    rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text").join(known, "doc_id")
-    found = rows.select("text", "label").mapInArrow(
-        extract, "label int, slots array<int>, values array<float>, stats array<double>"
-    ).toArrow()
-    column = lambda c: found.column(c).combine_chunks()
-    lists = column("slots")
-    starts = np.concatenate([[0], np.cumsum(lists.value_lengths().to_numpy())]).astype(np.int64)
-    return fit_machine(
-        column("stats").flatten().to_numpy().reshape(-1, len(STATS)),
-        starts,
-        lists.flatten().to_numpy(),
-        column("values").flatten().to_numpy().astype(np.float64),
-        column("label").to_numpy().astype(np.float64),
+    known = train_labels(labels, "quality")
+    shards = tasks_for(known.count(), shard_labelled)
+    rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text")
+    rows = rows.join(F.broadcast(known) if shards == 1 else known, "doc_id")
+    found = rows.select("doc_id", "text", "label").mapInArrow(
+        extract, "doc_id long, label int, slots array<int>, values array<float>, stats array<double>"
     )
+    if shards == 1:
+        return _fitted(found.drop("doc_id").toArrow())
+    dealt = found.withColumn("shard", F.pmod(F.xxhash64("doc_id"), F.lit(shards)))
+    written = materialize(dealt, "labelled")
+    return _fitted(written.limit(0).toArrow()) if written.isEmpty() else _averaged(written)
 
 
 def score_quality(docs: DataFrame, machine: Machine) -> DataFrame:
